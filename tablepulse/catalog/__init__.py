@@ -31,6 +31,7 @@ def load() -> None:
         drift_queries,
         expression_queries,
         healing_queries,
+        job_queries,
         layer_queries,
         quality_queries,
         registry_queries,

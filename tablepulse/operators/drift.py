@@ -10,7 +10,7 @@ column or a single value has.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -272,6 +272,21 @@ def numeric_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig
     )
 
 
+def own_metric(
+    sides: DataFrame,
+    columns: Sequence[str],
+    metric: Callable[[DataFrame], DataFrame],
+    config: DriftConfig = DriftConfig(),
+) -> DataFrame:
+    """A metric of the caller on the counts per column, range and bin.
+
+    ``metric`` maps the summaries to one row per ``column_id``.
+    """
+    long = long_numbers(sides, columns)
+    found = metric(range_summaries(long, number_stats(long, config), config))
+    return _named(sides, columns, "numeric").join(found, "column_id", "left").drop("column_id", "kind")
+
+
 def _named(sides: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     rows = [(i, c, kind) for i, c in enumerate(columns)]
     return sides.sparkSession.createDataFrame(rows, "column_id int, column_name string, kind string")

@@ -146,10 +146,11 @@ def route(handlers: Mapping[str, Handler]) -> Handler:
     return handle
 
 
-def drain(stream: DataFrame, handler: Handler, checkpoint: str) -> StreamingQuery:
+def drain(stream: DataFrame, handler: Handler, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything available in bounded batches, then stop."""
     return (
-        stream.writeStream.foreachBatch(handler)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(handler)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
