@@ -185,9 +185,9 @@ def _(t):
     WITH {LONG}, {STATS}, {KS} SELECT vc.column_name, COUNT(*) AS distinct_values, CAST(SUM(c) AS BIGINT) AS current_rows, CAST(SUM(r) AS BIGINT) AS reference_rows
     FROM vc GROUP BY vc.column_name""")
 def _(t):
-    long = drift.long_numbers(_sides(t), NUMBERS)
-    distinct = long.groupBy("column_id").agg(F.count_distinct("value").alias("distinct_values"))
-    summed = drift.range_summaries(long, drift.number_stats(long)).groupBy("column_id").agg(
+    counts = drift.value_counts(drift.long_numbers(_sides(t), NUMBERS))
+    distinct = counts.groupBy("column_id").agg(F.count("*").alias("distinct_values"))
+    summed = drift.range_summaries(counts).groupBy("column_id").agg(
         F.sum("current_n").alias("current_rows"), F.sum("reference_n").alias("reference_rows")
     )
     name = F.element_at(F.array(*[F.lit(c) for c in NUMBERS]), F.col("column_id") + 1)

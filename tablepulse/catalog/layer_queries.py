@@ -12,7 +12,7 @@ from tablepulse.operators.relational import accepted_rows, rows_not_in
 from tablepulse.sources import facts
 from tablepulse.sources.tables import scan
 
-KEY = "md5(concat_ws('|', strftime(_loaded_at, '%Y-%m-%d %H:%M:%S.%g'), CAST(_row_number AS VARCHAR)))"
+KEY = "md5(concat_ws('|', _pipeline_run_id, strftime(_loaded_at, '%Y-%m-%d %H:%M:%S.%g'), CAST(_row_number AS VARCHAR)))"
 SILVER = f"""
     sv AS (SELECT {KEY} AS _row_key, _pipeline_run_id, _loaded_at AS _bronze_loaded_at, _loaded_at IS NULL AS _is_quarantined,
            o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM v_bronze)"""

@@ -112,7 +112,7 @@ VIEWS = {
                start_time AS created_at, start_time AS recorded_at FROM v_usage""",
     "v_forecast": """
         SELECT warehouse_name, CAST(evaluated_at AS DATE) AS forecast_date, total_credits AS predicted_credits,
-               ROUND(total_credits * 0.85e0, 4) AS lower_bound, ROUND(total_credits * 1.15e0, 4) AS upper_bound FROM v_cost""",
+               ROUND(total_credits * 0.85e0, 6) AS lower_bound, ROUND(total_credits * 1.15e0, 6) AS upper_bound FROM v_cost""",
     "v_failures": """
         SELECT CAST(event_id AS STRING) AS event_id, CAST(user_id AS STRING) AS dataset_id,
                concat('run_', CAST(event_id AS STRING)) AS pipeline_run_id, ts AS detected_at,

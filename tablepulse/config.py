@@ -30,10 +30,10 @@ class DriftConfig:
     categorical_threshold: float = 0.1
     min_rows: int = 10
     window_rows: int = 25_000
-    # How finely a column's sorted values are cut before running sums are taken:
-    # coarse * fine ranges per column.
-    coarse_ranges: int = 16
-    fine_ranges: int = 16
+    # A column's sorted values are cut into 2 ** range_bits ranges before running sums are taken.
+    range_bits: int = 12
+    # The cuts are estimated from one in so many distinct values.
+    limit_share: int = 16
 
 
 @dataclass(frozen=True)

@@ -29,16 +29,18 @@ def clean_name(name: Column, position: Column | int = 0) -> Column:
 def clean_columns(df: DataFrame) -> DataFrame:
     """Rename all columns of ``df`` by the rule of :func:`clean_name`.
 
-    Names that collide after cleaning get a running suffix.
+    Names that collide after cleaning get the next free number as suffix.
     """
-    seen: dict[str, int] = {}
-    renamed = []
+    renamed: list[str] = []
     for position, original in enumerate(df.columns):
         name = re.sub("[^a-z0-9]+", "_", original.lower()).strip("_")
         if not name or name[0].isdigit():
             name = f"col_{name or position}"
-        seen[name] = seen.get(name, 0) + 1
-        renamed.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        free, number = name, 1
+        while free in renamed:
+            number += 1
+            free = f"{name}_{number}"
+        renamed.append(free)
     return df.toDF(*renamed)
 
 
@@ -65,10 +67,10 @@ def event_table_name(dataset: Column, suffix: str) -> Column:
     return F.concat(F.translate(F.lower(dataset), "-", "_"), F.lit(f"_{suffix}"))
 
 
-def row_key(loaded_at: Column, row_number: Column) -> Column:
-    """MD5 key of load time (millisecond text) and row number; NULL parts are left out."""
+def row_key(loaded_at: Column, row_number: Column, *scope: Column) -> Column:
+    """MD5 key of scope, load time (millisecond text) and row number; NULL parts are left out."""
     stamp = F.date_format(loaded_at, "yyyy-MM-dd HH:mm:ss.SSS")
-    return F.md5(F.concat_ws("|", stamp, row_number.cast("string")))
+    return F.md5(F.concat_ws("|", *scope, stamp, row_number.cast("string")))
 
 
 def short_hash(text: Column) -> Column:

@@ -20,7 +20,8 @@ def bands(value: Column, steps: list[tuple[float, str]], rest: str, below: bool
 
 
 def clamp_score(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))
+    """Value moved into 0..100; NULL stays NULL, which ``greatest`` alone would skip."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)))
 
 
 def health_label(score: Column) -> Column:

@@ -33,7 +33,12 @@ TEXT = "VARCHAR(65535)"
 BOOLEAN_TEXTS = ["true", "false", "1", "0", "yes", "no", "t", "f"]
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|[iI][nN][fF]|[iI]nfinity|[nN]a[nN])\s*$"
 TIME_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
-TIME_FORMATS = ["MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "MM/dd/yyyy HH:mm:ss"]
+TIME_FORMATS = {
+    r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$": "MM/dd/yyyy",
+    r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$": "yyyy/MM/dd",
+    r"^[0-9]{2}-[A-Z][a-z]{2}-[0-9]{4}$": "dd-MMM-yyyy",
+    r"^[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}$": "MM/dd/yyyy HH:mm:ss",
+}
 
 
 def logical_type(data_type: T.DataType) -> str:
@@ -88,9 +93,14 @@ def looks_numeric(text: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """Timestamp of a text in ISO form or one of ``TIME_FORMATS``, else NULL."""
-    iso = F.when(text.rlike(TIME_PATTERN), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
+    """Timestamp of a text in ISO form or one of ``TIME_FORMATS``, else NULL.
+
+    A text is only parsed when its shape fits, because failed parses are slow.
+    """
+    out = F.when(text.rlike(TIME_PATTERN), F.try_to_timestamp(text))
+    for pattern, time_format in TIME_FORMATS.items():
+        out = out.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(time_format)))
+    return out
 
 
 def looks_boolean(text: Column) -> Column:

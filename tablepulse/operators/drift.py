@@ -11,6 +11,7 @@ column or a single value has.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepulse.config import DriftConfig
+from tablepulse.functions.keys import compact_key
 from tablepulse.functions.scores import drift_severity
 from tablepulse.functions.times import moment
 from tablepulse.operators.relational import common_columns, data_columns
 
 SIDE = "_is_current"
 METHOD = "ks_test+psi"
+# Range limits of 8 bytes that one broadcast may hold over all columns.
+LIMITS_IN_BROADCAST = 1 << 22
 # Values that are the same in all rows of one column.
 COLUMN_FACTS = ["low", "high", "current_total", "reference_total"]
 
@@ -106,6 +110,14 @@ def _number(sides: DataFrame, name: str) -> Column:
     return column.cast("double")
 
 
+def _category(sides: DataFrame, name: str) -> Column:
+    """Text of a category; a long text is represented by its digest."""
+    column, data_type = F.col(f"`{name}`"), sides.schema[name].dataType
+    if is_time(data_type) or is_numeric(data_type):
+        return column.cast("string")
+    return compact_key(column, data_type)
+
+
 def long_numbers(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(side, column position, value) without NULL and NaN."""
     cells = [F.struct(F.lit(i).alias("column_id"), _number(sides, c).alias("value")) for i, c in enumerate(columns)]
@@ -115,12 +127,9 @@ def long_numbers(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def long_categories(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(side, column position, category) without NULL."""
-    cells = []
-    for i, c in enumerate(columns):
-        data_type = sides.schema[c].dataType
-        nested = isinstance(data_type, (T.StructType, T.ArrayType, T.MapType))
-        text = F.to_json(F.col(f"`{c}`")) if nested else F.col(f"`{c}`").cast("string")
-        cells.append(F.struct(F.lit(i).alias("column_id"), text.alias("category")))
+    cells = [
+        F.struct(F.lit(i).alias("column_id"), _category(sides, c).alias("category")) for i, c in enumerate(columns)
+    ]
     return sides.select(SIDE, F.inline(F.array(*cells))).filter(F.col("category").isNotNull())
 
 
@@ -133,55 +142,69 @@ def _side_counts() -> list[Column]:
 
 # --- numeric columns ---------------------------------------------------------
 
-def number_stats(long: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
+def fit_ranges(columns: Sequence[str], config: DriftConfig) -> DriftConfig:
+    """Fewer ranges for very wide tables, so that the broadcast limits stay below 32 MB."""
+    bits = config.range_bits
+    while bits > 1 and len(columns) << bits > LIMITS_IN_BROADCAST:
+        bits -= 1
+    return replace(config, range_bits=bits)
+
+
+def value_counts(long: DataFrame) -> DataFrame:
+    """Rows of both sides per column and distinct value.
+
+    The one pass over the table: everything after it works on these counts.
+    """
+    return long.groupBy("column_id", "value").agg(*_side_counts())
+
+
+def column_facts(counts: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
     """One row per column: smallest and largest value, rows per side and range limits.
 
-    The limits only decide which task handles a value; they need not be exact.
+    The limits only decide which task handles a value, so they are estimated from a
+    part of the distinct values, picked by hash; the results do not depend on them.
+    The pick sits inside the aggregate: as a filter it would move below the counts
+    and make them a second scan of the table.
     """
-    ranges = config.coarse_ranges * config.fine_ranges
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    stats = long.groupBy("column_id").agg(
+    ranges = 2**config.range_bits
+    # One text literal keeps the plan small.
+    steps = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+    picked = F.when(F.pmod(F.xxhash64("value"), F.lit(config.limit_share)) == 0, F.col("value"))
+    limits = F.array_distinct(F.percentile_approx(picked, steps, 4 * ranges))
+    none = F.array().cast("array<double>")
+    return counts.groupBy("column_id").agg(
         F.min("value").alias("low"),
         F.max("value").alias("high"),
-        F.count_if(F.col(SIDE)).alias("current_total"),
-        F.count_if(~F.col(SIDE)).alias("reference_total"),
-        F.array_distinct(F.percentile_approx("value", steps, 4 * ranges)).alias("limits"),
+        F.sum("current_n").alias("current_total"),
+        F.sum("reference_n").alias("reference_total"),
+        F.coalesce(limits, none).alias("limits"),
     )
-    coarse = F.filter("limits", lambda _, i: (i + 1) % config.fine_ranges == 0)
-    return stats.withColumn("coarse_limits", coarse)
 
 
-def _range_no(config: DriftConfig) -> Column:
-    """Number of limits below the value, found in two steps."""
-    coarse = F.size(F.filter("coarse_limits", lambda b: b < F.col("value")))
-    return coarse * config.fine_ranges
+def _with_range_no(placed: DataFrame, config: DriftConfig) -> DataFrame:
+    """Adds ``range_no``, the number of limits below the value, by binary search."""
+    placed = placed.withColumn("range_no", F.lit(0))
+    for step in (2**bit for bit in reversed(range(config.range_bits))):
+        below = f"coalesce(get(limits, range_no + {step - 1}) < value, false)"
+        placed = placed.withColumn("range_no", F.expr(f"range_no + if({below}, {step}, 0)"))
+    return placed
 
 
 def _bin_no(config: DriftConfig) -> Column:
     """Equal-width bin, counted by the inner edges that the value reaches."""
-    step = (F.col("high") - F.col("low")) / config.bins
-    edges = [(F.col("value") >= step * i + F.col("low")).cast("int") for i in range(1, config.bins)]
-    return reduce(lambda a, b: a + b, edges)
+    edges = [f"int(value >= (high - low) / {config.bins} * {i} + low)" for i in range(1, config.bins)]
+    return F.expr(" + ".join(edges))
 
 
-def range_summaries(long: DataFrame, stats: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
+def range_summaries(counts: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
     """Per column, range and bin: counts of both sides and the extremes of the local difference.
 
-    ``stats`` has one row per compared column, so it is broadcast.
+    The column facts, one row per compared column, come from the same counts; Spark
+    shuffles the counts once and reads them twice.
     """
-    counts = long.groupBy("column_id", "value").agg(*_side_counts())
+    facts = column_facts(counts, config)
     placed = (
-        counts.join(F.broadcast(stats), "column_id")
-        .withColumn("first_limit", _range_no(config))
-        .withColumn(
-            "range_no",
-            F.col("first_limit")
-            + F.size(
-                F.filter(
-                    F.slice("limits", F.col("first_limit") + 1, F.lit(config.fine_ranges)), lambda b: b < F.col("value")
-                )
-            ),
-        )
+        _with_range_no(counts.join(F.broadcast(facts), "column_id"), config)
         .withColumn("bin_no", _bin_no(config))
         .select("column_id", "range_no", "bin_no", "value", "current_n", "reference_n", *COLUMN_FACTS)
     )
@@ -191,8 +214,9 @@ def range_summaries(long: DataFrame, stats: DataFrame, config: DriftConfig = Dri
     )
     return (
         placed.withColumn("gap", gap)
-        .groupBy("column_id", "range_no", "bin_no", *COLUMN_FACTS)
+        .groupBy("column_id", "range_no", "bin_no")
         .agg(
+            *_same(COLUMN_FACTS),
             F.sum("current_n").alias("current_n"),
             F.sum("reference_n").alias("reference_n"),
             F.max("gap").alias("gap_high"),
@@ -201,15 +225,27 @@ def range_summaries(long: DataFrame, stats: DataFrame, config: DriftConfig = Dri
     )
 
 
+def _same(names: Sequence[str]) -> list[Column]:
+    """Values that all rows of a group share."""
+    return [F.max(name).alias(name) for name in names]
+
+
+def _bin_counts(side: str, config: DriftConfig) -> Column:
+    """Rows of one side per bin, bins without rows included."""
+    bins = ", ".join(f"sum(if(bin_no = {i}, {side}_n, 0))" for i in range(config.bins))
+    return F.expr(f"array({bins})").alias(f"{side}_bins")
+
+
 def _psi(config: DriftConfig) -> Column:
-    def part(side: str, i: int) -> Column:
-        return (F.col(f"{side}_{i}") + config.epsilon) / (F.col(f"{side}_total") + config.epsilon * config.bins)
-
-    terms = []
-    for i in range(config.bins):
-        current, reference = part("current", i), part("reference", i)
-        terms.append((current - reference) * F.ln(current / reference))
-    total = F.round(F.abs(reduce(lambda a, b: a + b, terms)), 6)
+    def part(n: Column, total: str) -> Column:
+        return (n + config.epsilon) / (F.col(total) + config.epsilon * config.bins)
+
+    def term(current: Column, reference: Column) -> Column:
+        c, r = part(current, "current_total"), part(reference, "reference_total")
+        return (c - r) * F.ln(c / r)
+
+    terms = F.zip_with("current_bins", "reference_bins", term)
+    total = F.round(F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)), 6)
     empty = (F.col("current_total") == 0) | (F.col("reference_total") == 0) | (F.col("low") == F.col("high"))
     return F.when(empty, 0.0).otherwise(total)
 
@@ -231,8 +267,7 @@ def ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
 
 def numeric_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig = DriftConfig()) -> DataFrame:
     """PSI, Kolmogorov-Smirnov statistic and p-value of every numeric column."""
-    long = long_numbers(sides, columns)
-    summaries = range_summaries(long, number_stats(long, config), config)
+    summaries = range_summaries(value_counts(long_numbers(sides, columns)), fit_ranges(columns, config))
 
     # At most one row per column, range and bin reaches this window.
     before = Window.partitionBy("column_id").orderBy("range_no").rangeBetween(Window.unboundedPreceding, -1)
@@ -242,15 +277,15 @@ def numeric_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig
         F.lit(0.0),
     )
     gap = F.greatest(F.abs(F.col("offset") + F.col("gap_high")), F.abs(F.col("offset") + F.col("gap_low")))
-    totals = [
-        F.coalesce(F.sum(F.when(F.col("bin_no") == i, F.col(f"{side}_n"))), F.lit(0)).alias(f"{side}_{i}")
-        for side in ("current", "reference")
-        for i in range(config.bins)
-    ]
     merged = (
         summaries.withColumn("offset", offset)
-        .groupBy("column_id", *COLUMN_FACTS)
-        .agg(F.max(gap).alias("gap"), *totals)
+        .groupBy("column_id")
+        .agg(
+            F.max(gap).alias("gap"),
+            *_same(COLUMN_FACTS),
+            _bin_counts("current", config),
+            _bin_counts("reference", config),
+        )
     )
     enough = (F.col("current_total") >= 2) & (F.col("reference_total") >= 2)
     found = (
@@ -282,14 +317,14 @@ def own_metric(
 
     ``metric`` maps the summaries to one row per ``column_id``.
     """
-    long = long_numbers(sides, columns)
-    found = metric(range_summaries(long, number_stats(long, config), config))
+    found = metric(range_summaries(value_counts(long_numbers(sides, columns)), fit_ranges(columns, config)))
     return _named(sides, columns, "numeric").join(found, "column_id", "left").drop("column_id", "kind")
 
 
 def _named(sides: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    rows = [(i, c, kind) for i, c in enumerate(columns)]
-    return sides.sparkSession.createDataFrame(rows, "column_id int, column_name string, kind string")
+    """Position and name of the compared columns."""
+    rows = [F.struct(F.lit(i).alias("column_id"), F.lit(c).alias("column_name")) for i, c in enumerate(columns)]
+    return sides.sparkSession.range(1).select(F.inline(F.array(*rows)), F.lit(kind).alias("kind"))
 
 
 # --- categorical columns -----------------------------------------------------

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def failure_type(reason: Column) -> Column:
     lowered = F.lower(reason)
     out = F.when(reason.isNull(), F.lit(OTHER))
     for name, words in KEYWORDS.items():
-        out = out.when(lowered.rlike("|".join(re.escape(w) for w in words)), F.lit(name))
+        out = out.when(reduce(or_, [lowered.contains(w) for w in words]), F.lit(name))
     return out.otherwise(F.lit(OTHER))
 
 

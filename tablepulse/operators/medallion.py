@@ -15,16 +15,18 @@ GOLD_NUMERIC_COLUMNS = 20
 
 
 def bronze_key(bronze: DataFrame) -> Column:
-    """Key that tells Bronze rows of one run apart.
+    """Key of a Bronze row over all runs, never NULL.
 
-    Load time and row number where both exist, else the ingestion id, else a
-    digest of all data columns.
+    Run with load time and row number where both exist, else with the ingestion id,
+    else with the content of all data columns.
     """
+    run = F.col("_pipeline_run_id")
     if {"_loaded_at", "_row_number"} <= set(bronze.columns):
-        return row_key(F.col("_loaded_at"), F.col("_row_number"))
+        return row_key(F.col("_loaded_at"), F.col("_row_number"), run)
     if "_ingestion_id" in bronze.columns:
-        return F.md5(F.col("_ingestion_id"))
-    return F.sha2(F.to_json(F.struct(*data_columns(bronze)), {"ignoreNullFields": "false"}), 256)
+        return F.md5(F.concat_ws("|", run, F.col("_ingestion_id")))
+    content = F.to_json(F.struct(*data_columns(bronze)), {"ignoreNullFields": "false"})
+    return F.sha2(F.concat_ws("|", run, content), 256)
 
 
 def all_null(columns: list[str]) -> Column:
@@ -58,15 +60,16 @@ def silver_additions(
 ) -> DataFrame:
     """Rows that Silver still lacks.
 
-    ``row`` compares (run, row key), ``run_once`` skips every run of which Silver
-    already holds a row.  Two row keys of one run count as one row.
+    ``row`` compares row keys, and equal keys count as one row; ``run_once`` skips
+    every run of which Silver already holds a row.  The row key is one column
+    without NULL, so that each side is shuffled once and the duplicates are found
+    in the same place.
     """
     rows = to_silver(equals_if_given(bronze, run_id, "_pipeline_run_id"), schema_version)
     known = equals_if_given(silver, run_id, "_pipeline_run_id")
     if mode == "run_once":
         return rows_not_in(rows, known, ["_pipeline_run_id"])
-    keys = ["_pipeline_run_id", "_row_key"]
-    return rows_not_in(rows, known, keys).dropDuplicates(keys)
+    return rows.join(known.select("_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
 
 
 def to_gold(silver: DataFrame, key: str | None = None, run_id: str | None = None, numeric: bool = True) -> DataFrame:

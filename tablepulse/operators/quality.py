@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepulse.config import QualityConfig
+from tablepulse.functions.keys import compact_key
 from tablepulse.functions.scores import clamp_score, quality_severity
 from tablepulse.functions.times import hours_since, moment
 from tablepulse.functions.types import TEXT, family_of, fits_family, looks_boolean, looks_numeric, parse_time
@@ -24,25 +25,6 @@ from tablepulse.operators.relational import data_columns
 # A check maps the data columns to named aggregate expressions.
 Check = Callable[[list[str]], list[Column]]
 
-# A text longer than this is compared by its 64-digit SHA-256.
-KEY_CHARS = 63
-
-
-def compact_key(column: Column, data_type: T.DataType) -> Column:
-    """Grouping key of bounded width that is equal exactly for equal values.
-
-    Texts up to 63 characters stand for themselves and never meet a digest, which
-    has 64.  Nested values are compared through their JSON text.
-    """
-    if isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return column
-    if isinstance(data_type, T.BinaryType):
-        column = F.hex(column)
-    elif not isinstance(data_type, T.StringType):
-        column = F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
-    return F.when(F.length(column) > KEY_CHARS, F.sha2(column, 256)).otherwise(column)
-
-
 def _key_missing(key: str, data_type: T.DataType) -> Column:
     missing = F.col(key).isNull()
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
@@ -84,6 +66,8 @@ def measure(
     not registered pass the type test, or count as text with ``strict_types``.
     """
     columns = [c for c in data_columns(df) if c not in group_by]
+    if not columns:
+        raise ValueError("no data column to measure")
     if loaded_at is None:
         loaded_at = next((c for c in df.columns if c.lower() == "_silver_loaded_at"), None)
     counted = count_rows(df, columns, group_by, loaded_at)
@@ -150,7 +134,7 @@ def _total(field: Callable[[Column], Column]) -> Column:
 def freshness_score(hours: Column, config: QualityConfig = QualityConfig()) -> Column:
     """1 for fresh data, 0 from ``freshness_max_hours`` on; unknown age counts as fresh."""
     fresh = F.greatest(F.lit(0.0), 1 - hours / config.freshness_max_hours)
-    return F.coalesce(F.round(fresh, 6), F.lit(1.0))
+    return F.when(hours.isNull(), 1.0).otherwise(F.round(fresh, 6))
 
 
 def quality_score(

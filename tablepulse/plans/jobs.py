@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepulse.config import HIGH, CostConfig, DriftConfig, HealConfig, QualityConfig
+from tablepulse.functions.scores import quality_severity
 from tablepulse.functions.times import moment
 from tablepulse.operators import cost, drift, healing, medallion, quality, schema
 from tablepulse.operators.relational import rows_not_in
@@ -47,6 +48,11 @@ def _one(store: FactStore, **fields: object) -> DataFrame:
     return store.spark.range(1).select(*[F.lit(v).alias(k) for k, v in fields.items()])
 
 
+def _held(store: FactStore, rows: DataFrame) -> DataFrame:
+    """Schema metadata, one row per column of a table, as a fixed frame."""
+    return store.spark.createDataFrame(rows.collect(), rows.schema)
+
+
 def result_row(rows: DataFrame, agent: str, status: Column, severity: Column, actions: Column) -> DataFrame:
     """Job result with the source row as JSON details."""
     return rows.select(
@@ -88,9 +94,10 @@ def ingest_file(
     dataset_id, run = stable_id("dataset", dataset), stable_id("run", dataset, path, at)
     rows = read_file(spark, path, file_schema)
 
-    inferred = schema.infer_schema(rows).withColumn("dataset_id", F.lit(dataset_id)).persist()
+    inferred = _held(store, schema.infer_schema(rows).withColumn("dataset_id", F.lit(dataset_id)))
     known = registry.current_versions(store.read("schema_versions").filter(F.col("dataset_id") == dataset_id))
-    changes = schema.schema_changes(schema.explode_schema(known, "dataset_id"), inferred, "dataset_id").persist()
+    # Held before anything is written, since the new version becomes part of what is known.
+    changes = _held(store, schema.schema_changes(schema.explode_schema(known, "dataset_id"), inferred, "dataset_id"))
     current = known.select("version").first()
     new = current is None
     changed = not new and not changes.isEmpty()
@@ -132,9 +139,11 @@ def ingest_file(
     store.append_new(
         "pipeline_runs", closed.withColumns({"rows_ingested": F.lit(ingested), "rows_rejected": F.lit(0)})
     )
-    out = (
+    entry = F.struct("change_type", "column_name", "detail")
+    listed = changes.groupBy("dataset_id").agg(F.sort_array(F.collect_list(entry)).alias("schema_changes"))
+    return (
         schema.fingerprints(inferred, "dataset_id")
-        .join(changes.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("change_type", "column_name", "detail"))).alias("schema_changes")), "dataset_id", "left")
+        .join(listed, "dataset_id", "left")
         .select(
             "dataset_id",
             F.lit(dataset).alias("dataset_name"),
@@ -149,7 +158,6 @@ def ingest_file(
             F.lit(at).alias("ingested_at"),
         )
     )
-    return out
 
 
 def upload_event(upload: DataFrame) -> DataFrame:
@@ -274,21 +282,23 @@ def quality_job(
     """Profile a table, append the quality facts and return the result row."""
     if df is None or df.isEmpty():
         return _skipped(store, "quality_agent", "low", "table is missing or has 0 rows")
-    types = registered_types(store, dataset_id)
-    # One row per table with one array entry per column; used for three fact tables.
-    measured = quality.measure(df, types=types).persist()
-    scored = quality.score(quality.rates(measured, at), config)
-    metrics = quality.metric_rows(quality.column_metrics(measured), config=config)
     run = stable_id("quality", dataset_id, pipeline_run_id, at)
     context = _context(run, dataset_id, pipeline_run_id, at, silver_table=silver_table)
     context["schema_version"] = F.lit(schema_version)
+    # One row with one array entry per column; kept so that the table is scanned once.
+    measured = quality.measure(df, types=registered_types(store, dataset_id)).persist()
+    scored = quality.score(quality.rates(measured, at), config)
+    metrics = quality.metric_rows(quality.column_metrics(measured), config=config)
     _append_all(store, quality_facts(scored, metrics, context))
+    measured.unpersist()
+
+    written = store.read("data_quality_metrics").filter(F.col("id") == run)
     status = F.when(F.col("passed"), F.lit("resolved")).otherwise(F.lit("escalated"))
     actions = F.array(
-        F.format_string(f"loaded %d rows from {silver_table.replace('%', '%%')}", "total_rows"),
-        F.format_string("quality score: %.1f/100", "quality_score"),
+        F.concat(F.lit("loaded "), F.col("total_rows").cast("string"), F.lit(f" rows from {silver_table}")),
+        F.concat(F.lit("quality score: "), F.format_number("quality_score", 1), F.lit("/100")),
     )
-    return result_row(scored, "quality_agent", status, F.col("severity"), actions)
+    return result_row(written, "quality_agent", status, quality_severity(F.col("quality_score")), actions)
 
 
 def registered_types(store: FactStore, dataset_id: str) -> dict[str, str]:
@@ -313,19 +323,22 @@ def drift_job(
     rows = drift.side_rows(sides).first()
     if min(rows["current_rows"], rows["reference_rows"]) < config.min_rows:
         return _skipped(store, "drift_agent", "low", f"fewer than {config.min_rows} rows on a side")
-    compared = drift.column_drift(sides, columns, config=config).persist()
-    summary = drift.drift_summary(compared)
     run = stable_id("drift", dataset_id, pipeline_run_id, at)
     context = _context(
         run, dataset_id, pipeline_run_id, at, silver_table=silver_table, reference_table=reference_table or silver_table
     )
-    _append_all(store, drift_facts(summary, drift.drift_metric_rows(compared), context))
+    # One row per compared column, used for three fact tables.
+    compared = drift.column_drift(sides, columns, config=config).persist()
+    _append_all(store, drift_facts(drift.drift_summary(compared), drift.drift_metric_rows(compared), context))
+    compared.unpersist()
+
+    written = store.read("drift_summary").filter(F.col("id") == run)
     status = F.when(F.col("drift_severity") == HIGH, F.lit("escalated")).otherwise(F.lit("resolved"))
     actions = F.array(
         F.lit(f"compared {rows['current_rows']} current rows vs {rows['reference_rows']} reference rows"),
-        F.format_string("drift_pct=%.1f%% (%d/%d columns drifted)", "drift_pct", "drifted_columns", "total_columns"),
+        F.format_string("%d of %d columns drifted", "drifted_columns", "total_columns"),
     )
-    return result_row(summary, "drift_agent", status, F.col("drift_severity"), actions)
+    return result_row(written, "drift_agent", status, F.col("drift_severity"), actions)
 
 
 def cost_job(
@@ -344,12 +357,17 @@ def cost_job(
     run = run_id(F.lit("cost"), F.lit(dataset_id), F.lit(pipeline_run_id), F.lit(at), F.col("warehouse_name"))
     context = {**_context("", dataset_id, pipeline_run_id, at), "id": run}
     _append_all(store, cost_facts(measured, cost.forecast(measured, at, ["warehouse_name"], config), context))
+    measured.unpersist()
+
+    written = store.read("cost_summary").filter(
+        (F.col("dataset_id") == dataset_id) & (F.col("pipeline_run_id") == pipeline_run_id) & (F.col("evaluated_at") == moment(at))
+    )
     status = F.when(F.col("cost_severity") == HIGH, F.lit("escalated")).otherwise(F.lit("resolved"))
     actions = F.array(
-        F.format_string("total_credits=%.4f  total_usd=$%.2f", "total_credits", "total_usd"),
-        F.format_string("cost_score=%.1f/100", "cost_score"),
+        F.concat(F.lit("total_credits="), F.format_number("total_credits", 4)),
+        F.concat(F.lit("cost_score="), F.format_number("cost_score", 1), F.lit("/100")),
     )
-    return result_row(measured, "cost_agent", status, F.col("cost_severity"), actions)
+    return result_row(written, "cost_agent", status, F.col("cost_severity"), actions)
 
 
 def heal_job(store: FactStore, failures: DataFrame, at: str, config: HealConfig = HealConfig()) -> DataFrame:

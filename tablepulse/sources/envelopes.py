@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,27 @@ def wrap(events: DataFrame, topic: Column, payload: Column, published_at: Column
 def unwrap(messages: DataFrame, value: str = "value") -> DataFrame:
     """Envelope columns of messages; ``_malformed`` marks values that are no JSON object."""
     text = F.col(value).cast("string")
-    parsed = F.from_json(text, ENVELOPE)
-    whole = F.try_parse_json(text)
-    return messages.select(
-        text.alias("_raw"),
-        parsed.alias("_e"),
-        (whole.isNull() | ~F.schema_of_variant(whole).startswith("OBJECT")).alias("_malformed"),
-    ).select("_raw", "_malformed", "_e.*")
+    parsed = F.from_json(
+        text, f"{ENVELOPE}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    )
+    bad = F.col("_e").isNull() | F.col("_e._corrupt").isNotNull()
+    return (
+        messages.select(text.alias("_raw"), parsed.alias("_e"))
+        .select("_raw", bad.alias("_malformed"), "_e.*")
+        .drop("_corrupt")
+    )
+
+
+def with_payload(envelopes: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Adds ``_p``, a struct of payload fields as text; an absent field is NULL.
+
+    The payload is parsed once for all fields.
+    """
+    # The explicit option keeps Spark from splitting the parse by field.
+    schema = ", ".join(f"{name} string" for name in fields)
+    return envelopes.withColumn("_p", F.from_json("payload", schema, {"mode": "PERMISSIVE"}))
 
 
 def payload_field(name: str, kind: str = "string") -> Column:
-    """A field of the JSON payload, NULL when it is absent or does not convert."""
-    return F.get_json_object("payload", f"$.{name}").try_cast(kind)
+    """A field of the parsed payload, NULL when it is absent or does not convert."""
+    return F.col(f"_p.{name}").try_cast(kind)

@@ -193,20 +193,17 @@ def drift_facts(summary: DataFrame, metrics: DataFrame, context: Mapping[str, Co
 def cost_facts(measured: DataFrame, forecasts: DataFrame, context: Mapping[str, Column]) -> dict[str, DataFrame]:
     rows = measured.withColumns(dict(context))
     at = context["evaluated_at"]
+    record = {
+        "query_type": F.lit("PIPELINE_RUN"),
+        "credits_used": F.col("total_credits"),
+        "credits_usd": F.col("total_usd"),
+        "recorded_at": at,
+    }
+    # The records come last: they may be the usage that the measures were taken from.
     return {
-        "cost_records": as_fact(
-            "cost_records",
-            rows.withColumns(
-                {
-                    "query_type": F.lit("PIPELINE_RUN"),
-                    "credits_used": F.col("total_credits"),
-                    "credits_usd": F.col("total_usd"),
-                    "recorded_at": at,
-                }
-            ),
-        ),
         "cost_forecasts": as_fact("cost_forecasts", forecasts.withColumns({**context, "created_at": at})),
         "cost_summary": as_fact("cost_summary", rows),
+        "cost_records": as_fact("cost_records", rows.withColumns(record)),
     }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,24 +86,27 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None, rejec
     return reader.csv(path)
 
 
-def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool) -> DataFrame:
-    """One document per line first; a file that is one document as a whole otherwise.
+def _one_document(spark: SparkSession, path: str) -> bool:
+    """Whether the file is one JSON document over several lines, by its first line with text."""
+    line = spark.read.text(path).filter(F.trim("value") != "").first()
+    first = line["value"].strip() if line else ""
+    if re.fullmatch(r"\[?\s*\{?", first):
+        return first != ""
+    try:
+        json.loads(first)
+    except ValueError:
+        return first.startswith("[")
+    return False
 
-    A pretty-printed array holds no line that is a whole document, which shows in
-    the inferred schema.
-    """
+
+def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool) -> DataFrame:
+    """One document per line, or else one document in the whole file."""
+    whole = _one_document(spark, path)
     if schema is None:
-        lines = spark.read.json(path).schema
-        whole = lines.names == [CORRUPT]
-        schema = spark.read.option("multiLine", True).json(path).schema if whole else lines
-        if schema.names == [CORRUPT]:
-            raise UnreadableFile(path)
-        if not rejects and CORRUPT in schema.names:
+        inferred = spark.read.option("multiLine", whole).json(path).schema
+        if CORRUPT in inferred.names and (not rejects or len(inferred) == 1):
             raise UnreadableFile(path)
-        schema = T.StructType([f for f in schema.fields if f.name != CORRUPT])
-    else:
-        first = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        whole = first.json(path).select(CORRUPT).limit(1).filter(F.col(CORRUPT).rlike(r"^\s*\[?\s*$")).count() == 1
+        schema = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
     schema, options = _mode(schema, rejects)
     return spark.read.schema(schema).options(multiLine=whole, **options).json(path)
 

@@ -126,10 +126,15 @@ def close_runs(rows: DataFrame, at: Column, status: Column) -> DataFrame:
 
 def dataset_details(datasets: DataFrame, versions: DataFrame) -> DataFrame:
     """Active data sets with the columns of their current schema and their version count."""
-    current = current_versions(versions).select("dataset_id", "version", parse_schema(F.col("schema_json")).alias("schema"))
+    schemas = versions.groupBy("dataset_id").agg(
+        F.max("version").alias("version"),
+        F.max_by("schema_json", "version").alias("schema_json"),
+        F.count(F.lit(1)).alias("schema_version_count"),
+    )
     return (
         active_datasets(datasets)
-        .join(current, "dataset_id", "left")
-        .join(version_counts(versions).withColumnRenamed("cnt", "schema_version_count"), "dataset_id", "left")
+        .join(schemas, "dataset_id", "left")
+        .withColumn("schema", parse_schema(F.col("schema_json")))
         .withColumn("schema_version_count", F.coalesce("schema_version_count", F.lit(0)))
+        .drop("schema_json")
     )

@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablepulse.functions.names import event_table_name
-from tablepulse.sources.envelopes import payload_field, unwrap
+from tablepulse.sources.envelopes import payload_field, unwrap, with_payload
 from tablepulse.sources.facts import FactStore
 
+INGESTION_FIELDS = [
+    "dataset_id", "pipeline_run_id", "dataset_name", "schema_version", "rows_ingested", "rows_rejected",
+]
+JOB_FIELDS = [
+    "dataset_id", "pipeline_run_id", "silver_table", "reference_table", "warehouse_name", "schema_version",
+    "lookback_days", "failure_reason", "failed_task", "retry_count", "trigger",
+]
 Handler = Callable[[DataFrame, int], None]
 
 
@@ -58,7 +65,7 @@ def _present(column: Column) -> Column:
 def ingestion_context(envelopes: DataFrame) -> DataFrame:
     """Ingestion events with defaults filled in; events without a data set are dropped."""
     name = F.coalesce(payload_field("dataset_name"), F.lit("unknown"))
-    return envelopes.select(
+    return with_payload(envelopes, INGESTION_FIELDS).select(
         "event_id",
         F.coalesce(_present(F.col("dataset_id")), _present(payload_field("dataset_id"))).alias("dataset_id"),
         F.coalesce(_present(payload_field("pipeline_run_id")), F.md5("event_id")).alias("pipeline_run_id"),
@@ -81,7 +88,7 @@ def job_context(envelopes: DataFrame, registry: DataFrame | None = None) -> Data
     def text(name: str) -> Column:
         return _present(payload_field(name))
 
-    events = envelopes.select(
+    events = with_payload(envelopes, JOB_FIELDS).select(
         "event_id",
         "topic",
         F.coalesce(_present(F.col("dataset_id")), text("dataset_id")).alias("dataset_id"),
