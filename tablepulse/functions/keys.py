@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A text longer than this is compared by its 64-digit SHA-256.
 KEY_CHARS = 63
+# Rows whose keys are estimated to be wider than this are compared by one digest.
+KEY_BYTES = 96
 
 
 def compact_key(column: Column, data_type: T.DataType) -> Column:
@@ -16,10 +20,45 @@ def compact_key(column: Column, data_type: T.DataType) -> Column:
     Texts up to 63 characters stand for themselves and never meet a digest, which
     has 64.  Nested values are compared through their JSON text.
     """
-    if isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if _fixed_width(data_type):
         return column
     if isinstance(data_type, T.BinaryType):
         column = F.hex(column)
     elif not isinstance(data_type, T.StringType):
         column = F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
     return F.when(F.length(column) > KEY_CHARS, F.sha2(column, 256)).otherwise(column)
+
+
+def _fixed_width(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _exact_text(column: Column, data_type: T.DataType) -> Column:
+    """Text that is equal exactly for values that group together."""
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return (column + F.lit(0.0)).cast("string")  # -0.0 groups with 0.0
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp")).cast("string")
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(column)
+    if isinstance(data_type, T.StringType) or _fixed_width(data_type):
+        return column.cast("string")
+    return F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
+
+
+def row_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Key columns that are equal exactly for rows equal in ``columns``.
+
+    Narrow rows are their own key.  Wide rows are shuffled as the 32 bytes of a
+    SHA-256 over all values, each written with its length so that no two different
+    rows share a text.
+    """
+    kinds = {c: df.schema[c].dataType for c in columns}
+    width = sum(8 if _fixed_width(kind) else 32 for kind in kinds.values())
+    if width <= KEY_BYTES:
+        return [compact_key(F.col(f"`{c}`"), kind) for c, kind in kinds.items()]
+    parts = []
+    for c, kind in kinds.items():
+        text = _exact_text(F.col(f"`{c}`"), kind)
+        parts.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
+    return [F.unhex(F.sha2(F.concat(*parts), 256))]

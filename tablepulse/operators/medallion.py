@@ -62,14 +62,15 @@ def silver_additions(
 
     ``row`` compares row keys, and equal keys count as one row; ``run_once`` skips
     every run of which Silver already holds a row.  The row key is one column
-    without NULL, so that each side is shuffled once and the duplicates are found
-    in the same place.
+    without NULL; rows are shuffled by it once, for the comparison and for finding
+    equal keys.
     """
     rows = to_silver(equals_if_given(bronze, run_id, "_pipeline_run_id"), schema_version)
     known = equals_if_given(silver, run_id, "_pipeline_run_id")
     if mode == "run_once":
         return rows_not_in(rows, known, ["_pipeline_run_id"])
-    return rows.join(known.select("_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
+    placed = rows.repartition("_row_key")
+    return placed.join(known.select("_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
 
 
 def to_gold(silver: DataFrame, key: str | None = None, run_id: str | None = None, numeric: bool = True) -> DataFrame:

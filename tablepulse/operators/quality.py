@@ -10,13 +10,15 @@ than a rare one.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepulse.config import QualityConfig
-from tablepulse.functions.keys import compact_key
+from tablepulse.functions.keys import row_keys
 from tablepulse.functions.scores import clamp_score, quality_severity
 from tablepulse.functions.times import hours_since, moment
 from tablepulse.functions.types import TEXT, family_of, fits_family, looks_boolean, looks_numeric, parse_time
@@ -25,23 +27,45 @@ from tablepulse.operators.relational import data_columns
 # A check maps the data columns to named aggregate expressions.
 Check = Callable[[list[str]], list[Column]]
 
-def _key_missing(key: str, data_type: T.DataType) -> Column:
-    missing = F.col(key).isNull()
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        missing = missing | F.isnan(F.col(key))
-    return missing
+# Null flags per column are packed into whole numbers of this many bits.
+MASK_BITS = 60
+
+
+def _missing(df: DataFrame, name: str) -> Column:
+    column = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return column.isNull() | F.isnan(column)
+    return column.isNull()
+
+
+def _null_masks(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Which columns of a row are NULL (or NaN), one bit each."""
+    masks = []
+    for start in range(0, len(columns), MASK_BITS):
+        bits = [
+            F.when(_missing(df, c), F.lit(1 << i)).otherwise(0).cast("bigint")
+            for i, c in enumerate(columns[start : start + MASK_BITS])
+        ]
+        masks.append(reduce(add, bits).alias(f"_mask_{start // MASK_BITS}"))
+    return masks
+
+
+def _rows_with_null(position: int) -> Column:
+    mask = F.col(f"_mask_{position // MASK_BITS}")
+    is_null = mask.bitwiseAND(F.lit(1 << position % MASK_BITS)) != 0
+    return F.coalesce(F.sum(F.when(is_null, F.col("_n"))), F.lit(0))
 
 
 def count_rows(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = (), loaded_at: str | None = None) -> DataFrame:
-    """Distinct rows over ``columns`` per group with their number and latest load time."""
-    keys = [compact_key(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"_key_{i}") for i, c in enumerate(columns)]
+    """Distinct rows over ``columns`` per group with null flags, number and latest load time."""
+    keys = [key.alias(f"_key_{i}") for i, key in enumerate(row_keys(df, columns))]
     measures = [F.count(F.lit(1)).alias("_n")]
     if loaded_at:
         ts = F.col(loaded_at)
         if isinstance(df.schema[loaded_at].dataType, T.StringType):
             ts = F.try_to_timestamp(ts)
         measures.append(F.max(ts).alias("_latest"))
-    return df.groupBy(*group_by, *keys).agg(*measures)
+    return df.groupBy(*group_by, *keys, *_null_masks(df, columns)).agg(*measures)
 
 
 def duplicate_rows(df: DataFrame, group_by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -78,9 +102,7 @@ def measure(
         F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("duplicate_count"),
         (F.max("_latest") if loaded_at else F.lit(None).cast("timestamp_ntz")).alias("latest_loaded_at"),
     ]
-    for i, c in enumerate(columns):
-        missing = _key_missing(f"_key_{i}", df.schema[c].dataType)
-        totals.append(F.coalesce(F.sum(F.when(missing, n)), F.lit(0)).alias(f"_nulls_{i}"))
+    totals += [_rows_with_null(i).alias(f"_nulls_{i}") for i in range(len(columns))]
     summed = counted.groupBy(*group_by).agg(*totals).filter(F.col("total_rows") > 0)
 
     registered = {name.lower(): kind for name, kind in (types or {}).items()}

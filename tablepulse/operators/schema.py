@@ -14,6 +14,10 @@ SCHEMA_JSON = "array<struct<name:string,snowflake_type:string,pandas_dtype:strin
 ADDED, RETYPED, DROPPED = "ADD_COLUMN", "TYPE_CHANGE", "DROP_COLUMN"
 
 
+# Slots per column in the first pass over the sample keys.
+SAMPLE_SLOTS = 64
+
+
 class EmptyTableError(ValueError):
     """A schema cannot be inferred without columns and rows."""
 
@@ -77,20 +81,35 @@ def infer_schema(df: DataFrame) -> DataFrame:
 def sample_values(df: DataFrame, order_key: str, n: int = 5) -> DataFrame:
     """The first ``n`` present values of each column in the order of ``order_key``.
 
-    The rank filter is applied inside every task before the shuffle, so at most
-    ``n`` rows per column and task travel.
+    A first pass takes the smallest key of each of many hash slots per column.  The
+    n-th smallest of these bounds the n-th smallest key of all, so that the second
+    pass only has to rank the few rows up to that bound.  No pass sorts the table.
     """
+    names = [c for c in df.columns if not c.startswith("_") and c != order_key]
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("sample_value"))
-            for c in df.columns
-            if not c.startswith("_")
+            F.struct(F.lit(i).alias("column_id"), F.col(f"`{c}`").cast("string").alias("sample_value"))
+            for i, c in enumerate(names)
         ]
     )
     long = df.select(F.col(order_key).alias("_order"), F.inline(cells)).filter(F.col("sample_value").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("_order", "sample_value"))
+
+    slot = F.pmod(F.xxhash64("_order"), F.lit(SAMPLE_SLOTS))
+    smallest = long.groupBy("column_id", slot.alias("slot")).agg(F.min("_order").alias("_order"))
+    # At most SAMPLE_SLOTS keys per column.
+    keys = F.sort_array(F.collect_list("_order"))
+    bounds = smallest.groupBy("column_id").agg(
+        F.when(F.size(keys) >= n, F.get(keys, F.lit(n - 1))).alias("bound")
+    )
+    near = long.join(F.broadcast(bounds), "column_id").filter(
+        F.col("bound").isNull() | F.col("_order").isNull() | (F.col("_order") <= F.col("bound"))
+    )
+    rank = F.row_number().over(Window.partitionBy("column_id").orderBy("_order", "sample_value"))
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("column_id") + 1)
     return (
-        long.withColumn("sample_no", rank).filter(F.col("sample_no") <= n).select("column_name", "sample_no", "sample_value")
+        near.withColumn("sample_no", rank)
+        .filter(F.col("sample_no") <= n)
+        .select(name.alias("column_name"), "sample_no", "sample_value")
     )
 
 

@@ -100,3 +100,25 @@ def test_grouped_profile_equals_profile_of_each_group(spark, folder):
 def test_column_named_with_a_dot(spark):
     df = spark.createDataFrame([(1,), (None,)], "`a.b` int")
     assert quality.column_metrics(quality.measure(df)).first()["null_count"] == 1
+
+
+def test_wide_rows_are_compared_by_digest(spark):
+    wide = "a double, t timestamp_ntz, s string, u string, x binary, y array<int>, z decimal(10,2), d date"
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    def row(a=1.0, micro=5, s="a", u="bc", x=b"q", y=(1,), z="1.50"):
+        return (a, datetime(2024, 1, 1, 0, 0, 0, micro), s, u, x, list(y), Decimal(z), date(2024, 1, 1))
+
+    rows = [row(), row(), row(a=0.0), row(a=-0.0), row(micro=6), row(s="ab", u="c"), row(s=None), row(s="-"), row(a=float("nan")), row(a=float("nan")), row(u=None, s=None)]
+    df = spark.createDataFrame(rows, wide).repartition(3)
+    row = quality.duplicate_rows(df).first()
+    assert (row["total_rows"], row["duplicate_count"]) == (11, 6)
+    nulls = {r["column_name"]: r["null_count"] for r in quality.column_metrics(quality.measure(df)).collect()}
+    assert nulls == {"a": 2, "t": 0, "s": 2, "u": 1, "x": 0, "y": 0, "z": 0, "d": 0}
+
+
+def test_more_columns_than_one_mask_holds(spark):
+    df = spark.range(4).select(*[F.when(F.col("id") >= i % 4, F.col("id")).alias(f"c{i}") for i in range(130)])
+    nulls = {r["column_name"]: r["null_count"] for r in quality.column_metrics(quality.measure(df)).collect()}
+    assert all(nulls[f"c{i}"] == i % 4 for i in range(130))

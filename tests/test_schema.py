@@ -112,5 +112,16 @@ def test_samples(spark):
     got = schema.sample_values(df, "_k").collect()
     assert [r["sample_value"] for r in got if r["column_name"] == "v"] == ["30", "40", "50", "60", "70"]
     assert len([r for r in got if r["column_name"] == "s"]) == 5
+    assert [r["sample_value"] for r in schema.sample_values(df.limit(5), "_k").collect() if r["column_name"] == "v"] == ["30", "40"]
     plan = schema.sample_values(df, "_k")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_samples_equal_a_plain_ranking(spark):
+    rows = [(i * 7919 % 1000, None if i % 3 else i, i % 2 and "x") for i in range(1000)]
+    df = spark.createDataFrame([(k, v, s or None) for k, v, s in rows], "_k int, v int, s string").repartition(6)
+    got = schema.sample_values(df, "_k", 7).collect()
+    for position, name in ((1, "v"), (2, "s")):
+        present = sorted((r[0], str(r[position])) for r in rows if r[position] not in (None, 0) or r[position] == 0 and name == "v")
+        want = [value for _, value in present[:7]]
+        assert [r["sample_value"] for r in sorted(got, key=lambda r: r["sample_no"]) if r["column_name"] == name] == want
