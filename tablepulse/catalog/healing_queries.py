@@ -40,7 +40,7 @@ def _decided(t):
 
 @query("he_01_failure_types", f"WITH {TYPE} SELECT event_id, failure_type FROM ft")
 def _(t):
-    return t["v_failures"].select("event_id", healing.failure_type(F.col("failure_reason")).alias("failure_type"))
+    return healing.classify(t["v_failures"]).select("event_id", "failure_type")
 
 
 @query("he_01_types_of_texts", f"""
@@ -48,13 +48,12 @@ def _(t):
         WHEN regexp_matches(lower(text), 'null|duplicate|schema|type mismatch|quality|completeness|freshness|range|validation') THEN 'QUALITY'
         WHEN regexp_matches(lower(text), 'drift|distribution|psi|ks_test|shift|evidently') THEN 'DRIFT' ELSE 'SYSTEM' END AS failure_type FROM documents""")
 def _(t):
-    return t["documents"].select("doc_id", healing.failure_type(F.col("text")).alias("failure_type"))
+    return healing.classify(t["documents"], "text").select("doc_id", "failure_type")
 
 
 @query("he_02_strategies", f"WITH {DECIDED} SELECT event_id, healing_strategy FROM de")
 def _(t):
-    kind = healing.failure_type(F.col("failure_reason"))
-    return t["v_failures"].select("event_id", healing.strategy(kind).alias("healing_strategy"))
+    return healing.classify(t["v_failures"]).select("event_id", healing.strategy(F.col("failure_type")).alias("healing_strategy"))
 
 
 @query("he_03_retry_gate", f"WITH {DECIDED} SELECT event_id, retried, quarantined, recovery_status FROM de")

@@ -27,15 +27,20 @@ RETRY_TOPICS = {"CONNECTION": "quality.events", "SYSTEM": "quality.events", "DRI
 REASON_CHARS, DETAIL_CHARS = 2000, 4000
 
 
-def failure_type(reason: Column) -> Column:
-    """First type with a word that occurs in the reason; no reason means SYSTEM."""
-    lowered = F.lower(reason)
-    out = F.when(reason.isNull(), F.lit(OTHER))
+def failure_type(lowered: Column) -> Column:
+    """First type with a word that occurs in the lower-case reason; no reason means SYSTEM."""
+    out = F.when(lowered.isNull(), F.lit(OTHER))
     for name, words in KEYWORDS.items():
         out = out.when(reduce(or_, [lowered.contains(w) for w in words]), F.lit(name))
     return out.otherwise(F.lit(OTHER))
 
 
+def classify(failures: DataFrame, reason: str = "failure_reason") -> DataFrame:
+    """Adds ``failure_type``; the reason is put into lower case once for all words."""
+    lowered = failures.withColumn("_lowered", F.lower(reason))
+    return lowered.withColumn("failure_type", failure_type(F.col("_lowered"))).drop("_lowered")
+
+
 def strategy(kind: Column) -> Column:
     return F.when(kind == "QUALITY", F.lit(QUARANTINE)).otherwise(F.lit(RETRY))
 
@@ -55,13 +60,13 @@ def decide(failures: DataFrame, config: HealConfig = HealConfig()) -> DataFrame:
     if not config.resolved_wins:
         done = done & ~F.col("quarantined")
     return (
-        failures.withColumns(
+        classify(failures)
+        .withColumns(
             {
                 "pipeline_run_id": optional("pipeline_run_id", "string"),
                 "detected_at": optional("detected_at", "timestamp_ntz"),
                 "resolved_at": optional("resolved_at", "timestamp_ntz"),
                 "retry_count": F.coalesce("retry_count", F.lit(0)),
-                "failure_type": failure_type(F.col("failure_reason")),
             }
         )
         .withColumn("healing_strategy", strategy(F.col("failure_type")))
