@@ -106,9 +106,7 @@ def _(t):
 @query("dr_03_column_kinds", """
     SELECT * FROM (VALUES ('event_id', 'numeric'), ('user_id', 'numeric'), ('event_type', 'category'), ('value', 'numeric'), ('props', 'category')) v(column_name, kind)""")
 def _(t):
-    kinds = drift.column_kinds(t["events"])
-    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind")) for c, k in kinds.items()]
-    return t["events"].select(F.inline(F.array(*cells))).distinct()
+    return drift.column_drift(drift.split_by_time(t["events"], "ts", EVENTS_SPLIT)).select("column_name", "kind")
 
 
 @query("dr_04_psi", f"WITH {LONG}, {STATS}, {PSI} SELECT column_name, psi FROM psi")
@@ -200,12 +198,14 @@ def _(t):
     return shares.select("category", F.round("current_share", 6).alias("current_share"), F.round("reference_share", 6).alias("reference_share"))
 
 
-@query("prj_02_common_columns", """
-    SELECT c AS column_name FROM (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type')) v(c)""")
+@query("prj_02_common_columns", f"""
+    SELECT event_id, user_id, event_type, ts >= TIMESTAMP '{EVENTS_SPLIT}' AS is_current FROM events""")
 def _(t):
     events = t["events"]
-    names = common_columns(events.drop("props"), events.drop("value"))
-    return events.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column_name")).distinct()
+    late = F.col("ts") >= EVENTS_SPLIT
+    sides = drift.pair(events.filter(late).drop("props", "ts"), events.filter(~late).drop("value", "ts"))
+    assert sides.columns[:-1] == common_columns(events.drop("props", "ts"), events.drop("value", "ts"))
+    return sides.withColumnRenamed(drift.SIDE, "is_current")
 
 
 @query("ext_02_own_metric", f"""

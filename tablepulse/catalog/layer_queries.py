@@ -79,6 +79,7 @@ def _(t):
     FROM sv WHERE NOT _is_quarantined GROUP BY ALL""")
 def _(t):
     gold = medallion.to_gold(_silver(t), "o_custkey")
+    gold = gold.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey_sum", "o_custkey_sum")})
     digits = {"o_orderkey_avg": 4, "o_custkey_avg": 4, "o_totalprice_sum": 2, "o_totalprice_avg": 6}
     return gold.withColumns({c: F.round(c, d) for c, d in digits.items()})
 

@@ -255,6 +255,7 @@ def ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
 
     The series needs many terms near 0; below 0.2 its value is 1 to 12 digits.
     """
+    n, m = n.cast("double"), m.cast("double")  # the product of two row counts exceeds a bigint
     scaled = statistic * F.sqrt(n * m / (n + m))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),

@@ -87,13 +87,13 @@ def to_gold(silver: DataFrame, key: str | None = None, run_id: str | None = None
 
 
 def gold_measures(silver: DataFrame) -> list[Column]:
-    """Sum and mean of the first numeric data columns."""
-    numeric = [
-        f.name for f in silver.schema.fields if isinstance(f.dataType, T.NumericType) and not f.name.startswith("_")
-    ]
+    """Sum and mean of the first numeric data columns; whole numbers are summed without overflow."""
+    numeric = [f for f in silver.schema.fields if isinstance(f.dataType, T.NumericType) and not f.name.startswith("_")]
     out = []
-    for name in numeric[:GOLD_NUMERIC_COLUMNS]:
-        out += [F.sum(name).alias(f"{name}_sum"), F.avg(name).alias(f"{name}_avg")]
+    for field in numeric[:GOLD_NUMERIC_COLUMNS]:
+        column = F.col(f"`{field.name}`")
+        summand = column.cast("decimal(28,0)") if isinstance(field.dataType, T.IntegralType) else column
+        out += [F.sum(summand).alias(f"{field.name}_sum"), F.avg(column).alias(f"{field.name}_avg")]
     return out
 
 

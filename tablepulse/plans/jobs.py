@@ -34,9 +34,9 @@ from tablepulse.sources.facts import (
     run_id,
     silver_schema,
 )
-from tablepulse.sources.files import read_file, source_type
+from tablepulse.sources.files import read_file, source_type, split_rejects
 
-RESULT = "agent string, status string, severity string, actions_taken array<string>, details string"
+ERROR_CHARS = 2000
 
 
 def stable_id(*parts: str) -> str:
@@ -44,7 +44,7 @@ def stable_id(*parts: str) -> str:
 
 
 def _one(store: FactStore, **fields: object) -> DataFrame:
-    """One row of literals; text columns only."""
+    """One row of literals."""
     return store.spark.range(1).select(*[F.lit(v).alias(k) for k, v in fields.items()])
 
 
@@ -77,6 +77,18 @@ def layer_path(store: FactStore, layer: str, table: str, version: int) -> str:
     return f"{store.root}/{layer}/{table}/v{version}"
 
 
+def register_dataset(store: FactStore, dataset_id: str, at: str, **fields: object) -> None:
+    """Append a registry event that sets some fields of a data set; a known event adds nothing."""
+    event_id = stable_id("dataset_event", dataset_id, at, *(f"{k}={v}" for k, v in sorted(fields.items())))
+    event = _one(store, id=event_id, dataset_id=dataset_id, **fields).withColumn("event_ts", moment(at))
+    store.append_new("dataset_events", event)
+
+
+def datasets(store: FactStore) -> DataFrame:
+    """Current state of all data sets."""
+    return registry.current_datasets(store.read("dataset_events"), "id")
+
+
 def ingest_file(
     store: FactStore,
     path: str,
@@ -85,14 +97,19 @@ def ingest_file(
     description: str = "",
     domain: str = "",
     file_schema: T.StructType | None = None,
+    keep_rejects: bool = False,
 ) -> DataFrame:
     """Load a file into Bronze: infer, diff and register its schema, append rows, log the run.
 
-    Returns one row that describes the upload.
+    A malformed record fails the upload, or goes to the quarantine with
+    ``keep_rejects``.  Returns one row that describes the upload.
     """
-    spark, now = store.spark, moment(at)
+    now = moment(at)
     dataset_id, run = stable_id("dataset", dataset), stable_id("run", dataset, path, at)
-    rows = read_file(spark, path, file_schema)
+    rows = read_file(store.spark, path, file_schema, keep_rejects)
+    if keep_rejects:
+        rows = _land(store, rows, dataset, run)
+    rows, rejects = split_rejects(rows)
 
     inferred = _held(store, schema.infer_schema(rows).withColumn("dataset_id", F.lit(dataset_id)))
     known = registry.current_versions(store.read("schema_versions").filter(F.col("dataset_id") == dataset_id))
@@ -104,41 +121,34 @@ def ingest_file(
     version = 1 if new else current["version"] + changed
 
     if new:
-        fields = {
-            "id": dataset_id, "name": dataset, "description": description, "domain": domain,
-            "source_type": source_type(path), "bronze_table": _bronze(dataset),
-        }
-        registered = _one(store, **fields).withColumns({"created_at": now, "updated_at": now, "is_active": F.lit(True)})
-        store.append_new("datasets", registered)
+        fields = {"name": dataset, "description": description, "domain": domain}
+        layer = {"source_type": source_type(path), "bronze_table": _bronze(dataset), "is_active": True}
+        register_dataset(store, dataset_id, at, **fields, **layer)
     if new or changed:
-        document = schema.schema_documents(inferred, "dataset_id")
-        prints = schema.fingerprints(inferred, "dataset_id")
         if new:
             summary = _one(store, dataset_id=dataset_id, change_summary="Initial schema (version 1)")
         else:
             summary = schema.change_summaries(changes, "dataset_id")
-        row = document.join(prints, "dataset_id").join(summary, "dataset_id")
+        document = schema.schema_documents(inferred, "dataset_id")
+        row = document.join(schema.fingerprints(inferred, "dataset_id"), "dataset_id").join(summary, "dataset_id")
+        version_id = stable_id("schema", dataset_id, str(version))
         store.append_new(
             "schema_versions",
-            row.withColumns(
-                {"id": F.lit(stable_id("schema", dataset_id, str(version))), "version": F.lit(version), "created_at": now}
-            ),
+            row.withColumns({"id": F.lit(version_id), "version": F.lit(version), "created_at": now}),
         )
 
-    bronze = layer_path(store, "bronze", _bronze(dataset), version)
-    existing = read_table(spark, bronze, bronze_schema(rows.schema)).filter(F.col("_pipeline_run_id") == run)
     header = {"id": run, "run_id": run, "dataset_id": dataset_id, "dag_id": "upload"}
     store.append_new("pipeline_runs", registry.open_runs(_one(store, **header), now))
-    if existing.isEmpty():
-        # partitioned by run, so that later steps read the files of one run only
-        bronze_rows(rows, path, run, version, now).write.mode("append").partitionBy("_pipeline_run_id").parquet(bronze)
-    ingested = existing.count() or read_table(spark, bronze, bronze_schema(rows.schema)).filter(
-        F.col("_pipeline_run_id") == run
-    ).count()
-    closed = registry.close_runs(_one(store, **{**header, "id": f"{run}-closed"}), now, F.lit("success"))
-    store.append_new(
-        "pipeline_runs", closed.withColumns({"rows_ingested": F.lit(ingested), "rows_rejected": F.lit(0)})
-    )
+    try:
+        ingested = _write_bronze(store, rows, dataset, path, run, version, at)
+        rejected = _write_quarantine(store, rejects, dataset, run) if keep_rejects else 0
+    except Exception as error:
+        failed = _one(store, **{**header, "id": f"{run}-failed"}, error_message=str(error)[:ERROR_CHARS])
+        store.append_new("pipeline_runs", registry.close_runs(failed, now, F.lit("failed")))
+        raise
+    closed = _one(store, **{**header, "id": f"{run}-closed"}, rows_ingested=ingested, rows_rejected=rejected)
+    store.append_new("pipeline_runs", registry.close_runs(closed, now, F.lit("success")))
+
     entry = F.struct("change_type", "column_name", "detail")
     listed = changes.groupBy("dataset_id").agg(F.sort_array(F.collect_list(entry)).alias("schema_changes"))
     return (
@@ -150,7 +160,7 @@ def ingest_file(
             F.lit(new).alias("is_new_dataset"),
             F.lit(run).alias("pipeline_run_id"),
             F.lit(ingested).alias("rows_ingested"),
-            F.lit(0).alias("rows_rejected"),
+            F.lit(rejected).alias("rows_rejected"),
             F.lit(_bronze(dataset)).alias("bronze_table"),
             F.lit(version).alias("schema_version"),
             F.col("fingerprint").alias("schema_fingerprint"),
@@ -160,6 +170,38 @@ def ingest_file(
     )
 
 
+def _land(store: FactStore, rows: DataFrame, dataset: str, run: str) -> DataFrame:
+    """Parsed records of a file as a table; rejects only show when all columns are parsed together."""
+    folder = f"{store.root}/landing/{_bronze(dataset)}/{run}"
+    rows.write.mode("overwrite").parquet(folder)
+    return store.spark.read.schema(rows.schema).parquet(folder)
+
+
+def _write_bronze(
+    store: FactStore, rows: DataFrame, dataset: str, path: str, run: str, version: int, at: str
+) -> int:
+    """Append the rows of a run unless they are there already; returns their number.
+
+    The table is partitioned by run, so that later steps read the files of one run only.
+    """
+    bronze = layer_path(store, "bronze", _bronze(dataset), version)
+
+    def written() -> DataFrame:
+        return read_table(store.spark, bronze, bronze_schema(rows.schema)).filter(F.col("_pipeline_run_id") == run)
+
+    if written().isEmpty():
+        added = bronze_rows(rows, path, run, version, moment(at))
+        added.write.mode("append").partitionBy("_pipeline_run_id").parquet(bronze)
+    return written().count()
+
+
+def _write_quarantine(store: FactStore, rejects: DataFrame, dataset: str, run: str) -> int:
+    """Keep the raw records of a run that could not be read; returns their number."""
+    folder = f"{store.root}/quarantine/{_bronze(dataset)}/{run}"
+    rejects.write.mode("overwrite").parquet(folder)
+    return store.spark.read.schema(rejects.schema).parquet(folder).count()
+
+
 def upload_event(upload: DataFrame) -> DataFrame:
     """Message that announces an upload."""
     fields = [
@@ -202,6 +244,7 @@ def bronze_to_silver(
     silver = read_table(spark, path, silver_schema(columns))
     rows = medallion.silver_additions(source, silver, run, version, mode).withColumn("_silver_loaded_at", moment(at))
     rows.write.mode("append").partitionBy("_pipeline_run_id").parquet(path)
+    register_dataset(store, dataset_id, at, silver_table=_layer(bronze_table, "silver"))
 
     written = read_table(spark, path, silver_schema(columns)).filter(F.col("_pipeline_run_id") == run)
     counts = medallion.run_counts(written).select(
@@ -232,6 +275,7 @@ def silver_to_gold(
     fresh.select(*[F.col(f.name).cast(f.dataType) for f in schema_.fields]).write.mode("append").partitionBy(
         "_pipeline_run_id"
     ).parquet(path)
+    register_dataset(store, dataset_id, at, gold_table=_layer(silver_table, "gold"))
 
     counts = (
         medallion.run_counts(silver.filter(F.col("_pipeline_run_id") == run))

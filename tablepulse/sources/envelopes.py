@@ -35,6 +35,16 @@ def wrap(events: DataFrame, topic: Column, payload: Column, published_at: Column
     )
 
 
+def publish_kafka(messages: DataFrame, servers: str) -> None:
+    """Send wrapped messages, each to its topic; needs the Kafka connector on the class path."""
+    messages.select("topic", "key", "value").write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+
+
+def publish_text(messages: DataFrame, path: str) -> None:
+    """Append wrapped messages to a folder of text files, one message per line."""
+    messages.select("value").write.mode("append").text(path)
+
+
 def unwrap(messages: DataFrame, value: str = "value") -> DataFrame:
     """Envelope columns of messages; ``_malformed`` marks values that are no JSON object."""
     text = F.col(value).cast("string")

@@ -19,9 +19,8 @@ from tablepulse.operators.medallion import GOLD_NUMERIC_COLUMNS
 
 # Columns and types of the fact tables.
 SCHEMAS = {
-    "datasets": "id string, name string, description string, source_type string, domain string, "
-    "bronze_table string, silver_table string, gold_table string, created_at timestamp_ntz, "
-    "updated_at timestamp_ntz, is_active boolean",
+    "dataset_events": "id string, dataset_id string, event_ts timestamp_ntz, name string, description string, "
+    "source_type string, domain string, bronze_table string, silver_table string, gold_table string, is_active boolean",
     "schema_versions": "id string, dataset_id string, version int, schema_json string, fingerprint string, "
     "created_at timestamp_ntz, change_summary string",
     "pipeline_runs": "id string, dataset_id string, dag_id string, run_id string, status string, "

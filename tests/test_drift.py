@@ -153,3 +153,11 @@ def test_table_is_scanned_once(spark, folder):
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
     assert "ReusedExchange" in final
+
+
+def test_categories_are_scanned_once(spark, folder):
+    sides = drift.split_by_time(spark.read.parquet(f"{folder}/lineitem.parquet"), "l_shipdate", "1998-06-01")
+    found = drift.categorical_drift(sides, ["l_returnflag", "l_linestatus"])
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1

@@ -46,7 +46,7 @@ def test_uploads_and_schema_versions(store, tmp_path):
     ]
     versions = {r["version"]: r["change_summary"] for r in store.read("schema_versions").collect()}
     assert versions == {1: "Initial schema (version 1)", 2: "ADD_COLUMN: city; DROP_COLUMN: amount"}
-    assert store.read("datasets").count() == 1
+    assert [(r["name"], r["bronze_table"]) for r in jobs.datasets(store).collect()] == [("Sales Data", "sales_data_raw")]
 
 
 def test_repeated_upload_adds_nothing(store, tmp_path):
@@ -58,6 +58,29 @@ def test_repeated_upload_adds_nothing(store, tmp_path):
     assert store.read("pipeline_runs").count() == 2  # opened and closed once
 
 
+def test_malformed_records_go_to_quarantine_or_fail_the_run(store, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("id,amount\n1,2.5\nx,1.0\n3,4.0\n")
+    columns = T.StructType.fromDDL("id int, amount double")
+    row = jobs.ingest_file(store, str(path), "Kept", AT, file_schema=columns, keep_rejects=True).first()
+    assert (row["rows_ingested"], row["rows_rejected"]) == (2, 1)
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        jobs.ingest_file(store, str(path), "Strict", AT, file_schema=columns)
+    runs = {r["status"] for r in store.read("pipeline_runs").collect()}
+    assert {"running", "success"} <= runs
+
+
+def test_failed_write_closes_the_run(store, tmp_path, monkeypatch):
+    def broken(*args):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(jobs, "_write_bronze", broken)
+    with pytest.raises(OSError):
+        upload(store, tmp_path, "a.csv", "id,amount\n1,2.5\n")
+    failed = store.read("pipeline_runs").filter("status = 'failed'").first()
+    assert failed["error_message"] == "disk full"
+
+
 def test_layers(store, tmp_path):
     row = upload(store, tmp_path, "a.csv", "id,amount\n1,2.5\n1,2.5\n,\n2,4.0\n").first()
     columns = T.StructType.fromDDL("id int, amount double")
@@ -67,6 +90,8 @@ def test_layers(store, tmp_path):
     silver = store.spark.read.parquet(jobs.layer_path(store, "silver", "sales_data_silver", 1))
     # Equal rows of a file stay apart, the row of NULLs is kept and flagged.
     assert silver.count() == 4 and silver.filter("_is_quarantined").count() == 1
+    entry = jobs.datasets(store).first()
+    assert (entry["bronze_table"], entry["silver_table"], entry["gold_table"]) == ("sales_data_raw", "sales_data_silver", "sales_data_gold")
     gold = {r["_aggregation_key"]: r for r in store.spark.read.parquet(jobs.layer_path(store, "gold", "sales_data_gold", 1)).collect()}
     assert {k: (r["_row_count"], r["amount_sum"]) for k, r in gold.items()} == {"1": (2, 5.0), "2": (1, 4.0)}
     lineage = {r["target_layer"]: (r["rows_in"], r["rows_out"], r["rows_rejected"]) for r in store.read("dataset_lineage").collect()}
@@ -178,6 +203,18 @@ def test_missing_fact_table_reads_as_empty(store, table):
     assert df.count() == 0 and df.schema.names == struct(SCHEMAS[table]).names
 
 
+def test_gold_sums_do_not_overflow(spark):
+    big = 2**62
+    silver = spark.createDataFrame([("r", False, 1.0, big)] * 5, "_pipeline_run_id string, _is_quarantined boolean, _quality_score double, a bigint")
+    assert int(medallion.to_gold(silver).first()["a_sum"]) == 5 * big
+
+
+def test_p_value_of_huge_windows(spark):
+    n = F.lit(10**12)
+    row = spark.range(1).select(drift.ks_p_value(F.lit(1e-9), n, n).alias("same"), drift.ks_p_value(F.lit(0.01), n, n).alias("other")).first()
+    assert (row["same"], row["other"]) == (1.0, 0.0)
+
+
 def test_drift_windows_of_one_small_table_overlap(spark):
     df = spark.range(10).select("id", F.timestamp_seconds("id").alias("ts"))
     rows = drift.side_rows(drift.newest_and_oldest(df, "ts", n=25_000)).first()

@@ -164,3 +164,41 @@ def test_health_points_by_severity(spark):
             {"drift_score": F.lit(0.5), "drifted_columns": F.lit(1), "total_columns": F.lit(2), "drift_pct": F.lit(50.0), "evaluated_at": F.lit("2024-01-01")}
         )
         assert reports.overall_health(empty["data_quality_metrics"], empty["cost_summary"], empty["heal_summary"], drift).first()["score"] == score
+
+
+def test_jobs_of_a_batch(spark, tmp_path):
+    from tablepulse.operators import drift
+    from tablepulse.plans import jobs
+    from tablepulse.streaming import handlers
+
+    at = "2024-01-02 00:00:00"
+    store = FactStore(spark, str(tmp_path / "facts"))
+    jobs.register_dataset(store, "d1", at, name="one", silver_table="one_silver", is_active=True)
+    table = spark.range(100).select((F.col("id") % 7).alias("v"), F.timestamp_seconds("id").alias("ts"))
+    usage = spark.createDataFrame([("w", 5.0, 10, "SUCCESS")], "warehouse_name string, credits_used double, bytes_scanned bigint, execution_status string")
+    usage = usage.withColumn("start_time", F.lit("2024-01-01").cast("timestamp_ntz"))
+    runs = spark.createDataFrame([], SCHEMAS["pipeline_runs"])
+    route = events.route(
+        {
+            "quality.events": handlers.quality_handler(store, lambda name: table if name == "one_silver" else None, at),
+            "drift.events": handlers.drift_handler(store, lambda a, b: drift.split_by_time(table, "ts", "1970-01-01 00:00:50"), at),
+            "cost.events": handlers.cost_handler(store, usage, runs, at),
+            "heal.commands": handlers.heal_handler(store, at),
+        }
+    )
+    (tmp_path / "in").mkdir()
+    sent = [
+        message("e1", "d1", pipeline_run_id="r1"),
+        message("e2", "d1", pipeline_run_id="r1"),
+        message("e3", "unknown"),
+        message("e4", "d1", "drift.events", pipeline_run_id="r1"),
+        message("e5", "d1", "cost.events", lookback_days=3),
+        message("e6", "d1", "heal.commands", failure_reason="socket closed", retry_count=1),
+    ]
+    (tmp_path / "in" / "1.txt").write_text("\n".join(sent))
+    drain(spark, tmp_path, route)
+    quality = store.read("data_quality_metrics").collect()
+    assert [(r["dataset_id"], r["silver_table"], r["total_rows"]) for r in quality] == [("d1", "one_silver", 100)]
+    assert store.read("drift_summary").first()["total_columns"] == 1
+    assert store.read("cost_summary").first()["lookback_days"] == 3
+    assert [(r["id"], r["failure_type"]) for r in store.read("heal_summary").collect()] == [("e6", "CONNECTION")]
