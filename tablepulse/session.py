@@ -26,6 +26,17 @@ def build_session(app_name: str = "tablepulse", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20) -> int:
+    """Set the number of shuffle partitions so that an input of this size fits into memory.
+
+    Adaptive execution merges partitions that turn out small, so the number only has
+    to be large enough.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, -(-input_bytes // partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    return wanted
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir`` that all executors can reach.
 

@@ -29,9 +29,10 @@ def _contexts(store: FactStore, batch: DataFrame) -> DataFrame:
 
 def _tables(store: FactStore, batch: DataFrame) -> list:
     """Distinct (data set, run, table) of a batch that name a table."""
-    fields = ["dataset_id", "pipeline_run_id", "silver_table", "reference_table", "schema_version"]
     named = _contexts(store, batch).filter(F.col("silver_table").isNotNull())
-    return named.select(*[F.coalesce(f, F.lit("")).alias(f) if f != "schema_version" else F.col(f) for f in fields]).distinct().collect()
+    text = {c: F.coalesce(c, F.lit("")) for c in ("dataset_id", "pipeline_run_id")}
+    fields = [*text, "silver_table", "reference_table", "schema_version"]
+    return named.withColumns(text).select(*fields).distinct().collect()
 
 
 def quality_handler(store: FactStore, load: Loader, at: str, config: QualityConfig = QualityConfig()) -> Handler:
