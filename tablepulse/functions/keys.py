@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 # A text longer than this is compared by its 64-digit SHA-256.
 KEY_CHARS = 63
 # Rows whose keys are estimated to be wider than this are compared by one digest.
-KEY_BYTES = 96
+KEY_BYTES = 256
 
 
 def compact_key(column: Column, data_type: T.DataType) -> Column:

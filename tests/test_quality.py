@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablepulse.functions import keys
 from tablepulse.operators import quality
 
 SCHEMA = "k int, v double, s string, _audit string"
@@ -102,7 +103,9 @@ def test_column_named_with_a_dot(spark):
     assert quality.column_metrics(quality.measure(df)).first()["null_count"] == 1
 
 
-def test_wide_rows_are_compared_by_digest(spark):
+@pytest.mark.parametrize("key_bytes", [0, 10_000])
+def test_rows_are_compared_by_digest_or_directly(spark, monkeypatch, key_bytes):
+    monkeypatch.setattr(keys, "KEY_BYTES", key_bytes)
     wide = "a double, t timestamp_ntz, s string, u string, x binary, y array<int>, z decimal(10,2), d date"
     from datetime import date, datetime
     from decimal import Decimal
