@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import simhash
+from tablepulse.llm import simhash, substrings
 from tablepulse.llm.storage import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+
+@query("op10_repeated_passages", f"""
+    WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD_SQL}'), []) AS ws FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s
+            FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w)),
+    shared AS (SELECT s, MIN(doc_id) AS least FROM win GROUP BY s HAVING MIN(doc_id) < MAX(doc_id)),
+    gone AS (SELECT DISTINCT doc_id, i + j AS k
+             FROM win JOIN shared USING (s), (SELECT unnest(generate_series(0, 12)) AS j) WHERE doc_id > least),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS k FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text
+             FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM w LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+    LEFT JOIN kept USING (doc_id)""")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    left = substrings.remove_repeats(docs)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    kept = F.sha2(F.array_join(words, " "), 256)
+    return left.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))

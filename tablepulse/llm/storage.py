@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablepulse.session import shared_folder
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -34,10 +35,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, read column by column."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder: computed once, read column by column.
+
+    The shuffle files of the write are dropped at its end, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
