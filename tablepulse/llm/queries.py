@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import simhash, substrings
-from tablepulse.llm.storage import ship
+from tablepulse.llm import bitpack, bpe, simhash, substrings
+from tablepulse.llm.storage import new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +62,25 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
     kept = F.sha2(F.array_join(words, " "), 256)
     return left.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query("op2_packed_ids")
+def packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    to = new_folder(spark, "packed_ids")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    manifest = bitpack.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), to, bits=(49_408 - 1).bit_length())
+    found = bitpack.read_ids(spark, to, manifest)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+
+
+@query("op3_byte_bpe")
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.recode(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
