@@ -10,7 +10,7 @@ import numpy as np
 MAX_PIECES = 500_000
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers things in the order they are first asked for."""
 
     def __missing__(self, key):
@@ -36,7 +36,7 @@ class PieceCache:
         self.clear()
 
     def clear(self) -> None:
-        self.number = _Numbers()
+        self.number = Numbers()
         self.starts = np.zeros(1, np.int64)  # starts[i] .. starts[i + 1]: ids of piece i
         self.flat = np.empty(0, np.int32)
 
