@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import bitpack, bpe, simhash, substrings, toxicity
+from tablepulse.llm import bitpack, bpe, mixing, simhash, substrings, toxicity
 from tablepulse.llm.storage import new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,17 +73,21 @@ def packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def coded_columns() -> list[Column]:
+    """Digests of encoded documents."""
+    return [
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]
+
+
 @query("op3_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.recode(docs, ranks, public_tokenizers.PATTERN)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return coded.select("doc_id", *coded_columns())
 
 
 @query("op5_toxicity")
@@ -97,3 +101,60 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+MIX_WEIGHTS = [
+    {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0},
+    {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0},
+    {"src0": 2.0},
+]
+MIX = {"share": 0.9, "max_epochs": 2, "seed": 11}
+
+
+def domain(source) -> Column:
+    """Domain of a source, by the number in its name."""
+    number = F.try_to_number(F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1), F.lit("999999999999999999"))
+    return F.concat(F.lit("d"), F.coalesce(number, F.lit(0)).cast("bigint") % 4)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents mixed by domain, language and source; tokens are words."""
+    levels = {"domain": domain(F.col("source")), "language": F.col("lang"), "origin": F.col("source")}
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)")))
+    return mixing.mix(docs, levels, MIX_WEIGHTS, words, **MIX)
+
+
+def _share_out_sql(name: str, above: str, parent: list[str], label: str, weights: dict) -> str:
+    """The budgets of one level in SQL: relations of this name, from the budgets above."""
+    over = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    weight = " ".join(f"WHEN {label} = '{k}' THEN {v}e0" for k, v in weights.items())
+    keys = ", ".join([*parent, label])
+    join = f"JOIN {above} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {above}"
+    return f"""
+    {name}1 AS (SELECT {keys}, cap, w, parent_budget, cap / w AS r FROM (
+        SELECT {keys}, SUM(cap) AS cap, CASE {weight} ELSE 1.0e0 END AS w FROM leaves GROUP BY {keys}) {join}),
+    {name}2 AS (SELECT *, (parent_budget - coalesce(SUM(cap) OVER b, 0)) / (SUM(w) OVER ({over}) - coalesce(SUM(w) OVER b, 0)) AS lv
+        FROM {name}1 WINDOW b AS ({over} ORDER BY r, {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {name}3 AS (SELECT *, first_value(lv) OVER ({over} ORDER BY (cap <= lv * w)::INT, r, {label}) AS fill FROM {name}2),
+    {name} AS (SELECT {keys}, CASE WHEN cap <= lv * w THEN cap ELSE floor(fill * w) END AS parent_budget FROM {name}3)"""
+
+
+@query("op6_mixing", f"""
+    WITH docs AS (SELECT doc_id, lang, source, 'd' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4) AS domain,
+                  CAST(len(coalesce(regexp_extract_all(text, '{WORD_SQL}'), [])) AS BIGINT) AS n_tokens FROM documents),
+    sums AS (SELECT domain, lang, source, SUM(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+    leaves AS (SELECT *, tokens * {MIX["max_epochs"]} AS cap FROM sums),
+    root AS (SELECT floor(SUM(tokens) * {MIX["share"]}e0) AS parent_budget FROM sums),
+    {_share_out_sql("a", "root", [], "domain", MIX_WEIGHTS[0])},
+    {_share_out_sql("b", "a", ["domain"], "lang", MIX_WEIGHTS[1])},
+    {_share_out_sql("c", "b", ["domain", "lang"], "source", MIX_WEIGHTS[2])},
+    budgets AS (SELECT c.*, floor(parent_budget / tokens)::INT AS full_epochs, parent_budget - floor(parent_budget / tokens) * tokens AS rest
+                FROM c JOIN sums USING (domain, lang, source) WHERE parent_budget > 0),
+    placed AS (SELECT *, coalesce(SUM(n_tokens) OVER (PARTITION BY domain, lang, source
+                 ORDER BY md5('{MIX["seed"]}|' || full_epochs || '|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+               FROM docs JOIN budgets USING (domain, lang, source))
+    SELECT doc_id, lang, source, CAST(mix_epoch AS INT) AS mix_epoch, n_tokens AS mix_tokens, CAST(parent_budget AS BIGINT) AS mix_budget
+    FROM (SELECT *, unnest(range(CASE WHEN before < rest THEN full_epochs + 1 ELSE full_epochs END)) AS mix_epoch FROM placed)""")
+def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "lang", "source", "mix_epoch", "mix_tokens", "mix_budget")

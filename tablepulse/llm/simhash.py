@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepulse.llm.components import components
@@ -295,7 +295,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return _grouped(prints.select(id_col, "fp"), edges, id_col)
 
 
-def fingerprint_text(fp) -> F.Column:
+def fingerprint_text(fp) -> Column:
     """Sixteen lowercase hex digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -218,12 +218,11 @@ def _step(model: Model, texts: list[np.ndarray], rows: np.ndarray, labels: np.nd
 
 
 def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """Middle of the gap between logits that makes the fewest errors, errors weighted by class."""
+    """Middle of the gap between logits that makes the fewest errors."""
     order = np.argsort(logits, kind="stable")
     logits, labels = logits[order], labels[order]
-    wrong_ones = np.r_[0, np.cumsum(labels)] / max(1, labels.sum())
-    wrong_zeros = (len(labels) - labels.sum() - np.r_[0, np.cumsum(1 - labels)]) / max(1, (1 - labels).sum())
-    at = np.flatnonzero(np.isclose(wrong_ones + wrong_zeros, (wrong_ones + wrong_zeros).min()))
+    wrong = np.r_[0, np.cumsum(labels)] + (1 - labels).sum() - np.r_[0, np.cumsum(1 - labels)]
+    at = np.flatnonzero(wrong == wrong.min())
     at = at[len(at) // 2]
     low = logits[at - 1] if at else logits[0] - 1
     high = logits[at] if at < len(logits) else logits[-1] + 1
