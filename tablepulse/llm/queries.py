@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import bitpack, bpe, mixing, simhash, substrings, toxicity
+from tablepulse.llm import bitpack, bpe, kdsearch, mixing, simhash, substrings, toxicity
 from tablepulse.llm.storage import new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,14 @@ def _share_out_sql(name: str, above: str, parent: list[str], label: str, weights
 def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return mixed(docs).select("doc_id", "lang", "source", "mix_epoch", "mix_tokens", "mix_budget")
+
+
+@query("op7_kd_top_k", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def kd_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return kdsearch.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
