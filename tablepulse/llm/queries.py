@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import bitpack, bpe, chat, kdsearch, mixing, simhash, substrings, toxicity
+from tablepulse.llm import bitpack, bpe, chat, divergence, kdsearch, mixing, simhash, substrings, toxicity
 from tablepulse.llm.storage import landed, new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,54 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", CONFLICTING), (-7, 1, "assistant", CONFLICTING)], turns.schema)
     chunks = landed(chat.format_conversations(turns.unionByName(more)), "chat")
     return chat.summaries(chunks).withColumnRenamed("conversation", "conv_id")
+
+
+def _left_sql(depth: int) -> str:
+    text = "t"
+    for pattern in list(divergence.CLASSES.values())[:depth]:
+        text = "regexp_replace({}, '{}', '', 'g')".format(text, pattern.replace("'", "''"))
+    return text
+
+
+def _distance_sql(name: str, size: int) -> str:
+    """Jensen-Shannon distance of a document's counts to the sums of its language."""
+    p, q = "(name[i] / psum)".replace("name", name), f"(ref_{name}[i] / qsum)"
+    part = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    terms = f"list_transform(range(1, {size + 1}), lambda i: {part.format(p, q)} + {part.format(q, p)})"
+    terms = terms.replace("psum", f"list_sum({name})::DOUBLE").replace("qsum", f"list_sum(ref_{name})::DOUBLE")
+    return f"CASE WHEN list_sum({name}) > 0 AND list_sum(ref_{name}) > 0 THEN sqrt(greatest(list_sum({terms}) / 2, 0)) END"
+
+
+_N_CLASSES, _N_COMMON = len(divergence.CLASSES) + 1, len(divergence.COMMON) + 1
+_COUNTS = ", ".join(f"CAST(len(l{i}) - len(l{i + 1}) AS BIGINT)" for i in range(len(divergence.CLASSES)))
+_LISTED = "[" + ", ".join(f"'{w}'" for w in divergence.COMMON) + "]"
+_SUMS = lambda name, size: "[" + ", ".join(f"SUM({name}[{i + 1}])" for i in range(size)) + f"] AS ref_{name}"
+
+
+@query("op1_divergence", f"""
+    WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{WORD_SQL}') AS ws, {", ".join(f"{_left_sql(i)} AS l{i}" for i in range(_N_CLASSES))} FROM d),
+    lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD_SQL}')) AS ls FROM d),
+    win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM l)),
+    twice AS (SELECT doc_id, s FROM win GROUP BY ALL HAVING COUNT(*) > 1),
+    covered AS (SELECT doc_id, COUNT(DISTINCT i + j) AS n FROM win JOIN twice USING (doc_id, s), (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+    words AS (SELECT doc_id, w, COUNT(*) AS n FROM (SELECT doc_id, unnest(list_transform(ws, lambda x: lower(x))) AS w FROM l)
+              WHERE list_contains({_LISTED}, w) GROUP BY ALL),
+    counted AS (SELECT doc_id, map_from_entries(list((w, n))) AS m FROM words GROUP BY doc_id),
+    f AS (SELECT l.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, [{_COUNTS}, CAST(len(l{_N_CLASSES - 1}) AS BIGINT)] AS classes,
+                 CAST(len(t) - (len(l1) - len(l2)) AS BIGINT) AS word_chars,
+                 CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+                 list_transform({_LISTED}, lambda w: CAST(coalesce(m[w], 0) AS BIGINT)) AS c
+          FROM l JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN counted USING (doc_id)),
+    h AS (SELECT *, list_append(c, n_words - CAST(list_sum(c) AS BIGINT)) AS common FROM f),
+    refs AS (SELECT lang AS ref_lang, COUNT(*) AS n, {_SUMS("classes", _N_CLASSES)}, {_SUMS("common", _N_COMMON)} FROM h GROUP BY lang),
+    j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_distance_sql("classes", _N_CLASSES)} AS dc,
+                 {_distance_sql("common", _N_COMMON)} AS dw FROM h JOIN refs ON lang IS NOT DISTINCT FROM ref_lang)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT (n_words >= {divergence.MIN_WORDS} AND n >= {divergence.MIN_DOCUMENTS}
+             AND (coalesce(dc, 0) > {divergence.MAX_CLASS_DISTANCE} OR coalesce(dw, 0) > {divergence.MAX_WORD_DISTANCE})) AS kept
+    FROM j""")
+def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = divergence.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
