@@ -32,8 +32,8 @@ COMMON = sorted(set(
 ))
 MIN_WORDS = 100
 MIN_DOCUMENTS = 30
-MAX_CLASS_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.6
+MAX_CLASS_DISTANCE = 0.3
+MAX_WORD_DISTANCE = 0.35
 
 
 def repeated_words(words: Column) -> Column:

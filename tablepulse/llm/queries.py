@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import bitpack, bpe, chat, divergence, kdsearch, mixing, simhash, substrings, toxicity
+from tablepulse.llm import bitpack, bpe, chat, divergence, kdsearch, licences, mixing, simhash, substrings, toxicity
 from tablepulse.llm.storage import landed, new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,43 @@ _SUMS = lambda name, size: "[" + ", ".join(f"SUM({name}[{i + 1}])" for i in rang
 def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = divergence.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_TEMPLATE_SQL = ", ".join(f"({t}, '{label}', {place}, '{word}', {must})" for t, label, place, word, must in licences.ROWS)
+_WORD_LIST_SQL = ", ".join(f"'{w}'" for w in licences.WORDS)
+_STARTS_SQL = " UNION ALL ".join(
+    f"SELECT a.doc_id, a.pos, '{label}' AS label FROM w a "
+    + " ".join(f"JOIN w b{n} ON b{n}.doc_id = a.doc_id AND b{n}.pos = a.pos + {n} AND b{n}.word = '{word}'" for n, word in enumerate(phrase.split()) if n)
+    + f" WHERE a.word = '{phrase.split()[0]}'"
+    for phrase, label in licences.PHRASES.items()
+)
+
+
+@query("op9_licences", f"""
+    WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{licences.UPPER}', '{licences.LOWER}'), '{licences.WORD[1:-1]}'), []) AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM d),
+    base AS ({_STARTS_SQL}),
+    t AS (SELECT * FROM (VALUES {_TEMPLATE_SQL}) AS v(template, label, slot, word, mandatory)),
+    hits AS (SELECT * FROM w WHERE word IN ({_WORD_LIST_SQL})),
+    freq AS (SELECT word, COUNT(DISTINCT doc_id) AS df FROM hits GROUP BY word),
+    rare AS (SELECT * FROM (SELECT doc_id, word, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY df, word) AS rank
+                            FROM (SELECT DISTINCT doc_id, word FROM hits SEMI JOIN t USING (word)) JOIN freq USING (word)) WHERE rank <= {licences.RARE_WORDS}),
+    votes AS (SELECT doc_id, template, pos - slot AS off FROM hits SEMI JOIN rare USING (doc_id, word) JOIN t USING (word)
+              GROUP BY ALL HAVING COUNT(DISTINCT word) >= {licences.MIN_VOTES}),
+    laid AS (SELECT v.doc_id, v.template, t.label, v.off, t.mandatory, h.pos IS NOT NULL AS there,
+                    ln((1.0e0 + (SELECT COUNT(*) FROM d)) / (1.0e0 + coalesce(df, 0))) AS weight
+             FROM votes v JOIN t USING (template) LEFT JOIN freq USING (word)
+             LEFT JOIN hits h ON h.doc_id = v.doc_id AND h.pos = v.off + t.slot AND h.word = t.word),
+    good AS (SELECT doc_id, label, CASE WHEN SUM(weight) > 0 THEN round(SUM(CASE WHEN there THEN weight ELSE 0 END) / SUM(weight), 6) ELSE 1.0 END AS score
+             FROM laid GROUP BY doc_id, template, label, off HAVING bool_and(there OR NOT mandatory)),
+    method AS (SELECT * FROM good WHERE score >= {licences.MIN_SCORE})
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, (SELECT COUNT(*) FROM base b WHERE b.doc_id = d.doc_id) AS n_base,
+           (SELECT MIN(pos) FROM base b WHERE b.doc_id = d.doc_id) AS first_word, (SELECT MAX(pos) FROM base b WHERE b.doc_id = d.doc_id) AS last_word,
+           coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM base b WHERE b.doc_id = d.doc_id), '') AS base_labels,
+           coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM method) b
+                     WHERE b.doc_id = d.doc_id), '') AS labels,
+           CASE WHEN EXISTS (SELECT 1 FROM base b WHERE b.doc_id = d.doc_id) THEN 1.0e0
+                ELSE CAST(coalesce((SELECT MAX(score) FROM method m WHERE m.doc_id = d.doc_id), 0) AS DOUBLE) END AS score
+    FROM d""")
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licences(table(spark, folder, "documents").select("doc_id", "text"))
