@@ -87,12 +87,13 @@ def mix(
     the table of leaves is small enough for Spark to send it to the tasks.
     """
     names = [f"__{n}" for n in levels]
-    mark = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
-    labelled = docs.drop("mix_epoch", "mix_tokens", "mix_budget").select(
+    base = docs.drop("mix_epoch", "mix_tokens", "mix_budget")
+    mark = F.xxhash64(*[c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))])
+    labelled = base.select(
         "*",
         *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())],
         F.coalesce(tokens.cast("bigint"), F.lit(0).cast("bigint")).alias("mix_tokens"),
-        F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("__id"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"),
         mark.alias("__mark"),
     )
     narrow = landed(labelled.select(*names, "mix_tokens", "__id", "__mark"), "mix_tokens")
