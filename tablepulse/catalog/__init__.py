@@ -37,6 +37,7 @@ def load() -> None:
         registry_queries,
         relational_queries,
         report_queries,
+        round_trip_queries,
         schema_queries,
         stream_queries,
     )

@@ -26,7 +26,7 @@ ACTIONS = f"""
         SELECT event_id, 1 AS action_no, 'UPDATE_PIPELINE_STATUS' AS action_type, concat('Set pipeline_run_id=', pipeline_run_id, ' to HEALING') AS action_detail FROM de WHERE retried
         UNION ALL SELECT event_id, 2, 'EMIT_RECOVERY_EVENT', concat('Emitted retry event for failure_type=', failure_type) FROM de WHERE retried
         UNION ALL SELECT event_id, 1, 'QUARANTINE_AFTER_MAX_RETRIES', concat('Quarantined after ', CAST(retry_count AS VARCHAR), ' retries') FROM de WHERE recovery_status = 'ESCALATED'
-        UNION ALL SELECT event_id, 1, 'QUARANTINE_DATASET', concat('Quarantined dataset=', dataset_id, ' reason=', left(failure_reason, 200)) FROM de WHERE failure_type = 'QUALITY'
+        UNION ALL SELECT event_id, 1, 'QUARANTINE_DATASET', concat('Quarantined dataset=', dataset_id, ' reason=', failure_reason) FROM de WHERE failure_type = 'QUALITY'
         UNION ALL SELECT event_id, CASE WHEN retried THEN 3 ELSE 2 END, 'UPDATE_PIPELINE_FINAL_STATUS', concat('Set pipeline status to ', final_status) FROM de)"""
 
 

@@ -12,7 +12,13 @@ from tablepulse.operators.relational import accepted_rows, rows_not_in
 from tablepulse.sources import facts
 from tablepulse.sources.tables import scan
 
-KEY = "md5(concat_ws('|', _pipeline_run_id, strftime(_loaded_at, '%Y-%m-%d %H:%M:%S.%g'), CAST(_row_number AS VARCHAR)))"
+def _text_sql(*names: str) -> str:
+    return " || ".join(f"coalesce(len(CAST({n} AS VARCHAR)) || ':' || CAST({n} AS VARCHAR), '-')" for n in names)
+
+
+PLACED = _text_sql("_pipeline_run_id", "_loaded_at", "_row_number")
+CONTENT = _text_sql("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+KEY = f"CASE WHEN _loaded_at IS NOT NULL AND _row_number IS NOT NULL THEN sha256({PLACED}) ELSE sha256({PLACED} || {CONTENT}) END"
 SILVER = f"""
     sv AS (SELECT {KEY} AS _row_key, _pipeline_run_id, _loaded_at AS _bronze_loaded_at, _loaded_at IS NULL AS _is_quarantined,
            o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM v_bronze)"""

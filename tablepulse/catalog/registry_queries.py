@@ -101,13 +101,13 @@ def _(t):
 
 
 @query("reg_10_current_runs", """
-    SELECT run_id, dataset_id, dag_id, CASE WHEN completed_at IS NULL THEN 'running' ELSE status END AS status, started_at,
+    SELECT id, run_id, dataset_id, dag_id, CASE WHEN completed_at IS NULL THEN 'running' ELSE status END AS status, started_at,
            CASE WHEN completed_at IS NULL THEN NULL ELSE rows_ingested END AS rows_ingested,
            CASE WHEN completed_at IS NULL THEN NULL ELSE rows_rejected END AS rows_rejected FROM v_runs""")
 def _(t):
     opened, closed = _run_events(t)
-    runs = registry.current_runs(opened.unionByName(closed, allowMissingColumns=True), "status")
-    return runs.select("run_id", "dataset_id", "dag_id", "status", "started_at", "rows_ingested", "rows_rejected")
+    runs = registry.current_runs(opened.unionByName(closed, allowMissingColumns=True))
+    return runs.select(F.concat(F.lit(""), F.regexp_replace("id", "^run_", "")).alias("id"), "run_id", "dataset_id", "dag_id", "status", "started_at", "rows_ingested", "rows_rejected")
 
 
 @query("reg_11_dataset_details", f"""

@@ -67,7 +67,7 @@ def _(t):
     SELECT run_id, task_name FROM v_tasks WHERE run_id IN (SELECT id FROM v_runs ORDER BY started_at DESC NULLS LAST, id LIMIT 40)""")
 def _(t):
     top = r.newest(t["v_runs"], 40, "started_at", "id")
-    return r.keep_matching_top(t["v_tasks"], "run_id", top, "id", 40).select("run_id", "task_name")
+    return r.keep_matching_top(t["v_tasks"], "run_id", top, "id").select("run_id", "task_name")
 
 
 @query("jn_05_rows_of_latest_run", """

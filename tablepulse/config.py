@@ -29,7 +29,6 @@ class DriftConfig:
     p_value_threshold: float = 0.05
     categorical_threshold: float = 0.1
     min_rows: int = 10
-    window_rows: int = 25_000
     # A column's sorted values are cut into 2 ** range_bits ranges before running sums are taken.
     range_bits: int = 12
     # The cuts are estimated from one in so many distinct values.

@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 KEY_CHARS = 63
 # Rows whose keys are estimated to be wider than this are compared by one digest.
 KEY_BYTES = 256
+# JSON of nested values, with times to the microsecond.
+JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def compact_key(column: Column, data_type: T.DataType) -> Column:
@@ -22,10 +28,7 @@ def compact_key(column: Column, data_type: T.DataType) -> Column:
     """
     if _fixed_width(data_type):
         return column
-    if isinstance(data_type, T.BinaryType):
-        column = F.hex(column)
-    elif not isinstance(data_type, T.StringType):
-        column = F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
+    column = exact_text(column, data_type)
     return F.when(F.length(column) > KEY_CHARS, F.sha2(column, 256)).otherwise(column)
 
 
@@ -33,17 +36,29 @@ def _fixed_width(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _exact_text(column: Column, data_type: T.DataType) -> Column:
-    """Text that is equal exactly for values that group together."""
+def exact_text(column: Column, data_type: T.DataType) -> Column:
+    """Text that is equal exactly for values that group together, to the microsecond.
+
+    Times without zone never meet the session's zone, in which two of them can be one moment.
+    """
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return (column + F.lit(0.0)).cast("string")  # -0.0 groups with 0.0
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(column.cast("timestamp")).cast("string")
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(column).cast("string")
     if isinstance(data_type, T.BinaryType):
         return F.hex(column)
     if isinstance(data_type, T.StringType) or _fixed_width(data_type):
         return column.cast("string")
-    return F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
+    return F.when(column.isNotNull(), F.to_json(column, JSON))
+
+
+def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """All values of a row with their lengths; NULL has a mark of its own, so no two different rows share a text."""
+    parts = []
+    for c in columns:
+        text = exact_text(F.col(f"`{c}`"), df.schema[c].dataType)
+        parts.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts)
 
 
 def row_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
@@ -57,8 +72,4 @@ def row_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     width = sum(8 if _fixed_width(kind) else 32 for kind in kinds.values())
     if width <= KEY_BYTES:
         return [compact_key(F.col(f"`{c}`"), kind) for c, kind in kinds.items()]
-    parts = []
-    for c, kind in kinds.items():
-        text = _exact_text(F.col(f"`{c}`"), kind)
-        parts.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
-    return [F.unhex(F.sha2(F.concat(*parts), 256))]
+    return [F.unhex(F.sha2(row_text(df, columns), 256))]

@@ -35,7 +35,10 @@ COLUMN_FACTS = ["low", "high", "current_total", "reference_total"]
 # --- windows -----------------------------------------------------------------
 
 def split_by_time(df: DataFrame, ts: str, split: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Both windows from one scan: rows before ``split`` are the reference."""
+    """Both windows from one scan: rows before ``split`` are the reference.
+
+    Rows without a time belong to neither; :func:`undated_rows` counts them.
+    """
     kind = df.schema[ts].dataType
     rows = df.filter(F.col(ts).isNotNull())
     if start is not None:
@@ -45,6 +48,11 @@ def split_by_time(df: DataFrame, ts: str, split: str, start: str | None = None,
     return rows.withColumn(SIDE, F.col(ts) >= moment(split, kind))
 
 
+def undated_rows(df: DataFrame, ts: str) -> DataFrame:
+    """Number of rows that no window by time can hold."""
+    return df.agg(F.count_if(F.col(ts).isNull()).alias("undated_rows"))
+
+
 def pair(current: DataFrame, reference: DataFrame) -> DataFrame:
     """Windows that come from two tables; only common columns are kept.
 
@@ -62,7 +70,7 @@ def pair(current: DataFrame, reference: DataFrame) -> DataFrame:
     return side(current, reference, True).unionByName(side(reference, current, False))
 
 
-def newest_and_oldest(df: DataFrame, ts: str, *ties: str, n: int = DriftConfig.window_rows) -> DataFrame:
+def newest_and_oldest(df: DataFrame, ts: str, *ties: str, n: int) -> DataFrame:
     """The ``n`` newest rows against the ``n`` oldest ones."""
     return pair(df.orderBy(F.desc(ts), *[F.desc(t) for t in ties]).limit(n), df.orderBy(ts, *ties).limit(n))
 

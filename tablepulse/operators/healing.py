@@ -24,7 +24,6 @@ RETRY, QUARANTINE = "retry", "quarantine"
 RESOLVED, FAILED, ESCALATED = "RESOLVED", "FAILED", "ESCALATED"
 # Topic that a retried failure is sent to.
 RETRY_TOPICS = {"CONNECTION": "quality.events", "SYSTEM": "quality.events", "DRIFT": "drift.events"}
-REASON_CHARS, DETAIL_CHARS = 2000, 4000
 
 
 def failure_type(lowered: Column) -> Column:
@@ -49,7 +48,9 @@ def decide(failures: DataFrame, config: HealConfig = HealConfig()) -> DataFrame:
     """Type, strategy, outcome and final run status of every failure event.
 
     Input: ``event_id, dataset_id, failure_reason, retry_count`` and optionally
-    ``pipeline_run_id``, ``detected_at`` and ``resolved_at``.
+    ``pipeline_run_id``, ``failed_task``, ``detected_at`` and ``resolved_at``.  A decision
+    whose target is not known (a retry without run, a quarantine without data set) cannot
+    be carried out: it fails.
     """
     def optional(name: str, kind: str) -> Column:
         return F.col(name) if name in failures.columns else F.lit(None).cast(kind)
@@ -64,6 +65,7 @@ def decide(failures: DataFrame, config: HealConfig = HealConfig()) -> DataFrame:
         .withColumns(
             {
                 "pipeline_run_id": optional("pipeline_run_id", "string"),
+                "failed_task": optional("failed_task", "string"),
                 "detected_at": optional("detected_at", "timestamp_ntz"),
                 "resolved_at": optional("resolved_at", "timestamp_ntz"),
                 "retry_count": F.coalesce("retry_count", F.lit(0)),
@@ -74,9 +76,13 @@ def decide(failures: DataFrame, config: HealConfig = HealConfig()) -> DataFrame:
             {
                 "retried": retry,
                 "quarantined": ~retry,
-                "recovery_status": F.when(exhausted, F.lit(ESCALATED)).otherwise(F.lit(RESOLVED)),
+                "possible": F.when(retry, F.col("pipeline_run_id").isNotNull()).otherwise(F.col("dataset_id").isNotNull()),
             }
         )
+        .withColumn(
+            "recovery_status",
+            F.when(exhausted, F.lit(ESCALATED)).when(F.col("possible"), F.lit(RESOLVED)).otherwise(F.lit(FAILED)),
+        )
         .withColumn(
             "final_status",
             F.when(done, F.lit("success"))
@@ -87,35 +93,41 @@ def decide(failures: DataFrame, config: HealConfig = HealConfig()) -> DataFrame:
 
 
 def actions(decided: DataFrame) -> DataFrame:
-    """Two or three action rows per event, numbered in order."""
-    def action(kind: str, *detail: Column) -> Column:
+    """Two or three action rows per event, numbered in order.
+
+    An action succeeds if what it changes is known: the run, the data set or the topic.
+    """
+    known_run, known_dataset = F.col("pipeline_run_id").isNotNull(), F.col("dataset_id").isNotNull()
+
+    def action(kind: str, done: Column, *detail: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("action_type"),
-            F.substring(F.concat(*detail), 1, DETAIL_CHARS).alias("action_detail"),
-            F.lit(True).alias("success"),
+            F.concat(*detail).alias("action_detail"),
+            done.alias("success"),
         )
 
     run = F.coalesce("pipeline_run_id", F.lit(""))
     reason = F.coalesce("failure_reason", F.lit(""))
     retried = F.array(
-        action("UPDATE_PIPELINE_STATUS", F.lit("Set pipeline_run_id="), run, F.lit(" to HEALING")),
-        action("EMIT_RECOVERY_EVENT", F.lit("Emitted retry event for failure_type="), F.col("failure_type")),
+        action("UPDATE_PIPELINE_STATUS", known_run, F.lit("Set pipeline_run_id="), run, F.lit(" to HEALING")),
+        action("EMIT_RECOVERY_EVENT", F.lit(True), F.lit("Emitted retry event for failure_type="), F.col("failure_type")),
     )
     exhausted = F.array(
         action(
-            "QUARANTINE_AFTER_MAX_RETRIES", F.lit("Quarantined after "), F.col("retry_count").cast("string"), F.lit(" retries")
+            "QUARANTINE_AFTER_MAX_RETRIES", known_dataset, F.lit("Quarantined after "), F.col("retry_count").cast("string"), F.lit(" retries")
         )
     )
     quarantined = F.array(
         action(
             "QUARANTINE_DATASET",
+            known_dataset,
             F.lit("Quarantined dataset="),
             F.coalesce("dataset_id", F.lit("")),
             F.lit(" reason="),
-            F.substring(reason, 1, 200),
+            reason,
         )
     )
-    last = F.array(action("UPDATE_PIPELINE_FINAL_STATUS", F.lit("Set pipeline status to "), F.col("final_status")))
+    last = F.array(action("UPDATE_PIPELINE_FINAL_STATUS", known_run, F.lit("Set pipeline status to "), F.col("final_status")))
     first = (
         F.when(F.col("retried"), retried)
         .when(F.col("recovery_status") == ESCALATED, exhausted)
@@ -130,23 +142,33 @@ def action_count() -> Column:
     return F.when(F.col("retried"), 3).otherwise(2)
 
 
-def heal_summary(decided: DataFrame) -> DataFrame:
-    """One summary row per event; the repair time runs from detection to resolution."""
+def succeeded_count() -> Column:
+    """How many of the actions of an event can be carried out."""
+    run, dataset = F.col("pipeline_run_id").isNotNull().cast("int"), F.col("dataset_id").isNotNull().cast("int")
+    return F.when(F.col("retried"), 1 + 2 * run).otherwise(run + dataset)
+
+
+def heal_summary(decided: DataFrame, with_origin: bool = False) -> DataFrame:
+    """One summary row per event; the repair time runs from detection to resolution.
+
+    ``with_origin`` adds the failed task and the time of detection.
+    """
     mttr = F.round(seconds_between(F.col("detected_at"), F.col("resolved_at")).cast("double"), 4)
     return decided.select(
         "event_id",
         "dataset_id",
         "pipeline_run_id",
         "failure_type",
-        F.substring(F.coalesce("failure_reason", F.lit("")), 1, REASON_CHARS).alias("failure_reason"),
+        F.coalesce("failure_reason", F.lit("")).alias("failure_reason"),
         "healing_strategy",
         "recovery_status",
         "retry_count",
         mttr.alias("mttr_seconds"),
         action_count().alias("actions_taken"),
-        action_count().alias("actions_succeeded"),
+        succeeded_count().alias("actions_succeeded"),
         "quarantined",
         F.when(F.col("recovery_status") == ESCALATED, F.lit(HIGH)).otherwise(F.lit(LOW)).alias("severity"),
+        *[c for c in ("failed_task", "detected_at") if with_origin],
     )
 
 

@@ -8,25 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablepulse.functions.names import row_key
+from tablepulse.functions.keys import row_text
 from tablepulse.operators.relational import data_columns, equals_if_given, newest, rows_not_in
 
-GOLD_NUMERIC_COLUMNS = 20
-
 
 def bronze_key(bronze: DataFrame) -> Column:
     """Key of a Bronze row over all runs, never NULL.
 
-    Run with load time and row number where both exist, else with the ingestion id,
-    else with the content of all data columns.
+    Run with load time and row number where the table has both, else with the ingestion id.
+    Rows in which one of them is NULL, and tables without them, are told apart by the content
+    of all data columns as well.
     """
-    run = F.col("_pipeline_run_id")
-    if {"_loaded_at", "_row_number"} <= set(bronze.columns):
-        return row_key(F.col("_loaded_at"), F.col("_row_number"), run)
-    if "_ingestion_id" in bronze.columns:
-        return F.md5(F.concat_ws("|", run, F.col("_ingestion_id")))
-    content = F.to_json(F.struct(*data_columns(bronze)), {"ignoreNullFields": "false"})
-    return F.sha2(F.concat_ws("|", run, content), 256)
+    placed = ["_loaded_at", "_row_number"]
+    given = placed if set(placed) <= set(bronze.columns) else [c for c in ["_ingestion_id"] if c in bronze.columns]
+    names = ["_pipeline_run_id", *given]
+    by_content = F.sha2(row_text(bronze, [*names, *data_columns(bronze)]), 256)
+    if not given:
+        return by_content
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in given])
+    return F.when(complete, F.sha2(row_text(bronze, names), 256)).otherwise(by_content)
 
 
 def all_null(columns: list[str]) -> Column:
@@ -68,12 +68,17 @@ def silver_additions(
     rows = to_silver(equals_if_given(bronze, run_id, "_pipeline_run_id"), schema_version)
     known = equals_if_given(silver, run_id, "_pipeline_run_id")
     if mode == "run_once":
-        return rows_not_in(rows, known, ["_pipeline_run_id"])
+        # Known runs are few next to the rows: only they are looked up, the rows stay where they are.
+        runs = bronze.select("_pipeline_run_id").distinct().join(known.select("_pipeline_run_id").distinct(), "_pipeline_run_id")
+        return rows_not_in(rows, runs, ["_pipeline_run_id"])
     placed = rows.repartition("_row_key")
     return placed.join(known.select("_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
 
 
-def to_gold(silver: DataFrame, key: str | None = None, run_id: str | None = None, numeric: bool = True) -> DataFrame:
+def to_gold(
+    silver: DataFrame, key: str | None = None, run_id: str | None = None, numeric: bool = True,
+    columns: list[str] | None = None,
+) -> DataFrame:
     """Row count, mean quality and numeric roll-ups per run and key, without quarantined rows."""
     rows = equals_if_given(silver, run_id, "_pipeline_run_id").filter(~F.col("_is_quarantined"))
     aggregation_key = F.coalesce(F.col(key or "_pipeline_run_id").cast("string"), F.lit("unknown"))
@@ -82,15 +87,15 @@ def to_gold(silver: DataFrame, key: str | None = None, run_id: str | None = None
         F.avg(F.coalesce("_quality_score", F.lit(1.0))).alias("_quality_score_avg"),
     ]
     if numeric:
-        measures += gold_measures(silver)
+        measures += gold_measures(silver, columns)
     return rows.groupBy("_pipeline_run_id", aggregation_key.alias("_aggregation_key")).agg(*measures)
 
 
-def gold_measures(silver: DataFrame) -> list[Column]:
-    """Sum and mean of the first numeric data columns; whole numbers are summed without overflow."""
+def gold_measures(silver: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Sum and mean of the numeric data columns, or of those named; whole numbers are summed without overflow."""
     numeric = [f for f in silver.schema.fields if isinstance(f.dataType, T.NumericType) and not f.name.startswith("_")]
     out = []
-    for field in numeric[:GOLD_NUMERIC_COLUMNS]:
+    for field in [f for f in numeric if columns is None or f.name in columns]:
         column = F.col(f"`{field.name}`")
         summand = column.cast("decimal(28,0)") if isinstance(field.dataType, T.IntegralType) else column
         out += [F.sum(summand).alias(f"{field.name}_sum"), F.avg(column).alias(f"{field.name}_avg")]

@@ -7,9 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A top-n result is broadcast only while n, which bounds its rows, stays below this.
-BROADCAST_ROWS = 10_000
-
 
 def data_columns(df: DataFrame) -> list[str]:
     """Names without the audit columns, which start with an underscore."""
@@ -51,15 +48,14 @@ def newest(df: DataFrame, n: int, ts: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(ts), *ties).limit(n)
 
 
-def keep_matching_top(df: DataFrame, key: str, top: DataFrame, top_key: str, n: int) -> DataFrame:
-    """Semi-join with a top-n result; broadcast while ``n`` bounds it to a small size."""
-    keys = top.select(F.col(top_key).alias(key))
-    return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, key, "left_semi")
+def keep_matching_top(df: DataFrame, key: str, top: DataFrame, top_key: str) -> DataFrame:
+    """Semi-join with a top-n result."""
+    return df.join(top.select(F.col(top_key).alias(key)), key, "left_semi")
 
 
 def rows_of_latest(df: DataFrame, key: str, parents: DataFrame, parent_key: str, ts: str) -> DataFrame:
     """Rows that belong to the newest parent row."""
-    return keep_matching_top(df, key, newest(parents, 1, ts, parent_key), parent_key, 1)
+    return keep_matching_top(df, key, newest(parents, 1, ts, parent_key), parent_key)
 
 
 def rows_not_in(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

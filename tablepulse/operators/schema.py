@@ -78,6 +78,24 @@ def infer_schema(df: DataFrame) -> DataFrame:
     return totals.select(F.inline(F.array(*described))).filter(F.col("rows") > 0).drop("rows")
 
 
+# Storage of the logical types that texts are promoted to.
+STORAGE = {"NUMBER(18,0)": "bigint", "FLOAT": "double", "TIMESTAMP_NTZ": "timestamp_ntz", "BOOLEAN": "boolean"}
+
+
+def promoted(df: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, Column]:
+    """``df`` with text columns cast to their inferred types, and a condition on rows that lost a value."""
+    out, lost = [], F.lit(False)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        kind = STORAGE.get(kinds.get(field.name, "")) if isinstance(field.dataType, T.StringType) else None
+        if kind:
+            text = column
+            column = parse_time(text).cast(kind) if kind == "timestamp_ntz" else F.trim(text).try_cast(kind)
+            lost = lost | (text.isNotNull() & column.isNull())
+        out.append(column.alias(field.name))
+    return df.select("*", lost.alias("_lost")).select(*out, "_lost"), F.col("_lost")
+
+
 def sample_values(df: DataFrame, order_key: str, n: int = 5) -> DataFrame:
     """The first ``n`` present values of each column in the order of ``order_key``.
 

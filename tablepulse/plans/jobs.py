@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,6 @@ from tablepulse.sources.facts import (
 )
 from tablepulse.sources.files import read_file, source_type, split_rejects
 
-ERROR_CHARS = 2000
-
 
 def stable_id(*parts: str) -> str:
     return hashlib.md5("|".join(parts).encode()).hexdigest()
@@ -77,6 +77,31 @@ def layer_path(store: FactStore, layer: str, table: str, version: int) -> str:
     return f"{store.root}/{layer}/{table}/v{version}"
 
 
+def all_versions(store: FactStore, layer: str, table: str, dataset_id: str) -> DataFrame:
+    """One table over all schema versions of a data set.
+
+    Columns that a version lacks are NULL there; a column stored in different types is text.
+    The versions, which are few, are looked up in the registry.
+    """
+    known = store.read("schema_versions").filter(F.col("dataset_id") == dataset_id)
+    parts = []
+    for row in known.select("version").distinct().orderBy("version").collect():
+        try:
+            parts.append(store.spark.read.parquet(layer_path(store, layer, table, row["version"])))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not parts:
+        raise ValueError(f"{layer} table {table} was never written")
+    kinds: dict[str, set] = {}
+    for part in parts:
+        for field in part.schema.fields:
+            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
+    mixed = {name for name, found in kinds.items() if len(found) > 1}
+    parts = [p.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in p.columns]) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def register_dataset(store: FactStore, dataset_id: str, at: str, **fields: object) -> None:
     """Append a registry event that sets some fields of a data set; a known event adds nothing."""
     event_id = stable_id("dataset_event", dataset_id, at, *(f"{k}={v}" for k, v in sorted(fields.items())))
@@ -112,6 +137,18 @@ def ingest_file(
     rows, rejects = split_rejects(rows)
 
     inferred = _held(store, schema.infer_schema(rows).withColumn("dataset_id", F.lit(dataset_id)))
+    kinds = {row["column_name"]: row["logical_type"] for row in inferred.collect()}
+    rows, lost = schema.promoted(rows, kinds)
+    stored = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    storage = F.element_at(F.create_map(*[F.lit(x) for kv in stored.items() for x in kv]), F.col("column_name"))
+    inferred = inferred.withColumn("storage_type", storage)
+    if keep_rejects:
+        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_lost"]))
+        rejects = rejects.unionByName(rows.filter(lost).select(record.alias(rejects.columns[0])))
+        rows = rows.filter(~lost).drop("_lost")
+    else:
+        broken = F.when(lost, F.raise_error(F.lit(f"{path}: a value does not fit the type of its column")))
+        rows = rows.filter(broken.cast("boolean").isNull()).drop("_lost")
     known = registry.current_versions(store.read("schema_versions").filter(F.col("dataset_id") == dataset_id))
     # Held before anything is written, since the new version becomes part of what is known.
     changes = _held(store, schema.schema_changes(schema.explode_schema(known, "dataset_id"), inferred, "dataset_id"))
@@ -143,7 +180,7 @@ def ingest_file(
         ingested = _write_bronze(store, rows, dataset, path, run, version, at)
         rejected = _write_quarantine(store, rejects, dataset, run) if keep_rejects else 0
     except Exception as error:
-        failed = _one(store, **{**header, "id": f"{run}-failed"}, error_message=str(error)[:ERROR_CHARS])
+        failed = _one(store, **{**header, "id": f"{run}-failed"}, error_message=str(error))
         store.append_new("pipeline_runs", registry.close_runs(failed, now, F.lit("failed")))
         raise
     closed = _one(store, **{**header, "id": f"{run}-closed"}, rows_ingested=ingested, rows_rejected=rejected)
@@ -180,19 +217,19 @@ def _land(store: FactStore, rows: DataFrame, dataset: str, run: str) -> DataFram
 def _write_bronze(
     store: FactStore, rows: DataFrame, dataset: str, path: str, run: str, version: int, at: str
 ) -> int:
-    """Append the rows of a run unless they are there already; returns their number.
+    """Write the rows of a run; returns their number.
 
     The table is partitioned by run, so that later steps read the files of one run only.
     """
     bronze = layer_path(store, "bronze", _bronze(dataset), version)
+    _replace_run(bronze_rows(rows, path, run, version, moment(at)), bronze)
+    return read_table(store.spark, bronze, bronze_schema(rows.schema)).filter(F.col("_pipeline_run_id") == run).count()
 
-    def written() -> DataFrame:
-        return read_table(store.spark, bronze, bronze_schema(rows.schema)).filter(F.col("_pipeline_run_id") == run)
 
-    if written().isEmpty():
-        added = bronze_rows(rows, path, run, version, moment(at))
-        added.write.mode("append").partitionBy("_pipeline_run_id").parquet(bronze)
-    return written().count()
+def _replace_run(rows: DataFrame, path: str) -> None:
+    """Write the rows of one or more runs in place of whatever a broken attempt left of these runs."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("_pipeline_run_id").parquet(path)
 
 
 def _write_quarantine(store: FactStore, rejects: DataFrame, dataset: str, run: str) -> int:
@@ -242,8 +279,13 @@ def bronze_to_silver(
     source = read_table(spark, layer_path(store, "bronze", bronze_table, version), bronze_schema(columns))
     path = layer_path(store, "silver", _layer(bronze_table, "silver"), version)
     silver = read_table(spark, path, silver_schema(columns))
-    rows = medallion.silver_additions(source, silver, run, version, mode).withColumn("_silver_loaded_at", moment(at))
-    rows.write.mode("append").partitionBy("_pipeline_run_id").parquet(path)
+    if mode == "run_once":
+        # The whole run is written again, so what a broken attempt left of it does not count as the run.
+        rows = medallion.to_silver(source.filter(F.col("_pipeline_run_id") == run), version).dropDuplicates(["_row_key"])
+        _replace_run(rows.withColumn("_silver_loaded_at", moment(at)), path)
+    else:
+        rows = medallion.silver_additions(source, silver, run, version, mode).withColumn("_silver_loaded_at", moment(at))
+        rows.write.mode("append").partitionBy("_pipeline_run_id").parquet(path)
     register_dataset(store, dataset_id, at, silver_table=_layer(bronze_table, "silver"))
 
     written = read_table(spark, path, silver_schema(columns)).filter(F.col("_pipeline_run_id") == run)
@@ -267,14 +309,10 @@ def silver_to_gold(
     silver = read_table(spark, layer_path(store, "silver", silver_table, version), silver_schema(columns))
     path = layer_path(store, "gold", _layer(silver_table, "gold"), version)
     schema_ = gold_schema(columns)
-    gold = read_table(spark, path, schema_).filter(F.col("_pipeline_run_id") == run)
     rows = medallion.to_gold(silver, key, run).withColumns(
         {"_aggregation_date": moment(at).cast("date"), "_gold_loaded_at": moment(at)}
     )
-    fresh = rows_not_in(rows, gold, ["_pipeline_run_id"])
-    fresh.select(*[F.col(f.name).cast(f.dataType) for f in schema_.fields]).write.mode("append").partitionBy(
-        "_pipeline_run_id"
-    ).parquet(path)
+    _replace_run(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema_.fields]), path)
     register_dataset(store, dataset_id, at, gold_table=_layer(silver_table, "gold"))
 
     counts = (
@@ -304,10 +342,10 @@ def _context(run: str, dataset_id: str, pipeline_run_id: str, at: str, **more: s
 
 
 def _append_all(store: FactStore, facts: Mapping[str, DataFrame]) -> None:
-    keys = {"quality_metrics": "quality_run_id", "drift_metrics": "drift_run_id"}
+    keys = {"quality_metrics": ["quality_run_id", "column_name", "metric_type"], "drift_metrics": ["drift_run_id", "column_name"]}
     for table, rows in facts.items():
         if table in keys:
-            new = rows_not_in(rows, store.read(table), [keys[table]])
+            new = rows_not_in(rows, store.read(table), keys[table])
             new.write.mode("append").parquet(store.path(table))
         else:
             store.append_new(table, rows)
@@ -322,11 +360,12 @@ def quality_job(
     at: str,
     schema_version: int = 1,
     config: QualityConfig = QualityConfig(),
+    request: str = "",
 ) -> DataFrame:
     """Profile a table, append the quality facts and return the result row."""
     if df is None or df.isEmpty():
         return _skipped(store, "quality_agent", "low", "table is missing or has 0 rows")
-    run = stable_id("quality", dataset_id, pipeline_run_id, at)
+    run = stable_id("quality", dataset_id, pipeline_run_id, at, *([request] if request else []))
     context = _context(run, dataset_id, pipeline_run_id, at, silver_table=silver_table)
     context["schema_version"] = F.lit(schema_version)
     # One row with one array entry per column; kept so that the table is scanned once.
@@ -362,12 +401,13 @@ def drift_job(
     reference_table: str | None = None,
     columns: Sequence[str] | None = None,
     config: DriftConfig = DriftConfig(),
+    request: str = "",
 ) -> DataFrame:
     """Compare two windows, append the drift facts and return the result row."""
     rows = drift.side_rows(sides).first()
     if min(rows["current_rows"], rows["reference_rows"]) < config.min_rows:
         return _skipped(store, "drift_agent", "low", f"fewer than {config.min_rows} rows on a side")
-    run = stable_id("drift", dataset_id, pipeline_run_id, at)
+    run = stable_id("drift", dataset_id, pipeline_run_id, at, *([request] if request else []))
     context = _context(
         run, dataset_id, pipeline_run_id, at, silver_table=silver_table, reference_table=reference_table or silver_table
     )
@@ -395,10 +435,12 @@ def cost_job(
     days: int = CostConfig.lookback_days,
     warehouse: str | None = None,
     config: CostConfig = CostConfig(),
+    request: str = "",
 ) -> DataFrame:
     """Roll up, score and forecast usage per warehouse; one result row per warehouse."""
     measured = cost.cost_report(usage, runs, at, days, warehouse, config=config).persist()
-    run = run_id(F.lit("cost"), F.lit(dataset_id), F.lit(pipeline_run_id), F.lit(at), F.col("warehouse_name"))
+    asked = [F.lit(request)] if request else []
+    run = run_id(F.lit("cost"), F.lit(dataset_id), F.lit(pipeline_run_id), F.lit(at), F.col("warehouse_name"), *asked)
     context = {**_context("", dataset_id, pipeline_run_id, at), "id": run}
     _append_all(store, cost_facts(measured, cost.forecast(measured, at, ["warehouse_name"], config), context))
     measured.unpersist()
@@ -415,9 +457,42 @@ def cost_job(
 
 
 def heal_job(store: FactStore, failures: DataFrame, at: str, config: HealConfig = HealConfig()) -> DataFrame:
-    """Decide on a backlog of failures and append the heal facts; one result row per event."""
-    decided = healing.decide(failures, config)
-    summary = healing.heal_summary(decided)
-    _append_all(store, heal_facts(summary, healing.actions(decided), moment(at)))
-    status = F.when(F.col("recovery_status") == healing.ESCALATED, F.lit("escalated")).otherwise(F.lit("resolved"))
+    """Recover a backlog of failures: set the status of runs and data sets, put retry events into
+    the outbox and append the heal facts.  One result row per event.
+
+    ``outbox`` holds wrapped messages; :func:`tablepulse.sources.envelopes.publish_kafka` sends them.
+    """
+    now = moment(at)
+    given = F.col("detected_at").cast("timestamp_ntz") if "detected_at" in failures.columns else F.lit(None).cast("timestamp_ntz")
+    # What is recovered now was found when the event was published, if it says when.
+    failures = failures.withColumns({"detected_at": given, "resolved_at": now})
+    # Read by six tables; a lost executor only means that a part is decided again.
+    decided = healing.decide(failures, config).persist()
+    summary = healing.heal_summary(decided, with_origin=True)
+
+    # First the changes, then the facts that report them; a repeated job adds neither twice.
+    marks = healing.run_status_events(decided)
+    final = F.col("status") != "healing"
+    steps = marks.select(
+        run_id(F.lit("heal"), F.col("event_id"), F.col("step").cast("string")).alias("id"),
+        "run_id",
+        "status",
+        F.when(final, now).alias("completed_at"),
+        now.alias("event_ts"),
+    )
+    store.append_new("pipeline_runs", steps)
+    held = healing.dataset_status_events(decided)
+    held = held.select(run_id(F.lit("heal"), F.col("event_id")).alias("id"), "dataset_id", "status", now.alias("event_ts"))
+    store.append_new("dataset_events", held)
+    retries = healing.recovery_events(decided)
+    messages = wrap(retries, F.col("topic"), F.col("payload"), F.lit(at))
+    messages = messages.withColumns({"id": F.md5("value"), "published_at": now})
+    store.append_new("outbox", messages)
+    _append_all(store, heal_facts(summary, healing.actions(decided), now))
+    summary = summary.drop("failed_task", "detected_at")
+    status = (
+        F.when(F.col("recovery_status") == healing.ESCALATED, F.lit("escalated"))
+        .when(F.col("recovery_status") == healing.FAILED, F.lit("failed"))
+        .otherwise(F.lit("resolved"))
+    )
     return result_row(summary, "self_healing_agent", status, F.col("severity"), F.array("healing_strategy"))

@@ -13,7 +13,6 @@ from tablepulse.functions.names import label, run_label
 from tablepulse.functions.scores import clamp_score, health_label, percent_true, psi_band, rate_band, share
 from tablepulse.functions.times import day_text, look_ahead, look_back, moment, seconds_between
 from tablepulse.operators.relational import (
-    BROADCAST_ROWS,
     daily_stats,
     dataset_filter,
     distinct_values,
@@ -85,10 +84,9 @@ def task_timeline(tasks: DataFrame, runs: DataFrame, as_of: str, limit_runs: int
     top = newest(runs, limit_runs, "started_at", "id").select(
         F.col("id").alias("_id"), "dag_id", F.col("started_at").alias("run_started_at")
     )
-    parents = F.broadcast(top) if limit_runs <= BROADCAST_ROWS else top
     seconds = F.coalesce(F.col("duration_sec"), _duration(as_of).cast("double"))
     return (
-        tasks.join(parents, tasks["run_id"] == F.col("_id"))
+        tasks.join(top, tasks["run_id"] == F.col("_id"))
         .orderBy(F.desc("run_started_at"), F.asc_nulls_last("started_at"), "run_id", "task_name")
         .select(
             "run_id", "dag_id", "task_name", "task_type", "status", "started_at", "completed_at",

@@ -14,18 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablepulse.operators.healing import DETAIL_CHARS, REASON_CHARS
-from tablepulse.operators.medallion import GOLD_NUMERIC_COLUMNS
+from tablepulse.functions.keys import JSON, row_text
+from tablepulse.sources import registry
 
 # Columns and types of the fact tables.
 SCHEMAS = {
     "dataset_events": "id string, dataset_id string, event_ts timestamp_ntz, name string, description string, "
-    "source_type string, domain string, bronze_table string, silver_table string, gold_table string, is_active boolean",
+    "source_type string, domain string, bronze_table string, silver_table string, gold_table string, is_active boolean, "
+    "status string",
     "schema_versions": "id string, dataset_id string, version int, schema_json string, fingerprint string, "
     "created_at timestamp_ntz, change_summary string",
     "pipeline_runs": "id string, dataset_id string, dag_id string, run_id string, status string, "
     "triggered_by string, rows_ingested bigint, rows_rejected bigint, started_at timestamp_ntz, "
     "completed_at timestamp_ntz, error_message string, event_ts timestamp_ntz",
+    "pipeline_tasks": "id string, run_id string, task_name string, task_type string, status string, "
+    "started_at timestamp_ntz, completed_at timestamp_ntz, duration_sec double, retry_count int",
+    "outbox": "id string, topic string, key string, value string, published_at timestamp_ntz",
     "quality_runs": "id string, dataset_id string, pipeline_run_id string, schema_version int, "
     "total_rows bigint, quality_score decimal(5,2), evaluated_at timestamp_ntz",
     "quality_metrics": "quality_run_id string, column_name string, metric_type string, "
@@ -68,8 +72,6 @@ SCHEMAS = {
     "source_layer string, target_layer string, source_table string, target_table string, rows_in bigint, "
     "rows_out bigint, rows_rejected bigint, transformation_type string, notes string",
 }
-# Text columns that are cut to a length.
-CUTS = {"failure_reason": REASON_CHARS, "action_detail": DETAIL_CHARS}
 # Audit columns of the layers.
 BRONZE_AUDIT = "_ingestion_id string, _ingestion_ts timestamp_ntz, _source_file string, _pipeline_run_id string, _schema_version int"
 SILVER_AUDIT = (
@@ -95,8 +97,8 @@ def silver_schema(columns: T.StructType) -> T.StructType:
 
 
 def gold_schema(columns: T.StructType) -> T.StructType:
-    """Audit columns and the sum and mean of each of the first numeric columns."""
-    numeric = [f.name for f in columns.fields if isinstance(f.dataType, T.NumericType)][:GOLD_NUMERIC_COLUMNS]
+    """Audit columns and the sum and mean of each numeric column."""
+    numeric = [f.name for f in columns.fields if isinstance(f.dataType, T.NumericType)]
     measures = [T.StructField(f"{n}_{m}", T.DoubleType()) for n in numeric for m in ("sum", "avg")]
     return T.StructType([*struct(GOLD_AUDIT).fields, *measures])
 
@@ -124,27 +126,50 @@ class FactStore:
     def read(self, table: str) -> DataFrame:
         return read_table(self.spark, self.path(table), struct(SCHEMAS[table]))
 
+    def report(self, table: str) -> DataFrame:
+        """A fact table with the columns that the reports read.
+
+        Runs are in their current state, one row each; usage records carry a date and a price.
+        """
+        rows = self.read(table)
+        if table == "pipeline_runs":
+            return registry.current_runs(rows, "id")
+        if table == "cost_records":
+            return rows.withColumns(
+                {
+                    "usage_date": F.col("recorded_at").cast("date"),
+                    "service_type": F.lit("COMPUTE"),
+                    "cost_usd": F.col("credits_usd"),
+                    "created_at": F.col("recorded_at"),
+                }
+            )
+        return rows
+
     def append(self, table: str, rows: DataFrame) -> None:
         as_fact(table, rows).write.mode("append").parquet(self.path(table))
 
     def append_new(self, table: str, rows: DataFrame, key: str = "id") -> None:
-        """Append the rows whose key the table does not hold yet, so a repeated job adds nothing."""
-        known = self.read(table).select(key)
-        self.append(table, rows.dropDuplicates([key]).join(known, key, "left_anti"))
+        """Append the rows whose key the table does not hold yet, so a repeated job adds nothing.
+
+        A row without key gets a digest of its content as key.  Of the history only the keys
+        that are new here are looked up, which a Bloom filter of them can prune.
+        """
+        content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), JSON), 256)
+        rows = rows.withColumn(key, F.coalesce(F.col(key).cast("string"), content))
+        rows = as_fact(table, rows).dropDuplicates([key])
+        known = self.read(table).select(key).join(rows.select(key), key, "left_semi")
+        self.append(table, rows.join(known, key, "left_anti"))
 
 
 def as_fact(table: str, rows: DataFrame) -> DataFrame:
     """Rows in the declared columns and types of a fact table.
 
-    Missing columns become NULL, numbers are rounded to the declared scale, long
-    texts are cut.
+    Missing columns become NULL, numbers are rounded to the declared scale.
     """
     out = []
     for field in struct(SCHEMAS[table]).fields:
         if field.name not in rows.columns:
             column: Column = F.lit(None)
-        elif field.name in CUTS:
-            column = F.substring(F.col(field.name), 1, CUTS[field.name])
         elif isinstance(field.dataType, T.DecimalType):
             column = F.round(F.col(field.name), field.dataType.scale)
         else:
@@ -209,8 +234,9 @@ def cost_facts(measured: DataFrame, forecasts: DataFrame, context: Mapping[str,
 def heal_facts(summary: DataFrame, action_rows: DataFrame, at: Column) -> dict[str, DataFrame]:
     """Run header, actions and flat summary of healed events; ids follow the event ids."""
     rows = summary.withColumn("id", F.col("event_id"))
+    found = F.coalesce("detected_at", at) if "detected_at" in rows.columns else at
     return {
-        "heal_runs": as_fact("heal_runs", rows.withColumns({"failure_detected_at": at, "created_at": at})),
+        "heal_runs": as_fact("heal_runs", rows.withColumns({"failure_detected_at": found, "created_at": at})),
         "heal_actions": as_fact(
             "heal_actions",
             action_rows.withColumns(
@@ -226,7 +252,11 @@ def heal_facts(summary: DataFrame, action_rows: DataFrame, at: Column) -> dict[s
 
 
 def bronze_rows(df: DataFrame, source_file: str, pipeline_run_id: str, schema_version: int, at: Column) -> DataFrame:
-    """Data rows with Bronze audit columns; NaN becomes NULL."""
+    """Data rows with Bronze audit columns; NaN becomes NULL.
+
+    The ingestion id follows from run, place in the file and content, so a repeated load of
+    the same file builds the same ids, and equal rows keep ids of their own.
+    """
     data = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -234,7 +264,9 @@ def bronze_rows(df: DataFrame, source_file: str, pipeline_run_id: str, schema_ve
             column = F.when(~F.isnan(column), column)
         data.append(column.alias(field.name))
     return df.select(
-        F.expr("uuid()").alias("_ingestion_id"),
+        F.sha2(
+            F.concat_ws("|", F.lit(pipeline_run_id), F.monotonically_increasing_id().cast("string"), row_text(df, df.columns)), 256
+        ).alias("_ingestion_id"),
         at.cast("timestamp_ntz").alias("_ingestion_ts"),
         F.lit(source_file).alias("_source_file"),
         F.lit(pipeline_run_id).alias("_pipeline_run_id"),

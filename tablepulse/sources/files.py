@@ -5,15 +5,24 @@ from __future__ import annotations
 import json
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepulse.functions.names import clean_columns
+from tablepulse.functions.types import TIME_PATTERN
 
 EXTENSIONS = {".csv": "csv", ".json": "json", ".jsonl": "json"}
 CORRUPT = "_corrupt_record"
+# Texts that stand for a missing value in a CSV file.
+MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 class UnsupportedFileType(ValueError):
@@ -43,18 +52,26 @@ def source_type(name: str) -> str:
     return tail if tail in ("csv", "json", "jsonl") else "csv"
 
 
-def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: bool = False) -> DataFrame:
+def read_file(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: bool = False, multi_line: bool = True
+) -> DataFrame:
     """Rows of a CSV or JSON file, or of a folder of files of one kind.
 
-    With ``schema`` the file is scanned once; without it Spark infers the types in
-    a scan of its own.  A malformed record is an error, or, with ``rejects``, stays
-    in the column ``_corrupt_record`` for the quarantine.
+    Without ``schema`` the types are inferred in a scan of its own.  A malformed record
+    is an error, for which all records are read once, or, with ``rejects``, stays in the
+    column ``_corrupt_record`` for the quarantine.  Quoted CSV texts may hold line breaks;
+    Spark then reads each file in one task, and ``multi_line=False`` splits large files
+    that have none.
     """
     kind = EXTENSIONS[file_extension(path)]
     try:
-        df = _read_csv(spark, path, schema, rejects) if kind == "csv" else _read_json(spark, path, schema, rejects)
-        empty = df.isEmpty()
-    except PySparkException as error:
+        if kind == "csv":
+            df = _read_csv(spark, path, schema, rejects, multi_line)
+        else:
+            df = _read_json(spark, path, schema, rejects)
+        # Reading every column of every record finds the malformed ones.
+        empty = df.isEmpty() if rejects else not df.agg(F.count("*"), *[F.count(F.col(f"`{c}`")) for c in df.columns]).first()[0]
+    except (PySparkException, Py4JJavaError) as error:
         raise UnreadableFile(path) from error
     if empty:
         raise EmptyFile(path)
@@ -76,14 +93,50 @@ def _mode(schema: T.StructType | None, rejects: bool) -> tuple[T.StructType | No
     return schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool) -> DataFrame:
-    if schema is None and rejects:
-        inferred = spark.read.csv(path, header=True, inferSchema=True).schema
-        return _read_csv(spark, path, inferred, True)
-    schema, options = _mode(schema, rejects)
-    reader = spark.read.options(header=True, multiLine=False, **options)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool, multi_line: bool) -> DataFrame:
+    # A quote inside quotes is doubled.
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
+    if schema is not None:
+        schema, options = _mode(schema, rejects)
+        return reader.options(**options).schema(schema).csv(path)
+    names = reader.csv(path).columns
+    texts, options = _mode(T.StructType([T.StructField(n, T.StringType()) for n in names]), rejects)
+    return typed_texts(reader.options(**options).schema(texts).csv(path))
+
+
+def typed_texts(df: DataFrame) -> DataFrame:
+    """Text columns with marks of missing values as NULL, in the narrowest type that fits all their values."""
+    columns = [c for c in df.columns if c != CORRUPT]
+    if not columns:
+        return df
+    clean = df.select(
+        *[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in columns], *[c for c in df.columns if c == CORRUPT]
+    )
+
+    def tests(c: str) -> dict[str, Column]:
+        text = F.col(f"`{c}`")
+        return {
+            "int": text.rlike(INTEGER) & text.try_cast("int").isNotNull(),
+            "bigint": text.rlike(INTEGER) & text.try_cast("bigint").isNotNull(),
+            "double": text.rlike(DECIMAL),
+            "boolean": F.lower(text).isin("true", "false"),
+            "date": text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & text.try_cast("date").isNotNull(),
+            "timestamp": text.rlike(TIME_PATTERN) & text.try_cast("timestamp").isNotNull(),
+        }
+
+    fits = [
+        F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), test)).alias(f"{i} {kind}")
+        for i, c in enumerate(columns)
+        for kind, test in tests(c).items()
+    ]
+    # One row with six flags per column; NULL where a column has no value.
+    found = clean.agg(*fits).first().asDict()
+    out = []
+    for i, c in enumerate(columns):
+        kind = next((k for k in tests(c) if found[f"{i} {k}"]), "string")
+        value = F.trim(F.col(f"`{c}`")) if kind != "string" else F.col(f"`{c}`")
+        out.append(value.cast(kind).alias(c))
+    return clean.select(*out, *[c for c in df.columns if c == CORRUPT])
 
 
 def _one_document(spark: SparkSession, path: str) -> bool:
@@ -95,7 +148,7 @@ def _one_document(spark: SparkSession, path: str) -> bool:
     try:
         json.loads(first)
     except ValueError:
-        return first.startswith("[")
+        return first.startswith(("[", "{"))
     return False
 
 
@@ -104,6 +157,9 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, reje
     whole = _one_document(spark, path)
     if schema is None:
         inferred = spark.read.option("multiLine", whole).json(path).schema
+        if whole and inferred.names == [CORRUPT]:
+            # No document, so the first line may be one malformed record.
+            whole, inferred = False, spark.read.json(path).schema
         if CORRUPT in inferred.names and (not rejects or len(inferred) == 1):
             raise UnreadableFile(path)
         schema = T.StructType([f for f in inferred.fields if f.name != CORRUPT])

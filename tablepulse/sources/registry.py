@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablepulse.operators.schema import parse_schema
 
 DATASET_FIELDS = [
-    "name", "description", "source_type", "domain", "bronze_table", "silver_table", "gold_table", "is_active",
+    "name", "description", "source_type", "domain", "bronze_table", "silver_table", "gold_table", "is_active", "status",
 ]
 RUN_FIELDS = [
     "dataset_id", "dag_id", "status", "rows_ingested", "rows_rejected", "started_at", "completed_at", "error_message",
@@ -82,8 +82,8 @@ def count_datasets(datasets: DataFrame) -> DataFrame:
 
 def with_current_flag(versions: DataFrame) -> DataFrame:
     """Schema versions with ``is_current``: the highest version of a data set."""
-    newest = versions.groupBy("dataset_id").agg(F.max("version").alias("_newest"))
-    return versions.join(newest, "dataset_id").withColumn("is_current", F.col("version") == F.col("_newest")).drop("_newest")
+    newest = F.max("version").over(Window.partitionBy("dataset_id"))
+    return versions.withColumn("is_current", F.col("version") == newest)
 
 
 def current_versions(versions: DataFrame) -> DataFrame:
@@ -109,8 +109,14 @@ def next_versions(versions: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def current_runs(events: DataFrame, *ties: str) -> DataFrame:
-    """Current state per run; a run opens as ``running`` and closes with a later event."""
-    return latest_values(events, "run_id", RUN_FIELDS, ["event_ts", *ties])
+    """Current state per run; a run opens as ``running`` and closes with a later event.
+
+    Of events of one moment the one that completes the run counts, then ``ties``.
+    """
+    closes = "completed_at" in events.columns
+    order = ["event_ts", *(["_closes"] if closes else []), *ties]
+    rows = events.withColumn("_closes", F.col("completed_at").isNotNull()) if closes else events
+    return latest_values(rows, "run_id", RUN_FIELDS, order).withColumn("id", F.col("run_id"))
 
 
 def open_runs(rows: DataFrame, at: Column, triggered_by: str = "api") -> DataFrame:

@@ -91,6 +91,7 @@ def job_context(envelopes: DataFrame, registry: DataFrame | None = None) -> Data
     events = with_payload(envelopes, JOB_FIELDS).select(
         "event_id",
         "topic",
+        "published_at",
         F.coalesce(_present(F.col("dataset_id")), text("dataset_id")).alias("dataset_id"),
         text("pipeline_run_id").alias("pipeline_run_id"),
         text("silver_table").alias("silver_table"),

@@ -23,23 +23,29 @@ Loader = Callable[[str], DataFrame | None]
 Windows = Callable[[str, str], DataFrame | None]
 
 
-def _contexts(store: FactStore, batch: DataFrame) -> DataFrame:
-    return job_context(batch, jobs.datasets(store))
-
-
-def _tables(store: FactStore, batch: DataFrame) -> list:
-    """Distinct (data set, run, table) of a batch that name a table."""
-    named = _contexts(store, batch).filter(F.col("silver_table").isNotNull())
+def _contexts(store: FactStore, batch: DataFrame, at: str) -> DataFrame:
+    """Job parameters of each event; ``at`` is the time it was published, else the given one."""
+    published = F.try_to_timestamp("published_at")
+    stamp = F.coalesce(F.date_format(published, "yyyy-MM-dd HH:mm:ss"), F.lit(at))
+    request = F.coalesce("event_id", F.sha2(F.to_json(F.struct(*batch.columns)), 256))
+    named = job_context(batch.withColumn("event_id", request), jobs.datasets(store))
+    return named.withColumns({"at": stamp, "detected_at": published.cast("timestamp_ntz")})
+
+
+def _requests(store: FactStore, batch: DataFrame, at: str) -> list:
+    """Events of a batch that name a table, each once."""
+    named = _contexts(store, batch, at).filter(F.col("silver_table").isNotNull())
     text = {c: F.coalesce(c, F.lit("")) for c in ("dataset_id", "pipeline_run_id")}
-    fields = [*text, "silver_table", "reference_table", "schema_version"]
-    return named.withColumns(text).select(*fields).distinct().collect()
+    fields = ["event_id", "at", *text, "silver_table", "reference_table", "schema_version"]
+    return named.withColumns(text).select(*fields).dropDuplicates(["event_id"]).collect()
 
 
 def quality_handler(store: FactStore, load: Loader, at: str, config: QualityConfig = QualityConfig()) -> Handler:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for c in _tables(store, batch):
+        for c in _requests(store, batch, at):
             jobs.quality_job(
-                store, load(c.silver_table), c.dataset_id, c.pipeline_run_id, c.silver_table, at, c.schema_version, config
+                store, load(c.silver_table), c.dataset_id, c.pipeline_run_id, c.silver_table, c.at, c.schema_version, config,
+                request=c.event_id,
             )
 
     return handle
@@ -47,11 +53,12 @@ def quality_handler(store: FactStore, load: Loader, at: str, config: QualityConf
 
 def drift_handler(store: FactStore, windows: Windows, at: str, config: DriftConfig = DriftConfig()) -> Handler:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for c in _tables(store, batch):
+        for c in _requests(store, batch, at):
             sides = windows(c.silver_table, c.reference_table)
             if sides is not None:
                 jobs.drift_job(
-                    store, sides, c.dataset_id, c.pipeline_run_id, c.silver_table, at, c.reference_table, config=config
+                    store, sides, c.dataset_id, c.pipeline_run_id, c.silver_table, c.at, c.reference_table, config=config,
+                    request=c.event_id,
                 )
 
     return handle
@@ -61,10 +68,11 @@ def cost_handler(
     store: FactStore, usage: DataFrame, runs: DataFrame, at: str, config: CostConfig = CostConfig()
 ) -> Handler:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fields = ["dataset_id", "pipeline_run_id", "warehouse_name", "lookback_days"]
-        for c in _contexts(store, batch).select(*fields).distinct().collect():
+        fields = ["event_id", "at", "dataset_id", "pipeline_run_id", "warehouse_name", "lookback_days"]
+        for c in _contexts(store, batch, at).select(*fields).dropDuplicates(["event_id"]).collect():
             jobs.cost_job(
-                store, usage, runs, c.dataset_id or "", c.pipeline_run_id or "", at, c.lookback_days, c.warehouse_name, config
+                store, usage, runs, c.dataset_id or "", c.pipeline_run_id or "", c.at, c.lookback_days, c.warehouse_name, config,
+                request=c.event_id,
             )
 
     return handle
@@ -72,7 +80,7 @@ def cost_handler(
 
 def heal_handler(store: FactStore, at: str, config: HealConfig = HealConfig()) -> Handler:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fields = ["event_id", "dataset_id", "pipeline_run_id", "failure_reason", "retry_count"]
-        jobs.heal_job(store, _contexts(store, batch).select(*fields).dropDuplicates(["event_id"]), at, config)
+        fields = ["event_id", "dataset_id", "pipeline_run_id", "failure_reason", "failed_task", "retry_count", "detected_at"]
+        jobs.heal_job(store, _contexts(store, batch, at).select(*fields).dropDuplicates(["event_id"]), at, config)
 
     return handle

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from tablepulse import catalog
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.callables()
+SQL = catalog.reference_sql()
 
 # Inventory ids that the registered queries must cover.
 IDS = (
@@ -35,7 +36,9 @@ IDS = (
 
 
 # These run streams or write files before they return, so only their last read shows.
-EAGER = ("st_01", "st_07", "st_09", "src_0", "sch_09", "lin_03_layer", "snk_06", "snk_07", "snk_09_heal_facts", "ext_03")
+EAGER = ("st_01", "st_07", "st_09", "src_0", "sch_09", "lin_03_layer", "snk_06", "snk_07", "snk_09_heal_facts", "ext_03",
+         "snk_01_rerun", "lin_03_rerun", "snk_05_upload", "he_07_status", "he_08_status", "he_09_outbox", "he_05_actions_of", "mq_02_recent_runs_of",
+         "mq_28_cost_history_of")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -53,7 +56,7 @@ def test_inventory_is_covered():
 
 
 def test_sql_only_for_registered_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_returns_scores(spark):

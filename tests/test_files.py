@@ -42,6 +42,30 @@ def test_csv_types_and_names(spark, tmp_path):
     assert df.count() == 2
 
 
+def test_csv_quotes_breaks_and_missing_marks(spark, tmp_path):
+    path = write(tmp_path, "f.csv", 'id,text,v\n1,"he said ""hi, you"" ok",NA\n2,"two\nlines",3\nN/A,plain,null\n')
+    df = files.read_file(spark, path)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "string", "int"]
+    assert [tuple(r) for r in df.collect()] == [(1, 'he said "hi, you" ok', None), (2, "two\nlines", 3), (None, "plain", None)]
+
+
+def test_csv_times_and_large_numbers(spark, tmp_path):
+    path = write(tmp_path, "f.csv", "d,t,n,b,x\n2024-01-01,2024-01-01 10:00:00,3000000000,true,007\n,,,,\n")
+    df = files.read_file(spark, path)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["date", "timestamp", "bigint", "boolean", "int"]
+
+
+def test_json_object_over_lines(spark, tmp_path):
+    path = write(tmp_path, "f.json", '{"id": 1,\n "city": "Oslo"}')
+    assert files.read_file(spark, path).first().asDict() == {"id": 1, "city": "Oslo"}
+
+
+def test_later_malformed_record_is_unreadable(spark, tmp_path):
+    path = write(tmp_path, "f.csv", "a\n" + "1\n" * 50 + "x\n")
+    with pytest.raises(files.UnreadableFile):
+        files.read_file(spark, path, T.StructType.fromDDL("a int"))
+
+
 def test_csv_with_schema_is_not_inferred(spark, tmp_path):
     path = write(tmp_path, "f.csv", "a,b\n1,x\n")
     schema = T.StructType.fromDDL("a string, b string")

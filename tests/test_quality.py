@@ -125,3 +125,21 @@ def test_more_columns_than_one_mask_holds(spark):
     df = spark.range(4).select(*[F.when(F.col("id") >= i % 4, F.col("id")).alias(f"c{i}") for i in range(130)])
     nulls = {r["column_name"]: r["null_count"] for r in quality.column_metrics(quality.measure(df)).collect()}
     assert all(nulls[f"c{i}"] == i % 4 for i in range(130))
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_lost_hour_and_nested_times_are_no_duplicates(spark, wide):
+    """Times without zone of the hour that daylight saving skips, and structs a microsecond apart."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        extra = ", ".join(f"'x' AS c{i}" for i in range(12 if wide else 1))
+        df = spark.sql(f"""
+            SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00' AS t, {extra} UNION ALL SELECT TIMESTAMP_NTZ'2024-03-10 03:30:00', {extra}""")
+        assert quality.duplicate_rows(df).first()["duplicate_count"] == 0
+        nested = spark.sql(f"""
+            SELECT struct(TIMESTAMP_NTZ'2024-01-01 00:00:00.000001') AS s, {extra}
+            UNION ALL SELECT struct(TIMESTAMP_NTZ'2024-01-01 00:00:00.000002'), {extra}""")
+        assert quality.duplicate_rows(nested).first()["duplicate_count"] == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

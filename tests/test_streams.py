@@ -198,7 +198,7 @@ def test_jobs_of_a_batch(spark, tmp_path):
     (tmp_path / "in" / "1.txt").write_text("\n".join(sent))
     drain(spark, tmp_path, route)
     quality = store.read("data_quality_metrics").collect()
-    assert [(r["dataset_id"], r["silver_table"], r["total_rows"]) for r in quality] == [("d1", "one_silver", 100)]
+    assert [(r["dataset_id"], r["silver_table"], r["total_rows"]) for r in quality] == [("d1", "one_silver", 100)] * 2  # one result per request
     assert store.read("drift_summary").first()["total_columns"] == 1
     assert store.read("cost_summary").first()["lookback_days"] == 3
     assert [(r["id"], r["failure_type"]) for r in store.read("heal_summary").collect()] == [("e6", "CONNECTION")]
