@@ -9,7 +9,8 @@ pairs below the guaranteed number are dropped and the rest is verified by bit di
 Only a spanning forest of the verified pairs leaves a posting, never all pairs.
 
 ``similar_groups`` also finds less alike texts: positions are then hash classes of shingles,
-each with its own small SimHash, and pairs are verified on the whole fingerprint.
+each with its own small SimHash, and pairs are verified on a fingerprint of 256 bits, as 64
+bits of short texts that share one common line agree too often by chance.
 
 Rows: a NULL text has no words.  A text without words has fingerprint zero and is linked
 like any other.  NULL ids keep their fingerprint; a component is named by its smallest
@@ -18,6 +19,7 @@ non-NULL id (NULL if it has none).  Repeated rows stay repeated.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,6 +34,7 @@ from tablepulse.llm.storage import cut, landed, ship
 
 POSTING_ROWS = 4096  # above this, a posting is solved in parts
 SEED = 42  # fixed value: seed of the shingle hash
+WIDE = 4  # 64-bit words of the fingerprint of similar_groups
 CLASSES = 16  # indexed shingle classes of similar_groups
 CLASS_SHINGLES = 6  # shingles that a class should hold
 SLACK = 0.17  # two texts of similarity 0.8 differ by at most 2 * SLACK in log2 of their length
@@ -66,6 +69,16 @@ def fingerprint_of(digests: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > n).tobytes(), "big", signed=True)
 
 
+def wide_fingerprint(digests: np.ndarray) -> list[int]:
+    """``WIDE`` fingerprints from different mixtures of the same hashes; the first is of the hashes themselves."""
+    values, out = digests.view(">u8").ravel().astype(np.uint64), [fingerprint_of(digests)]
+    for number in range(1, WIDE):
+        mixed = (values ^ np.uint64(0x9E3779B97F4A7C15 * number & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(fingerprint_of((mixed ^ (mixed >> np.uint64(30))).view(np.uint8).reshape(-1, 8)))
+    return out
+
+
 def _class_keys(digests: np.ndarray) -> list[int]:
     """Index keys: hash of (scale, class, SimHash of the class) for the first classes.
 
@@ -94,26 +107,32 @@ def _class_keys(digests: np.ndarray) -> list[int]:
     return keys
 
 
-def fingerprints(docs: DataFrame, text: str, shingle: int, keys: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns, ``fp`` (signed 64 bits) and, if wanted, ``fp_keys`` of whole texts."""
+def fingerprints(docs: DataFrame, text: str, shingle: int, wide: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns and ``fp`` (signed 64 bits) of whole texts.
+
+    With ``wide``, every distinct shingle votes once, and there are ``fp_words``, the words of
+    the wide fingerprint, and ``fp_keys``, the class keys.
+    """
     ship(docs.sparkSession)
     wanted = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fp bigint"])
-    schema = fields + (", fp_keys array<bigint>" if keys else "")
+    schema = fields + (", fp_words array<bigint>, fp_keys array<bigint>" if wide else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, found = [], []
+            prints, words, found = [], [], []
             for value in batch.column(batch.num_columns - 1):
                 digests = shingle_hashes(value.as_py(), shingle)
-                prints.append(fingerprint_of(digests))
-                if keys:
+                if wide:
+                    digests = np.unique(digests.view(">u8").ravel()).astype(">u8").view(np.uint8).reshape(-1, 8)
+                    words.append(wide_fingerprint(digests))
                     found.append(_class_keys(digests))
+                prints.append(words[-1][0] if wide else fingerprint_of(digests))
             columns = [*batch.columns[:-1], pa.array(prints, pa.int64())]
             names = [*batch.schema.names[:-1], "fp"]
-            if keys:
-                columns.append(pa.array(found, pa.list_(pa.int64())))
-                names.append("fp_keys")
+            if wide:
+                columns += [pa.array(words, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+                names += ["fp_words", "fp_keys"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return wanted.mapInArrow(run, schema)
@@ -133,33 +152,34 @@ def byte_postings(prints: DataFrame, max_bits: int) -> DataFrame:
         F.lit(number).cast("bigint") * (1 << 32) + pieces[a] * (1 << 16) + pieces[b]
         for number, (a, b) in enumerate(combinations(range(4), 2))
     ]
-    return prints.select("fp", F.explode(F.array(*rows)).alias("key"))
+    return prints.select(F.col("fp").alias("node"), F.array("fp").alias("words"), F.explode(F.array(*rows)).alias("key"))
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def _linked(prints: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that reach the byte tally and are verified; blocks bound the memory.
 
-
-def _linked(left: np.ndarray, right: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that reach the byte tally and are verified; blocks bound the memory."""
+    ``prints`` has one row per fingerprint and a column per 64-bit word.
+    """
     ls, rs = [], []
-    for at in range(0, len(left), 256):
-        apart = left[at : at + 256, None] ^ right[None, :]
-        close = np.ones(apart.shape, bool)
-        if min_bytes:
-            bytes_apart = np.ascontiguousarray(apart).view(np.uint8).reshape(*apart.shape, 8)
-            close = (bytes_apart == 0).sum(axis=2) >= min_bytes
-        close &= _popcount(apart) <= max_bits
-        i, j = np.nonzero(close)
+    for at in range(0, len(prints), 256):
+        bits = np.zeros((len(prints[at : at + 256]), len(prints)), np.int16)
+        equal = np.zeros(bits.shape, np.int16)
+        for word in prints.T:
+            apart = word[at : at + 256, None] ^ word[None, :]
+            bits += np.bitwise_count(apart.view(np.uint64))
+            if min_bytes:
+                equal += (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero((equal >= min_bytes) & (bits <= max_bits))
         ls.append(i + at)
         rs.append(j)
     return np.concatenate(ls), np.concatenate(rs)
 
 
-def _forest(values: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest of its group) over one posting; ``values`` ascend and are distinct."""
-    a, b = _linked(values, values, max_bits, min_bytes)
-    label = np.arange(len(values))
+def _forest(nodes: np.ndarray, prints: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest of its group) over one posting; ``nodes`` name the rows of ``prints``."""
+    nodes, first = np.unique(nodes, return_index=True)
+    a, b = _linked(np.ascontiguousarray(prints[first]), max_bits, min_bytes)
+    label = np.arange(len(nodes))
     while True:
         new = label.copy()
         np.minimum.at(new, a, label[b])
@@ -167,52 +187,53 @@ def _forest(values: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarr
         if (new == label).all():
             break
         label = new
-    inner = np.flatnonzero(label != np.arange(len(values)))
-    return values[inner], values[label[inner]]
+    inner = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[inner], nodes[label[inner]]
 
 
 def _posting_edges(postings: DataFrame, max_bits: int, min_bytes: int) -> DataFrame:
-    """Edges inside postings of usual size; members of larger ones as rows with a ``key``."""
+    """Edges inside postings of usual size; members of larger ones as rows with a ``key``.
+
+    ``postings`` has ``key``, ``node`` and ``words``, the fingerprint of the node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["src", "dst", "key"]
 
-        def solve(key: int, values: np.ndarray, large: bool):
+        def solve(key: int, held: list, large: bool):
+            nodes, prints = (np.concatenate(x) for x in zip(*held))
             if large:
-                return values, values, np.full(len(values), key), np.ones(len(values), bool)
-            values = values.astype(np.int64)
-            values = values[np.r_[True, values[1:] != values[:-1]]]
-            src, dst = _forest(values, max_bits, min_bytes) if len(values) > 1 else (values[:0], values[:0])
+                return nodes, nodes, np.full(len(nodes), key), np.ones(len(nodes), bool)
+            src, dst = _forest(nodes, prints, max_bits, min_bytes)
             return src, dst, np.zeros(len(src), np.int64), np.zeros(len(src), bool)
 
         def batch_of(parts):
             src, dst, key, open_ = (np.concatenate(x) for x in zip(*parts))
             return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(key, mask=~open_)], names)
 
-        key, held, large = None, [], False
+        key, held, size, large = None, [], 0, False
         for batch in batches:
-            keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = batch.column(2).flatten().to_numpy().reshape(len(nodes), -1)
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             starts, out = np.r_[0, cuts], []
             ends = np.r_[cuts, len(keys)]
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if keys[s] != key:
-                    if held and (large or sum(map(len, held)) > 1):
-                        out.append(solve(key, np.concatenate(held), large))
-                    key, held, large = keys[s], [], False
-                elif e - s == len(keys) and large:
-                    out.append(solve(key, prints, True))
-                    continue
-                held.append(prints[s:e])
-                if sum(map(len, held)) > POSTING_ROWS:
-                    out.append(solve(key, np.concatenate(held), True))
-                    held, large = [], True
+                    if held and (large or size > 1):
+                        out.append(solve(key, held, large))
+                    key, held, size, large = keys[s], [], 0, False
+                held.append((nodes[s:e], prints[s:e]))
+                size += e - s
+                if size > POSTING_ROWS:
+                    out.append(solve(key, held, True))
+                    held, size, large = [], 0, True
             if out:
                 yield batch_of(out)
-        if held and (large or sum(map(len, held)) > 1):
-            yield batch_of([solve(key, np.concatenate(held), large)])
+        if held and (large or size > 1):
+            yield batch_of([solve(key, held, large)])
 
-    ordered = postings.select("key", "fp").repartition(F.col("key")).sortWithinPartitions("key", "fp")
+    ordered = postings.select("key", "node", "words").repartition(F.col("key")).sortWithinPartitions("key", "node")
     return ordered.mapInArrow(run, "src bigint, dst bigint, key bigint")
 
 
@@ -229,36 +250,40 @@ def _ball_edges(open_rows: DataFrame) -> DataFrame:
     return listed.join(least, "middle").where("src <> dst").select("src", "dst").distinct()
 
 
-def _block_edges(open_rows: DataFrame, max_bits: int) -> DataFrame:
-    """Links inside large class postings: blocks of rows against blocks, each pair of blocks one task's row."""
-    ordered = open_rows.select("key", F.col("src").alias("fp")).distinct()
+def _block_edges(open_rows: DataFrame, prints: DataFrame, max_bits: int) -> DataFrame:
+    """Links inside large class postings: blocks of rows against blocks, each pair of blocks one task's row.
+
+    ``prints`` has the ``words`` of each ``node``.
+    """
+    ordered = open_rows.select("key", F.col("src").alias("node")).distinct()
     sizes = ordered.groupBy("key").agg(F.count("*").alias("n"))
     with_block = ordered.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / POSTING_ROWS).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    )
-    blocks = with_block.groupBy("key", "block", "blocks").agg(F.collect_list("fp").alias("fps"))
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    ).join(prints, "node")
+    blocks = with_block.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "words")).alias("fps"))
     left = blocks.select("key", "block", F.col("fps").alias("l"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("other"))
     pairs = left.join(blocks.select("key", F.col("block").alias("other"), F.col("fps").alias("r")), ["key", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left_fps, right_fps in zip(batch.column(0), batch.column(1)):
-                values = np.unique(np.r_[left_fps.values.to_numpy(), right_fps.values.to_numpy()])
-                src, dst = _forest(values, max_bits, 0)
+            for sides in zip(batch.column(0), batch.column(1)):
+                nodes = np.concatenate([s.values.field("node").to_numpy() for s in sides])
+                words = np.concatenate([s.values.field("words").flatten().to_numpy() for s in sides])
+                src, dst = _forest(nodes, words.reshape(len(nodes), -1), max_bits, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
     return pairs.select("l", "r").repartition(F.xxhash64("l", "r")).mapInArrow(run, "src bigint, dst bigint")
 
 
-def _grouped(prints: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+def _grouped(prints: DataFrame, edges: DataFrame, id_col: str, node: str = "fp") -> DataFrame:
     """``prints`` with ``component_id``: the smallest id in the component of its fingerprint."""
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    named = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
+    nodes = prints.groupBy(node).agg(F.min(id_col).alias("least_id"))
+    named = nodes.join(components(edges).withColumnRenamed("node", node), node, "left").withColumn(
+        "component", F.coalesce("component", node)
     )
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_print = cut(named.join(ids, "component").select("fp", "component_id"))
-    return prints.join(by_print, "fp")
+    by_print = cut(named.join(ids, "component").select(node, "component_id"))
+    return prints.join(by_print, node)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -277,22 +302,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return _grouped(prints, edges, id_col)
 
 
+def bit_limit(similarity: float) -> int:
+    """Differing bits up to which two wide fingerprints count as similar.
+
+    Sets of one size with this Jaccard similarity have the cosine ``2s / (1 + s)``, and each bit
+    differs with the share of their angle in a half turn.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * WIDE * share + math.sqrt(64 * WIDE * share * (1 - share)))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(id, fp, component_id)``: documents of which at least ``similarity`` of the fingerprint bits agree.
+    """``(id, fp, component_id)``: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
+    The similarity is read from the share of equal bits of a wide fingerprint, to which every
+    distinct shingle votes once (a line that two texts repeat many times does not make them
+    alike).  The limit lies one standard deviation beyond the bits expected at ``similarity``:
+    at 0.8, pairs of 0.85 are linked almost surely, of 0.8 mostly, of 0.6 hardly ever.
     Candidates share the SimHash of one of up to sixteen hash classes of their shingles;
     classes hold about six shingles each, so texts of that likeness share some class with
     a chance of about 0.99.  Every candidate pair of a posting is verified.
     """
-    prints = landed(fingerprints(docs, text, shingle, keys=True, keep=(id_col,)), "prints")
-    postings = prints.dropDuplicates(["fp"]).select("fp", F.explode("fp_keys").alias("key"))
-    max_bits = int(64 * (1 - similarity) + 1e-9)
+    prints = fingerprints(docs, text, shingle, wide=True, keep=(id_col,))
+    # Texts of one wide fingerprint are one node, named by its hash.
+    prints = landed(prints.withColumn("node", F.xxhash64("fp_words")), "prints")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("fp_words", "fp_keys")).alias("one"))
+    nodes = nodes.select("node", F.col("one.fp_words").alias("words"), F.col("one.fp_keys").alias("keys"))
+    postings = nodes.select("node", "words", F.explode("keys").alias("key"))
+    max_bits = bit_limit(similarity)
     found = landed(_posting_edges(postings, max_bits, 0), "class_edges")
     edges = found.where("key is null").select("src", "dst")
     open_rows = found.where("key is not null")
     if not open_rows.isEmpty():
-        edges = edges.unionByName(_block_edges(open_rows, max_bits))
-    return _grouped(prints.select(id_col, "fp"), edges, id_col)
+        edges = edges.unionByName(_block_edges(open_rows, nodes.select("node", "words"), max_bits))
+    return _grouped(prints.select(id_col, "fp", "node"), edges, id_col, "node").drop("node")
 
 
 def fingerprint_text(fp) -> Column:

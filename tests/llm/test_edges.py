@@ -241,7 +241,8 @@ def test_simhash_large_postings(spark, monkeypatch):
     found = df.select("fp").distinct()
     ball = simhash._ball_edges(found.select(F.col("fp").alias("src")))
     assert {r.component for r in components(ball).collect()} == expected
-    block = simhash._block_edges(found.select(F.lit(1).alias("key"), F.col("fp").alias("src")), 2)
+    words = found.select(F.col("fp").alias("node"), F.array("fp").alias("words"))
+    block = simhash._block_edges(found.select(F.lit(1).alias("key"), F.col("fp").alias("src")), words, 2)
     assert {r.component for r in components(block).collect()} == expected
 
 
@@ -251,6 +252,14 @@ def test_keep_one(docs):
     assert set(rows[0].asDict()) == set(docs.columns)
 
 
+def test_repeated_lines_do_not_make_texts_alike(spark):
+    filler = "on and on " * 150
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(120)) + " " + filler) for i in range(4)]
+    rows.append((9, rows[2][1].replace("w2x60", "changed")))
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1100)] + [(5000, 5000)]
     out = components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()
