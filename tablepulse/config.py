@@ -31,8 +31,6 @@ class DriftConfig:
     min_rows: int = 10
     # A column's sorted values are cut into 2 ** range_bits ranges before running sums are taken.
     range_bits: int = 12
-    # The cuts are estimated from one in so many distinct values.
-    limit_share: int = 16
 
 
 @dataclass(frozen=True)

@@ -170,23 +170,30 @@ def column_facts(counts: DataFrame, config: DriftConfig = DriftConfig()) -> Data
     """One row per column: smallest and largest value, rows per side and range limits.
 
     The limits only decide which task handles a value, so they are estimated from a
-    part of the distinct values, picked by hash; the results do not depend on them.
-    The pick sits inside the aggregate: as a filter it would move below the counts
-    and make them a second scan of the table.
+    part of the distinct values: one for each of four times as many hash slots as there
+    are ranges.  The slots are summed in the tasks before they meet, so the task that
+    sorts a column's picks receives as many rows for any number of values.
     """
     ranges = 2**config.range_bits
-    # One text literal keeps the plan small.
-    steps = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
-    picked = F.when(F.pmod(F.xxhash64("value"), F.lit(config.limit_share)) == 0, F.col("value"))
-    limits = F.array_distinct(F.percentile_approx(picked, steps, 4 * ranges))
-    none = F.array().cast("array<double>")
-    return counts.groupBy("column_id").agg(
+    mixed = F.xxhash64("value")
+    slots = counts.groupBy("column_id", F.pmod(mixed, F.lit(4 * ranges)).alias("slot")).agg(
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.sum("current_n").alias("current_total"),
         F.sum("reference_n").alias("reference_total"),
-        F.coalesce(limits, none).alias("limits"),
+        F.min_by("value", mixed).alias("pick"),
     )
+    picks = F.sort_array(F.collect_list("pick"))
+    facts = slots.groupBy("column_id").agg(
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.sum("current_total").alias("current_total"),
+        F.sum("reference_total").alias("reference_total"),
+        picks.alias("picks"),
+    )
+    steps = F.sequence(F.lit(1), F.lit(ranges - 1))
+    limits = F.transform(steps, lambda i: F.get("picks", F.floor(i * F.size("picks") / ranges).cast("int")))
+    return facts.withColumn("limits", F.array_distinct(limits)).drop("picks")
 
 
 def _with_range_no(placed: DataFrame, config: DriftConfig) -> DataFrame:

@@ -61,7 +61,7 @@ def sample(spark):
 @pytest.mark.parametrize("bits", [1, 3, 12])
 def test_numbers_equal_brute_force_for_any_number_of_ranges(sample, bits):
     reference, current, sides = sample
-    row = drift.numeric_drift(sides, ["a"], DriftConfig(range_bits=bits, limit_share=1)).first()
+    row = drift.numeric_drift(sides, ["a"], DriftConfig(range_bits=bits)).first()
     assert row["psi"] == pytest.approx(brute_psi(reference, current), abs=2e-6)
     assert row["ks_statistic"] == pytest.approx(brute_ks(reference, current), abs=1e-6)
     assert row["ks_p_value"] == pytest.approx(series_p(brute_ks(reference, current), 3000, 4000), abs=1e-5)
@@ -71,7 +71,7 @@ def test_numbers_equal_brute_force_for_any_number_of_ranges(sample, bits):
 def test_values_are_spread_over_ranges(sample):
     _, _, sides = sample
     counts = drift.value_counts(drift.long_numbers(sides, ["a"]))
-    used = drift.range_summaries(counts, DriftConfig(range_bits=4, limit_share=1)).select("range_no").distinct().count()
+    used = drift.range_summaries(counts, DriftConfig(range_bits=4)).select("range_no").distinct().count()
     assert used >= 14
 
 
