@@ -23,11 +23,11 @@ DECIDED = f"""
     de AS (SELECT *, CASE WHEN quarantined THEN 'quarantined' ELSE 'success' END AS final_status FROM h)"""
 ACTIONS = f"""
     {DECIDED}, ac AS (
-        SELECT event_id, 1 AS action_no, 'UPDATE_PIPELINE_STATUS' AS action_type, concat('Set pipeline_run_id=', pipeline_run_id, ' to HEALING') AS action_detail FROM de WHERE retried
-        UNION ALL SELECT event_id, 2, 'EMIT_RECOVERY_EVENT', concat('Emitted retry event for failure_type=', failure_type) FROM de WHERE retried
-        UNION ALL SELECT event_id, 1, 'QUARANTINE_AFTER_MAX_RETRIES', concat('Quarantined after ', CAST(retry_count AS VARCHAR), ' retries') FROM de WHERE recovery_status = 'ESCALATED'
-        UNION ALL SELECT event_id, 1, 'QUARANTINE_DATASET', concat('Quarantined dataset=', dataset_id, ' reason=', failure_reason) FROM de WHERE failure_type = 'QUALITY'
-        UNION ALL SELECT event_id, CASE WHEN retried THEN 3 ELSE 2 END, 'UPDATE_PIPELINE_FINAL_STATUS', concat('Set pipeline status to ', final_status) FROM de)"""
+        SELECT event_id, 1 AS action_no, 'UPDATE_PIPELINE_STATUS' AS action_type, concat('run ', pipeline_run_id, ' marked as healing') AS action_detail FROM de WHERE retried
+        UNION ALL SELECT event_id, 2, 'EMIT_RECOVERY_EVENT', concat('asked for a retry after a failure of type ', failure_type) FROM de WHERE retried
+        UNION ALL SELECT event_id, 1, 'QUARANTINE_AFTER_MAX_RETRIES', concat('held back, tried again ', CAST(retry_count AS VARCHAR), ' times') FROM de WHERE recovery_status = 'ESCALATED'
+        UNION ALL SELECT event_id, 1, 'QUARANTINE_DATASET', concat('data set ', dataset_id, ' held back: ', failure_reason) FROM de WHERE failure_type = 'QUALITY'
+        UNION ALL SELECT event_id, CASE WHEN retried THEN 3 ELSE 2 END, 'UPDATE_PIPELINE_FINAL_STATUS', concat('run ends as ', final_status) FROM de)"""
 
 
 def _failures(t):

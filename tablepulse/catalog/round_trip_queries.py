@@ -187,7 +187,7 @@ def _(t):
 # --- healing -----------------------------------------------------------------
 
 @query("he_05_long_reasons", """
-    SELECT CAST(doc_id AS VARCHAR) AS event_id, sha256(concat('Quarantined dataset=d reason=', 'null: ', text)) AS detail FROM documents
+    SELECT CAST(doc_id AS VARCHAR) AS event_id, sha256(concat('data set d held back: ', 'null: ', text)) AS detail FROM documents
     WHERE NOT regexp_matches(lower('null: ' || text), 'snowflake|kafka|timeout|connection|socket|network|refused|broker|ssl|tls')""")
 def _(t):
     """Reasons of any length stay whole."""

@@ -92,9 +92,9 @@ CHANGES = f"""
     ch AS (SELECT COALESCE(n.dataset_id, o.dataset_id) AS dataset_id, COALESCE(n.version, o.version) AS version,
            COALESCE(n.column_name, o.column_name) AS column_name,
            CASE WHEN o.column_name IS NULL THEN 'ADD_COLUMN' WHEN n.column_name IS NULL THEN 'DROP_COLUMN' WHEN o.logical_type <> n.logical_type THEN 'TYPE_CHANGE' END AS change_type,
-           CASE WHEN o.column_name IS NULL THEN concat('New column ''', n.column_name, ''' (', n.logical_type, ') detected')
-                WHEN n.column_name IS NULL THEN concat('Column ''', o.column_name, ''' no longer present in uploaded data')
-                ELSE concat('Type changed: ', o.logical_type, ' → ', n.logical_type) END AS detail
+           CASE WHEN o.column_name IS NULL THEN concat(n.column_name, ' was added as ', n.logical_type)
+                WHEN n.column_name IS NULL THEN concat(o.column_name, ' is missing from now on, it was ', o.logical_type)
+                ELSE concat(n.column_name, ' was ', o.logical_type, ' and is ', n.logical_type) END AS detail
            FROM (SELECT * FROM c) n FULL JOIN o ON n.dataset_id = o.dataset_id AND n.version = o.version AND n.column_name = o.column_name)"""
 
 

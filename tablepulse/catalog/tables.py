@@ -131,10 +131,10 @@ VIEWS = {
                CASE WHEN retry_count = 1 THEN 2 ELSE 3 END AS actions_succeeded FROM v_failures""",
     "v_heal_actions": """
         SELECT concat(id, '_1') AS id, id AS heal_run_id, 'UPDATE_PIPELINE_STATUS' AS action_type,
-               concat('Set pipeline_run_id=', pipeline_run_id, ' to HEALING') AS action_detail,
+               concat('run ', pipeline_run_id, ' marked as healing') AS action_detail,
                retry_count <> 1 AS success, evaluated_at AS executed_at FROM v_heal
         UNION ALL
-        SELECT concat(id, '_2'), id, 'UPDATE_PIPELINE_FINAL_STATUS', concat('Set pipeline status to ', lower(recovery_status)),
+        SELECT concat(id, '_2'), id, 'UPDATE_PIPELINE_FINAL_STATUS', concat('run ends as ', lower(recovery_status)),
                TRUE, evaluated_at FROM v_heal""",
     "v_bronze": """
         SELECT CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE o_orderdate END AS _loaded_at, o_orderkey AS _row_number,

@@ -109,25 +109,25 @@ def actions(decided: DataFrame) -> DataFrame:
     run = F.coalesce("pipeline_run_id", F.lit(""))
     reason = F.coalesce("failure_reason", F.lit(""))
     retried = F.array(
-        action("UPDATE_PIPELINE_STATUS", known_run, F.lit("Set pipeline_run_id="), run, F.lit(" to HEALING")),
-        action("EMIT_RECOVERY_EVENT", F.lit(True), F.lit("Emitted retry event for failure_type="), F.col("failure_type")),
+        action("UPDATE_PIPELINE_STATUS", known_run, F.lit("run "), run, F.lit(" marked as healing")),
+        action("EMIT_RECOVERY_EVENT", F.lit(True), F.lit("asked for a retry after a failure of type "), F.col("failure_type")),
     )
     exhausted = F.array(
         action(
-            "QUARANTINE_AFTER_MAX_RETRIES", known_dataset, F.lit("Quarantined after "), F.col("retry_count").cast("string"), F.lit(" retries")
+            "QUARANTINE_AFTER_MAX_RETRIES", known_dataset, F.lit("held back, tried again "), F.col("retry_count").cast("string"), F.lit(" times")
         )
     )
     quarantined = F.array(
         action(
             "QUARANTINE_DATASET",
             known_dataset,
-            F.lit("Quarantined dataset="),
+            F.lit("data set "),
             F.coalesce("dataset_id", F.lit("")),
-            F.lit(" reason="),
+            F.lit(" held back: "),
             reason,
         )
     )
-    last = F.array(action("UPDATE_PIPELINE_FINAL_STATUS", known_run, F.lit("Set pipeline status to "), F.col("final_status")))
+    last = F.array(action("UPDATE_PIPELINE_FINAL_STATUS", known_run, F.lit("run ends as "), F.col("final_status")))
     first = (
         F.when(F.col("retried"), retried)
         .when(F.col("recovery_status") == ESCALATED, exhausted)

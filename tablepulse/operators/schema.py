@@ -198,13 +198,13 @@ def schema_changes(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     detail = (
         F.when(
             F.col("change_type") == ADDED,
-            F.concat(F.lit("New column '"), F.col("column_name"), F.lit("' ("), F.col("new_type"), F.lit(") detected")),
+            F.concat(F.col("column_name"), F.lit(" was added as "), F.col("new_type")),
         )
         .when(
             F.col("change_type") == DROPPED,
-            F.concat(F.lit("Column '"), F.col("column_name"), F.lit("' no longer present in uploaded data")),
+            F.concat(F.col("column_name"), F.lit(" is missing from now on, it was "), F.col("old_type")),
         )
-        .otherwise(F.concat(F.lit("Type changed: "), F.col("old_type"), F.lit(" → "), F.col("new_type")))
+        .otherwise(F.concat(F.col("column_name"), F.lit(" was "), F.col("old_type"), F.lit(" and is "), F.col("new_type")))
     )
     return (
         both.withColumn("change_type", kind)

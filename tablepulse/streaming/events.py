@@ -16,6 +16,7 @@ from tablepulse.functions.names import event_table_name
 from tablepulse.sources.envelopes import payload_field, unwrap, with_payload
 from tablepulse.sources.facts import FactStore
 
+# Payload fields of the messages.
 INGESTION_FIELDS = [
     "dataset_id", "pipeline_run_id", "dataset_name", "schema_version", "rows_ingested", "rows_rejected",
 ]

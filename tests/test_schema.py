@@ -94,9 +94,9 @@ def test_changes(spark):
     assert changes(spark, same, same[::-1]) == {}
     got = changes(spark, [("a", "FLOAT"), ("b", "DATE"), ("c", "DATE")], [("a", "DATE"), ("b", "DATE"), ("d", "FLOAT")])
     assert got == {
-        ("TYPE_CHANGE", "a"): "Type changed: FLOAT → DATE",
-        ("DROP_COLUMN", "c"): "Column 'c' no longer present in uploaded data",
-        ("ADD_COLUMN", "d"): "New column 'd' (FLOAT) detected",
+        ("TYPE_CHANGE", "a"): "a was FLOAT and is DATE",
+        ("DROP_COLUMN", "c"): "c is missing from now on, it was DATE",
+        ("ADD_COLUMN", "d"): "d was added as FLOAT",
     }
 
 
