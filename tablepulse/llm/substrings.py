@@ -289,7 +289,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     places = repeated_runs(docs.select(id_col, text), id_col, text, window)
     by_doc = places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "windows")).alias("__runs"))
     base = docs.drop("n_words", "n_removed")
-    joined = base.join(by_doc, docs[id_col].cast("bigint") == by_doc["__doc"], "left").drop("__doc")
+    # The runs grow with the input, although their files compress to little: never sent to all tasks.
+    joined = base.join(by_doc.hint("merge"), docs[id_col].cast("bigint") == by_doc["__doc"], "left").drop("__doc")
     at = base.columns.index(text)
     schema = joined.drop("__runs").withColumn("n_words", F.lit(0).cast("bigint")).withColumn("n_removed", F.lit(0).cast("bigint")).schema
 
