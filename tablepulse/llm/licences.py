@@ -1,12 +1,13 @@
 """Licence scans by a positional index of rare words, in DataFrame operations only.
 
 Templates are licence notices.  The index lists the places of their words, function words
-left out.  A file looks up only its ``RARE_WORDS`` licence words of the highest inverse
-document frequency, counted over all documents.  Every posting votes for a template at a
-relative position (place in the file less place in the template); where ``MIN_VOTES``
-different words agree, the template is laid over the file there.  It is accepted if all words of its mandatory
-key phrases stand in place and at least ``MIN_SCORE`` of its weight (inverse document
-frequency) does.
+left out.  A file looks up, for each template, its ``RARE_WORDS`` words of the highest inverse
+document frequency, counted over all documents, words of mandatory key phrases first.  Every
+posting votes for a template at a relative position (place in the file less place in the
+template); where ``MIN_VOTES`` different words agree, the template is laid over the file there.
+It is accepted if all words of its mandatory key phrases stand in place and at least
+``MIN_SCORE`` of its weight (inverse document frequency) does.  Each template has two or more
+different mandatory words and all of them stand where it is accepted, so no place is missed.
 
 Phrases of the base rules are found independently and always label a file.
 
@@ -127,12 +128,13 @@ def match(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n = scanned.select("__mark", id_col).distinct().count()
     weight = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0))))
     templates = index(spark)
-    known = hits.select("__key", "__mark", "word").distinct().join(frequency, "word").join(templates.select("word").distinct(), "word")
-    rare = known.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("__key", "__mark").orderBy("df", "word"))
-    ).where(F.col("rank") <= RARE_WORDS).select("__key", "__mark", "word")
-    same = hits["__key"].eqNullSafe(rare["__key"]) & (hits["__mark"] == rare["__mark"]) & (hits["word"] == rare["word"])
-    looked_up = hits.join(rare, same, "left_semi").join(templates, "word")
+    own = templates.groupBy("template", "word").agg(F.max("mandatory").alias("must"))
+    known = hits.select("__key", "__mark", "word").distinct().join(frequency, "word").join(own, "word")
+    first = Window.partitionBy("__key", "__mark", "template").orderBy(F.desc("must"), "df", "word")
+    rare = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= RARE_WORDS)
+    rare = rare.select(F.col("__key").alias("k"), F.col("__mark").alias("m"), F.col("word").alias("w"), F.col("template").alias("t"))
+    same = hits["__key"].eqNullSafe(rare["k"]) & (hits["__mark"] == rare["m"]) & (hits["word"] == rare["w"])
+    looked_up = hits.join(rare, same).withColumn("template", F.col("t")).drop("k", "m", "w", "t").join(templates, ["template", "word"])
     votes = looked_up.groupBy("__key", "__mark", "template", (F.col("at") - F.col("place")).alias("offset")).agg(
         F.countDistinct("word").alias("votes")
     ).where(F.col("votes") >= MIN_VOTES)

@@ -285,6 +285,48 @@ def test_licences_by_template(spark):
     assert found[3, False].labels == ""
 
 
+def plain_labels(texts):
+    """Labels and best scores from every template at every position of every text."""
+    import math
+    import re
+
+    words = {i: re.findall(licences.WORD, t.lower()) for i, t in texts.items()}
+    df = {w: sum(w in set(ws) for ws in words.values()) for w in licences.WORDS}
+    weight = {w: math.log((1 + len(texts)) / (1 + n)) for w, n in df.items()}
+    by_template = {}
+    for template, label, place, word, must in licences.ROWS:
+        by_template.setdefault((template, label), []).append((place, word, must))
+    out = {}
+    for i, ws in words.items():
+        labels, best = set(), 0.0
+        for (_, label), rows in by_template.items():
+            for at in range(-40, len(ws)):
+                there = [0 <= at + p < len(ws) and ws[at + p] == w for p, w, _ in rows]
+                share = sum(weight[w] for (_, w, _), t in zip(rows, there) if t) / sum(weight[w] for _, w, _ in rows)
+                if all(t or not must for (_, _, must), t in zip(rows, there)) and share >= licences.MIN_SCORE:
+                    labels.add(label)
+                    best = max(best, share)
+        out[i] = (labels, best)
+    return out
+
+
+def test_licences_of_several_notices(spark):
+    apache, mit, gpl, bsd, isc = (licences.TEMPLATES[k][1] for k in (1, 3, 5, 10, 11))
+    # The words of the GNU notice that no mandatory phrase holds stand before it, and most are changed in the notice.
+    changed = gpl.replace("redistribute", "pass").replace("modify", "alter").replace("published", "issued").replace("foundation", "group")
+    kinds = [mit] * 100 + [apache] * 100 + [isc] * 50 + [bsd] * 5
+    kinds += [f"{bsd} {mit} {apache} {isc}", f"redistribute modify published foundation {bsd} {changed} x {isc}", " y ".join(t[1] for t in licences.TEMPLATES)]
+    texts = {i: f"start {kind} of {i}" for i, kind in enumerate(kinds)}
+    plain = plain_labels(texts)
+    assert plain[255][0] == {"bsd", "mit", "apache-2.0", "isc"}
+    rows = licences.licences(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        base = set(row.base_labels.split(",")) - {""}
+        assert set(row.labels.split(",")) - {""} == plain[row.doc_id][0] | base
+        assert base or abs(row.score - plain[row.doc_id][1]) < 1e-6
+
+
 def test_repeats(docs, nothing):
     rows = substrings.remove_repeats(docs).collect()
     out = by_id(rows)
