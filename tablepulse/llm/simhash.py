@@ -8,9 +8,9 @@ into a posting).  Inside a posting the shared positional bytes of each pair are
 pairs below the guaranteed number are dropped and the rest is verified by bit distance.
 Only a spanning forest of the verified pairs leaves a posting, never all pairs.
 
-``similar_groups`` also finds less alike texts: positions are then hash classes of shingles,
-each with its own small SimHash, and pairs are verified on a fingerprint of 256 bits, as 64
-bits of short texts that share one common line agree too often by chance.
+``similar_groups`` also finds less alike texts: postings are then shingles of the prefixes of
+their sets, in one order for all texts, a fingerprint of 256 bits drops unlike candidates, and
+what is left is verified by the exact Jaccard similarity of the sets of shingles.
 
 Rows: a NULL text has no words.  A text without words has fingerprint zero and is linked
 like any other.  NULL ids keep their fingerprint; a component is named by its smallest
@@ -30,14 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepulse.llm.components import components
+from tablepulse.llm.pieces import slices
 from tablepulse.llm.storage import cut, landed, ship
 
 POSTING_ROWS = 4096  # above this, a posting is solved in parts
 SEED = 42  # fixed value: seed of the shingle hash
 WIDE = 4  # 64-bit words of the fingerprint of similar_groups
-CLASSES = 16  # indexed shingle classes of similar_groups
-CLASS_SHINGLES = 6  # shingles that a class should hold
-SLACK = 0.17  # two texts of similarity 0.8 differ by at most 2 * SLACK in log2 of their length
+SHORT = 64  # texts below so many shingles are not judged by bits
+BLOCK_SHINGLES = 1 << 18  # shingles of a block of sets that are compared at once
+ORDER_TEXTS = 20_000  # about so many texts tell which shingles are common
+ORDER_SHINGLES = 100_000  # common shingles that are ordered by their number of texts
 
 # Bits of each byte value, highest first, repeated for the eight positions.
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
@@ -79,63 +81,84 @@ def wide_fingerprint(digests: np.ndarray) -> list[int]:
     return out
 
 
-def _class_keys(digests: np.ndarray) -> list[int]:
-    """Index keys: hash of (scale, class, SimHash of the class) for the first classes.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order."""
+    return np.unique(shingle_hashes(text, words).view(">u8").ravel().astype(np.uint64))
 
-    A text of ``n`` shingles has ``2 ** scale`` classes of about CLASS_SHINGLES each; next to
-    a boundary between scales it is indexed for both.  Texts below 16 classes use 16.
+
+def prefix_keys(values: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: two sets of this Jaccard similarity share one of theirs.
+
+    Shingles that are not ``common`` come first, by hash, then the common ones by rank.  Any
+    order has that property if it is the same for all sets.
     """
-    n = len(digests)
+    n = len(values)
     if not n:
-        return [0]
-    values = digests.view(">u8").ravel().astype(np.uint64)
-    size = np.log2(n / CLASS_SHINGLES)
-    keys = []
-    for scale in sorted({max(4, int(np.floor(size + shift + 0.5))) for shift in (-SLACK, SLACK)}):
-        which = (values >> np.uint64(20)) & np.uint64((1 << scale) - 1)
-        chosen = which < CLASSES
-        order = np.argsort(which[chosen], kind="stable")
-        own, mine = which[chosen][order], digests[chosen][order]
-        if not len(own):
-            continue
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sizes = np.diff(np.r_[first, len(own)])
-        ones = np.add.reduceat(np.unpackbits(mine, axis=1).astype(np.int32), first, axis=0)
-        prints = np.packbits(ones * 2 > sizes[:, None], axis=1)
-        for number, one in zip(own[first].tolist(), prints):
-            keys.append(int.from_bytes(xxhash.xxh64_digest(bytes([scale, int(number)]) + one.tobytes()), "big", signed=True))
-    return keys
-
-
-def fingerprints(docs: DataFrame, text: str, shingle: int, wide: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and ``fp`` (signed 64 bits) of whole texts.
-
-    With ``wide``, every distinct shingle votes once, and there are ``fp_words``, the words of
-    the wide fingerprint, and ``fp_keys``, the class keys.
-    """
+        return np.zeros(1, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        values = values[np.lexsort((values, np.where(common[at] == values, ranks[at], 0)))]
+    return values[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
+
+
+def _common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample and their ranks; they only decide the order of prefixes."""
+    texts = docs.select(F.col(text).alias("__text"))
+    share = ORDER_TEXTS / max(1, texts.count())
+    hashed = F.pmod(F.xxhash64("__text", F.lit(SEED)), F.lit(1 << 30))
+    sample = texts.where(hashed < int(min(share, 1.0) * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(value.as_py(), shingle).view(np.int64))], ["h"])
+
+    counted = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    # Bounded: at most ORDER_SHINGLES pairs of numbers.
+    rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
+    found = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r.n for r in rows], np.int64)[order]
+
+
+def fingerprints(docs: DataFrame, text: str, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns and ``fp`` (signed 64 bits) of whole texts."""
     ship(docs.sparkSession)
     wanted = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fp bigint"])
-    schema = fields + (", fp_words array<bigint>, fp_keys array<bigint>" if wide else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, words, found = [], [], []
-            for value in batch.column(batch.num_columns - 1):
-                digests = shingle_hashes(value.as_py(), shingle)
-                if wide:
-                    digests = np.unique(digests.view(">u8").ravel()).astype(">u8").view(np.uint8).reshape(-1, 8)
-                    words.append(wide_fingerprint(digests))
-                    found.append(_class_keys(digests))
-                prints.append(words[-1][0] if wide else fingerprint_of(digests))
-            columns = [*batch.columns[:-1], pa.array(prints, pa.int64())]
-            names = [*batch.schema.names[:-1], "fp"]
-            if wide:
-                columns += [pa.array(words, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
-                names += ["fp_words", "fp_keys"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return wanted.mapInArrow(run, schema)
+            prints = [fingerprint_of(shingle_hashes(v.as_py(), shingle)) for v in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], [*batch.schema.names[:-1], "fp"])
+
+    return wanted.mapInArrow(run, fields)
+
+
+def _set_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Id, ``mark`` of the text, ``node`` (hash of its set), ``n`` shingles, ``fp_words`` and ``fp_keys``."""
+    ship(docs.sparkSession)
+    common, ranks = _common_shingles(docs, text, shingle)
+    shared = docs.sparkSession.sparkContext.broadcast((common, ranks))
+    wanted = docs.select(docs[id_col], F.xxhash64(docs[text]).alias("mark"), docs[text].alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start, stop in slices(whole.column(2)):
+                batch = whole.slice(start, stop - start)
+                sets = [shingle_set(v.as_py(), shingle) for v in batch.column(2)]
+                digests = [v.astype(">u8").view(np.uint8).reshape(-1, 8) for v in sets]
+                words = [wide_fingerprint(d) for d in digests]
+                nodes = [int.from_bytes(xxhash.xxh64_digest(v.tobytes(), SEED), "big", signed=True) for v in sets]
+                keys = [prefix_keys(v, similarity, *shared.value) for v in sets]
+                columns = [
+                    *batch.columns[:2], pa.array([w[0] for w in words], pa.int64()), pa.array(nodes, pa.int64()),
+                    pa.array([len(v) for v in sets], pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:2], "fp", "node", "n", "fp_words", "fp_keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return wanted.mapInArrow(run, f"`{id_col}` {kind}, mark bigint, fp bigint, node bigint, n bigint, fp_words array<bigint>, fp_keys array<bigint>")
 
 
 def byte_postings(prints: DataFrame, max_bits: int) -> DataFrame:
@@ -303,39 +326,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def bit_limit(similarity: float) -> int:
-    """Differing bits up to which two wide fingerprints count as similar.
+    """Differing bits beyond which two wide fingerprints are no candidates.
 
-    Sets of one size with this Jaccard similarity have the cosine ``2s / (1 + s)``, and each bit
-    differs with the share of their angle in a half turn.
+    Sets of this Jaccard similarity have at least the cosine ``2s / (1 + s)``, and each bit
+    differs with the share of their angle in a half turn; the limit lies five standard
+    deviations beyond.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(64 * WIDE * share + math.sqrt(64 * WIDE * share * (1 - share)))
+    return math.ceil(64 * WIDE * share + 5 * math.sqrt(64 * WIDE * share * (1 - share)))
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """``(key, node, first)`` of the keys that two or more nodes have; first is the smallest node of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The first node of the last key is carried over, as the next batch may go on with the key.
+        key, first, sent = np.empty(0, np.int64), np.empty(0, np.int64), True
+        for batch in batches:
+            keys = np.r_[key, batch.column(0).to_numpy()]
+            nodes = np.r_[first, batch.column(1).to_numpy()]
+            if not len(keys):
+                continue
+            begins = np.r_[True, keys[1:] != keys[:-1]]
+            starts = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
+            several = np.r_[begins[:-1] & ~begins[1:], False]
+            if len(key) and sent:
+                several[0] = False
+            out = ~begins | several
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (keys, nodes, nodes[starts])], ["key", "node", "first"])
+            at = starts[-1]
+            sent = at < len(keys) - 1 or (at == 0 and len(key) > 0 and sent)
+            key, first = keys[at : at + 1], nodes[at : at + 1]
+
+    ordered = postings.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
+    return ordered.mapInArrow(run, "key bigint, node bigint, first bigint")
+
+
+def _alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest of its group) by the exact Jaccard similarity of all pairs of sets."""
+    nodes, first = np.unique(nodes, return_index=True)
+    sets = [sets[i] for i in first]
+    sizes = np.array([len(v) for v in sets])
+    owner, label = np.repeat(np.arange(len(nodes)), sizes), np.arange(len(nodes))
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    for i in range(len(nodes)):
+        if (label == label[0]).all():
+            break
+        mine = np.zeros(len(distinct), bool)
+        mine[codes[ends[i] - sizes[i] : ends[i]]] = True
+        both = np.bincount(owner[mine[codes]], minlength=len(nodes))
+        near = both >= similarity * (sizes + sizes[i] - both) - 1e-9
+        near[i] = True
+        joined = np.unique(label[near])
+        label[np.isin(label, joined)] = joined[0]
+    inner = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[inner], nodes[label[inner]]
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges of exact similarity between the nodes of each component of ``candidates``.
+
+    Sets are made anew from one text of each node.  A component's sets are dealt into blocks,
+    and each pair of blocks is compared by one task, so memory is bounded.
+    """
+    groups = components(candidates).join(nodes.select("node", "n", "mark"), "node")
+    total = groups.groupBy("component").agg(F.sum("n").alias("total"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    dealt = groups.join(total, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    one = docs.select(F.xxhash64(docs[text]).alias("mark"), docs[text].alias("__text"))
+    one = one.join(dealt.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
+    held = one.join(dealt.select("mark", "node", "component", "block", "blocks"), "mark")
+    pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    rows = pairs.select(*keys, "node", "__text")
+    ordered = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve() -> pa.RecordBatch:
+            src, dst = _alike(np.array([n for n, _ in held]), [v for _, v in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+        key, held = None, []
+        for batch in batches:
+            for *own, node, value in zip(*batch.columns):
+                own = tuple(x.as_py() for x in own)
+                if own != key:
+                    if len(held) > 1:
+                        yield solve()
+                    key, held = own, []
+                held.append((node.as_py(), shingle_set(value.as_py(), shingle)))
+        if len(held) > 1:
+            yield solve()
+
+    return ordered.mapInArrow(run, "src bigint, dst bigint")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, fp, component_id)``: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    The similarity is read from the share of equal bits of a wide fingerprint, to which every
-    distinct shingle votes once (a line that two texts repeat many times does not make them
-    alike).  The limit lies one standard deviation beyond the bits expected at ``similarity``:
-    at 0.8, pairs of 0.85 are linked almost surely, of 0.8 mostly, of 0.6 hardly ever.
-    Candidates share the SimHash of one of up to sixteen hash classes of their shingles;
-    classes hold about six shingles each, so texts of that likeness share some class with
-    a chance of about 0.99.  Every candidate pair of a posting is verified.
+    Texts with the same set are one node.  Candidates share a shingle of their prefixes, which
+    every pair of that similarity does; of texts of ``SHORT`` shingles or more, pairs that
+    differ in too many bits of the wide fingerprint are dropped (see ``bit_limit``).  All
+    pairs in a component of candidates are then compared exactly.
     """
-    prints = fingerprints(docs, text, shingle, wide=True, keep=(id_col,))
-    # Texts of one wide fingerprint are one node, named by its hash.
-    prints = landed(prints.withColumn("node", F.xxhash64("fp_words")), "prints")
-    nodes = prints.groupBy("node").agg(F.min(F.struct("fp_words", "fp_keys")).alias("one"))
-    nodes = nodes.select("node", F.col("one.fp_words").alias("words"), F.col("one.fp_keys").alias("keys"))
-    postings = nodes.select("node", "words", F.explode("keys").alias("key"))
+    prints = landed(_set_prints(docs, id_col, text, shingle, similarity), "prints")
+    one = prints.groupBy("node").agg(F.min(F.struct("n", "mark", "fp_words", "fp_keys")).alias("one"))
+    nodes = landed(one.select("node", "one.n", "one.mark", F.col("one.fp_words").alias("words"), F.col("one.fp_keys").alias("keys")), "nodes")
+    postings = nodes.select("node", "n", F.explode("keys").alias("key"))
+    # A short text is alike only to texts of less than SHORT / similarity shingles.
+    short = _shared(postings.where(F.col("n") <= math.ceil(SHORT / similarity))).select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    long = _shared(postings.where(F.col("n") >= SHORT)).join(nodes.select("node", "words"), "node")
     max_bits = bit_limit(similarity)
-    found = landed(_posting_edges(postings, max_bits, 0), "class_edges")
-    edges = found.where("key is null").select("src", "dst")
+    found = landed(_posting_edges(long, max_bits, 0), "prefix_edges")
+    edges = found.where("key is null").select("src", "dst").unionByName(short)
     open_rows = found.where("key is not null")
     if not open_rows.isEmpty():
         edges = edges.unionByName(_block_edges(open_rows, nodes.select("node", "words"), max_bits))
-    return _grouped(prints.select(id_col, "fp", "node"), edges, id_col, "node").drop("node")
+    exact = landed(_verified(docs, nodes, edges, text, shingle, similarity), "alike")
+    return _grouped(prints.select(id_col, "fp", "node"), exact, id_col, "node").drop("node")
 
 
 def fingerprint_text(fp) -> Column:

@@ -260,6 +260,34 @@ def test_repeated_lines_do_not_make_texts_alike(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3]
 
 
+def test_similar_groups_by_exact_jaccard(spark):
+    """Pairs around the limit, texts of 20 to 5,000 shingles, contained or changed, against brute force."""
+    rows = []
+    for n in (20, 60, 70, 200, 1000, 5000):
+        for k, share in enumerate((0.70, 0.75, 0.79, 0.80, 0.801, 0.85, 0.90) * (3 if n < 5000 else 1)):
+            words = [f"w{n}a{k}b{j}" for j in range(n + 4)]
+            cut = round((n + 4) * share) if k % 2 else n + 4
+            gone = (1 - share) / (1 + share) * n / 5
+            other = words[:cut] if k % 2 else [f"new{j}" if int(j * gone / n) != int((j + 1) * gone / n) else w for j, w in enumerate(words)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    expected = {i: i for i in sets}
+    for i in range(0, len(rows), 2):
+        a, b = sets[i], sets[i + 1]
+        if 10 * len(a & b) >= 8 * len(a | b):
+            expected[i + 1] = i
+    assert 10 < sum(i != j for i, j in expected.items()) < len(rows) / 2 - 10
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == expected
+
+
+def test_prefixes_of_shared_keys(spark):
+    rows = [(k % 700, n) for n, k in enumerate(range(1400))] + [(10_000 + k, k) for k in range(500)] + [(-1, k) for k in range(30_000)]
+    found = simhash._shared(spark.createDataFrame(rows, "key bigint, node bigint")).collect()
+    assert sorted((r.key, r.node) for r in found) == sorted((k, n) for k, n in rows if k < 10_000)
+    assert all(r.first == (0 if r.key == -1 else r.key) for r in found)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1100)] + [(5000, 5000)]
     out = components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()
