@@ -4,11 +4,13 @@ Words are lower-cased (A-Z) and stripped of ASCII punctuation.  A word's embeddi
 of those of its hash and of the hashes of its beginnings, so that unseen forms of a stem are
 known; hashes seen in fewer than ``MIN_DOCS`` sample texts have none.  Filters of several widths slide over the
 embeddings, each keeps its maximum over the whole text, and a linear layer gives the logit.
-Thresholds are calibrated by language on rows that training left out: a score is the logistic
-function of the logit less the threshold of the text's language, so 0.5 is the decision.
+Thresholds are calibrated by language on all labelled rows of a fold that training left out,
+from counts by logit: a score is the logistic function of the logit less the threshold of the
+text's language, so 0.5 is the decision.
 The language is guessed from function words of the text alone.
 
-Sample: at most ``PER_CLASS`` labelled rows of each class, those with the smallest id hashes.
+Sample of the weights: at most ``PER_CLASS`` labelled rows of each class, those with the
+smallest id hashes.
 Rows: NULL and empty texts, and texts without a word, are scored from the bias alone.
 Labels that are NULL, or that contradict each other for one id, are not learnt from.  Without
 rows of both classes every score is the share of label 1 (0 without labels).
@@ -40,6 +42,7 @@ MIN_CALIBRATION = 15  # rows of each class that a language needs for a threshold
 BLOCK_WORDS = 100_000
 BEGINNINGS = (3, 4, 5, 6, 7)  # lengths of the beginnings of words, in characters
 MAX_TYPES = 100_000  # distinct words that a task keeps
+STEPS, MAX_LOGIT = 64, 64  # logits are counted in steps of 1/64 up to this size
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Frequent function words of four languages.
 FUNCTION_WORDS = {
@@ -217,20 +220,20 @@ def _step(model: Model, texts: list[np.ndarray], rows: np.ndarray, labels: np.nd
         learn("embeddings", model.embeddings, total, unique)
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """Middle of the gap between logits that makes the fewest errors."""
-    order = np.argsort(logits, kind="stable")
-    logits, labels = logits[order], labels[order]
-    wrong = np.r_[0, np.cumsum(labels)] + (1 - labels).sum() - np.r_[0, np.cumsum(1 - labels)]
+def _threshold(counts: np.ndarray) -> float:
+    """Middle of the gap between steps of logits that makes the fewest errors; rows of (step, label, n)."""
+    steps, place = np.unique(counts[:, 0], return_inverse=True)
+    zeros, ones = (np.bincount(place, counts[:, 2] * (counts[:, 1] == k), len(steps)) for k in (0, 1))
+    wrong = np.r_[0, np.cumsum(ones)] + zeros.sum() - np.r_[0, np.cumsum(zeros)]
     at = np.flatnonzero(wrong == wrong.min())
     at = at[len(at) // 2]
-    low = logits[at - 1] if at else logits[0] - 1
-    high = logits[at] if at < len(logits) else logits[-1] + 1
-    return float((low + high) / 2)
+    low = steps[at - 1] if at else steps[0] - STEPS
+    high = steps[at] if at < len(steps) else steps[-1] + STEPS
+    return float((low + high) / 2 / STEPS)
 
 
 def train(texts: list[list[bytes]], labels: np.ndarray, calibrate: np.ndarray, seed: int = 7) -> Model:
-    """Fit on the texts outside ``calibrate``, then set thresholds by language on those inside."""
+    """Fit on the texts outside ``calibrate``; thresholds are zero."""
     types = Types()
     codes = types.codes(texts)
     own, target = [t for t, c in zip(codes, calibrate) if not c], labels[~calibrate].astype(np.float32)
@@ -244,24 +247,54 @@ def train(texts: list[list[bytes]], labels: np.ndarray, calibrate: np.ndarray, s
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             _step(model, [own[i] for i in chosen], rows, target[chosen], state, 0.1 / (1 + epoch / 2))
-    held = np.flatnonzero(calibrate) if 0 < labels[calibrate].sum() < calibrate.sum() else np.arange(len(labels))
-    logits, languages = model.logits([codes[i] for i in held], types.hashes)
-    truth = labels[held]
-    model.thresholds[:] = _threshold(logits, truth)
-    for number in range(len(FUNCTION_WORDS)):
-        mine = languages == number
-        if min(truth[mine].sum(), (1 - truth[mine]).sum()) >= MIN_CALIBRATION:
-            model.thresholds[number] = _threshold(logits[mine], truth[mine])
     return model
 
 
+def _counts(docs: DataFrame, labels: DataFrame, model: Model, id_col: str, text: str) -> np.ndarray:
+    """(step of the logit, label, rows, language) over all rows of ``docs`` that ``labels`` (id, label) names."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    named = labels.select(F.col(id_col).alias("__id"), "label")
+    rows = docs.select(id_col, text).join(named, docs[id_col] == named["__id"]).where(F.col(text).isNotNull()).select("label", F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = Types()
+        for whole in batches:
+            for start, stop in slices(whole.column(1), 1 << 20):
+                if len(types.number) > MAX_TYPES:
+                    types = Types()
+                batch = whole.slice(start, stop - start)
+                codes = types.codes([words_of(v) for v in batch.column(1).to_pylist()])
+                logits, languages = shared.value.logits(codes, types.hashes)
+                steps = np.round(np.clip(logits, -MAX_LOGIT, MAX_LOGIT) * STEPS).astype(np.int64)
+                columns = [pa.array(steps), batch.column(0).cast(pa.int64()), pa.array(languages.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["step", "label", "language"])
+
+    found = rows.mapInArrow(run, "step bigint, label bigint, language bigint").groupBy("step", "label", "language").agg(F.count("*").alias("n"))
+    # At most 2 * STEPS * MAX_LOGIT + 1 steps for each label and language.
+    return np.array([(r.step, r.label, r.n, r.language) for r in found.collect()], np.int64).reshape(-1, 4)
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> None:
+    """Set the thresholds of a model from all rows of fold 1, or of all folds but 0 if those are of one class."""
+    own = fold(F.col(id_col))
+    counts = _counts(docs.where(own == 1), labels.where(own == 1), model, id_col, text)
+    if len(set(counts[:, 1].tolist())) < 2:
+        counts = _counts(docs.where(own != 0), labels.where(own != 0), model, id_col, text)
+    model.thresholds[:] = _threshold(counts)
+    for number in range(len(FUNCTION_WORDS)):
+        mine = counts[counts[:, 3] == number]
+        if min(mine[mine[:, 1] == k, 2].sum() for k in (0, 1)) >= MIN_CALIBRATION:
+            model.thresholds[number] = _threshold(mine)
+
+
 def fold(id_col: Column) -> Column:
     """CRC-32 of the id as text, modulo five; fold 0 is held out (NULL ids too)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5, F.lit(0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """A model from the labelled documents outside fold 0; folds 1 calibrates."""
+    """A model from the labelled documents outside fold 0; all of fold 1 calibrates."""
     known = labels.where(labels[id_col].isNotNull() & labels[label].isin(0, 1) & (fold(labels[id_col]) != 0))
     agreed = known.groupBy(id_col).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
     chosen = None
@@ -274,7 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     one = sample.groupBy("__id", "label", "fold").agg(F.max(text).alias("text"))
     rows = sorted((r["__id"], r["label"], r["fold"], r["text"]) for r in one.collect() if r["text"] is not None)
     texts = [words_of(r[3]) for r in rows]
-    return train(texts, np.array([r[1] for r in rows], np.int64), np.array([r[2] == 1 for r in rows], bool))
+    model = train(texts, np.array([r[1] for r in rows], np.int64), np.array([r[2] == 1 for r in rows], bool))
+    if model.weights.any():
+        calibrate(docs, agreed.select(id_col, "label"), model, id_col, text)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

@@ -160,6 +160,16 @@ def test_toxicity_learns_stems_and_reads_whole_texts(spark):
     assert scores[1000] > 0.5 > scores[1001] and scores[1002] > 0.5 > scores[1003]
 
 
+def test_toxicity_thresholds_cover_all_labelled_rows(spark):
+    """A small sample of each class gives the weights; thresholds see the true shares of the classes."""
+    rows = [(i, f"same words here {i % 3}" + (" badword" if i % 10 in (0, 1, 2) else ""), int(i % 10 == 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"), per_class=200)
+    # Two of three texts with the word are clean, so the fewest errors call all texts clean.
+    predicted = toxicity.score(df, model).where("score >= 0.5").count()
+    assert predicted == 0
+
+
 def mixed(df, **options):
     levels = {"language": F.col("lang"), "origin": F.col("source")}
     return mixing.mix(df, levels, [{"en": 1.0}, {}], F.size(F.split("text", " ")), **options)
