@@ -13,6 +13,8 @@ Shards are written by tasks that hold a range of the ids, under a passing name t
 renamed, so a repeated task leaves the same files.  A manifest (Parquet, one row per shard)
 gives the ids in all shards before.
 
+Added tokens of the tokenizer that stand in a text become their ids, as in the library.
+
 Rows: a NULL or empty text holds only the end id.  NULL document ids come first, rows that
 repeat an id follow each other by their text.
 """
@@ -125,7 +127,8 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    # Texts are split at added tokens before; what looks like one after lower-casing is ordinary text.
+    tokenizer.encode_special_tokens = True
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
@@ -141,19 +144,49 @@ def _encoder(path: str):
     return encode
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Ids of the tokenizer's added tokens, which are found in texts before anything else."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).get_added_tokens_decoder()
+    for token in found.values():
+        if token.normalized or token.lstrip or token.rstrip or token.single_word:
+            raise ValueError(f"added token {token.content!r} is not matched as it stands")
+    return {token.content.encode(): number for number, token in found.items()}
+
+
+def words_of(text: str | None, tokens: regex.Pattern | None) -> list[bytes]:
+    """Lower-cased words of a whole text; added tokens as words with a blank before them."""
+    whole = text.encode("utf-8", "surrogatepass") if text else b""
+    if tokens is None:
+        return whole.lower().split()
+    words = []
+    for number, part in enumerate(tokens.split(whole)):
+        words += [b" " + part] if number % 2 else part.lower().split()
+    return words
+
+
+def token_pattern(path: str) -> regex.Pattern | None:
+    """Pattern with one group for all added tokens, longest first."""
+    listed = sorted(added_tokens(path), key=len, reverse=True)
+    return regex.compile(b"(" + b"|".join(map(regex.escape, listed)) + b")") if listed else None
+
+
 def word_cache(path: str) -> PieceCache:
-    """Ids of white-space separated words: a word is split at the tokenizer's pieces, each encoded once.
+    """Ids of words (see ``words_of``): a word is split at the tokenizer's pieces, each encoded once.
 
     Words in ASCII go the short way; any other word goes to the tokenizer as it is, since
     normalization may change where it is split.
     """
     if path not in _CACHES:
-        pieces = PieceCache(_encoder(path))
+        pieces, tokens = PieceCache(_encoder(path)), added_tokens(path)
 
         def words(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            texts = [w.decode("utf-8", "replace") for w in new]
+            added = np.array([w[:1] == b" " for w in new], bool)
+            texts = ["" if a else w.decode("utf-8", "replace") for w, a in zip(new, added)]
             flat, ends = pieces.ids([_PIECE.findall(t) if t.isascii() else [t] for t in texts])
-            return np.diff(np.r_[0, ends]), flat
+            own = [tokens[w[1:]] for w, a in zip(new, added) if a]
+            return np.diff(np.r_[0, ends]) + added, np.insert(flat, ends[added], own)
 
         _CACHES[path] = PieceCache(words)
     return _CACHES[path]
@@ -179,6 +212,7 @@ def write_ids(
         files, root = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(root)
         part, count, writer, cache = TaskContext.get().partitionId(), 0, ShardWriter(bits), word_cache(tokenizer)
+        tokens = token_pattern(tokenizer)
 
         def close() -> pa.RecordBatch:
             nonlocal count, writer
@@ -194,7 +228,7 @@ def write_ids(
         for whole in batches:
             for start, stop in slices(whole.column(1)):
                 batch = whole.slice(start, stop - start)
-                words = [v.as_py().encode("utf-8", "surrogatepass").lower().split() if v.is_valid else [] for v in batch.column(1)]
+                words = [words_of(v.as_py(), tokens) for v in batch.column(1)]
                 flat, ends = cache.ids(words)
                 # The end id goes behind the ids of each document.
                 flat = np.insert(flat, ends, end_id)

@@ -86,6 +86,22 @@ def test_packed_ids(spark, docs, nothing):
         assert manifest.count() > 1
 
 
+def test_packed_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [
+        "a <|endoftext|> b", "a<|startoftext|>b <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> é<|EndOfText|> x", "<|endoftext|>",
+        "it<|endoftext|>'s naïve<|startoftext|> 日本語<|endoftext|>語", "<|endoftext<|endoftext|>|> <| endoftext |>", "plain words only",
+    ]
+    folder = new_folder(spark, "ids")
+    manifest = bitpack.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, folder, 16)
+    found = {r.doc_id: [int.from_bytes(r.ids_le[i : i + 4], "little") for i in range(0, len(r.ids_le), 4)] for r in bitpack.read_ids(spark, folder, manifest).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert found[0] == [320, 49407, 321, 1]
+    assert found == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 32])
 def test_pack_any_width(bits):
     import numpy as np
