@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm import bitpack, bpe, chat, divergence, kdsearch, licences, mixing, simhash, substrings, toxicity
+from tablepulse.llm import (
+    bitpack, bpe, chat, divergence, kdsearch, licences, mixing, negatives, simhash, spelling, substrings, toxicity, winnowing,
+)
 from tablepulse.llm.storage import landed, new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,3 +284,86 @@ _STARTS_SQL = " UNION ALL ".join(
     FROM d""")
 def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op11_hard_negatives", """
+    WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10""")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    return negatives.hard_negatives(vectors, F.col("id") % 100 == 0, label=label)
+
+
+# CRC-32 of the UTF-8 bytes of a text: the usual reflected polynomial, table made by eight shifts.
+_CRC_TABLE_SQL = """
+    bits AS (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+             FROM (SELECT unnest(range(0, 256)) AS n)),
+    crc AS (SELECT list(c ORDER BY n) AS t FROM bits)"""
+_BYTES_SQL = """flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+    ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))"""
+_RUN_SQL = f"{spelling.LETTERS}{{{spelling.MIN_LENGTH},}}"
+
+
+@query("op12_spelling_variants", f"""
+    WITH RECURSIVE {_CRC_TABLE_SQL},
+    runs AS (SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_RUN_SQL}')) AS run FROM documents)),
+    marked AS (SELECT run, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES_SQL.format("doc_id || ':' || run")}),
+                      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h, length(run) AS size FROM runs, crc),
+    w AS (SELECT word, COUNT(*) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % size AS INT)) || substr(run, CAST(h % size AS INT) + 2) ELSE run END AS word FROM marked)
+          WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING COUNT(*) >= {spelling.MIN_COUNT}),
+    cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)),
+    near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+             UNION SELECT c.word, c.n, w.word, w.n FROM cut c JOIN w ON w.word = c.rest
+             UNION SELECT w.word, w.n, c.word, c.n FROM cut c JOIN w ON w.word = c.rest),
+    best AS (SELECT word, n, other, other_n, COUNT(*) OVER (PARTITION BY word) AS n_near FROM near
+             QUALIFY ROW_NUMBER() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+                     CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+    way AS (SELECT word, word AS top FROM w UNION ALL SELECT way.word, form FROM way JOIN forms ON forms.word = top WHERE form IS NOT NULL)
+    SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, way.top AS root
+    FROM forms f JOIN way ON way.word = f.word JOIN forms last ON last.word = way.top AND last.form IS NULL""")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, folder, "documents").select("doc_id", "text"))
+    return spelling.group_variants(counts)
+
+
+def _item_words_sql(table_name: str, key: str) -> str:
+    lower = f"translate(text, '{winnowing.UPPER}', '{winnowing.LOWER}')"
+    return f"SELECT {key}, coalesce(regexp_extract_all({lower}, '{winnowing.WORD[1:-1]}'), []) AS ws FROM {table_name}"
+
+
+@query("op13_winnowing", f"""
+    WITH d AS ({_item_words_sql("documents", "doc_id")}),
+    b AS (SELECT item_id, ws, least(len(ws), {winnowing.WINDOW}) AS m FROM ({_item_words_sql("benchmark", "item_id")}) WHERE len(ws) > 0),
+    bw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM b)),
+    dw AS (SELECT doc_id, i, m, array_to_string(ws[i : i + m - 1], ' ') AS s
+           FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM b) WHERE len(ws) >= m)),
+    hit AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, s)),
+    cov AS (SELECT doc_id, COUNT(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+    its AS (SELECT doc_id, COUNT(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def winnowed(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnowing.decontaminate(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text")
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
