@@ -33,9 +33,21 @@ KS = """
     cum AS (SELECT column_name, SUM(c) OVER w AS sc, SUM(r) OVER w AS sr FROM vc WINDOW w AS (PARTITION BY column_name ORDER BY v)),
     ks AS (SELECT cum.column_name, MAX(abs(sc * 1.0e0 / n - sr * 1.0e0 / m)) AS d, ANY_VALUE(n) AS n, ANY_VALUE(m) AS m
            FROM cum JOIN st ON cum.column_name = st.column_name GROUP BY cum.column_name),
-    kp AS (SELECT column_name, ROUND(d, 6) AS ks_statistic, d * sqrt(n * 1.0e0 * m / (n + m)) AS z FROM ks),
-    kq AS (SELECT column_name, ks_statistic, ROUND(CASE WHEN z < 0.2 THEN 1.0e0 ELSE greatest(0.0e0, least(1.0e0,
-           2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0e0 * k * k * z * z))))) END, 6) AS ks_p_value FROM kp)"""
+    kp AS (SELECT column_name, d, n, m, ROUND(d, 6) AS ks_statistic, d * sqrt(n * 1.0e0 * m / (n + m)) AS z, CAST(round(d * n * m) AS BIGINT) AS h FROM ks),
+    kw AS (SELECT column_name, n, m, h, 0 AS s, 0 AS low, [1.0e0] AS paths FROM kp
+           WHERE n <= 10000 AND m <= 10000 AND h > 0 AND 4 * exp(-2e0 * n * m * d * d / pow(sqrt(n) + sqrt(m), 2)) >= 1e-7
+           UNION ALL SELECT column_name, n, m, h, s, low2, list_transform(range(low2, high2 + 1), lambda y:
+             (coalesce(CASE WHEN y >= low THEN paths[CAST(y - low + 1 AS INT)] END, 0) * (n - s + y + 1)
+              + coalesce(CASE WHEN y > low THEN paths[CAST(y - low AS INT)] END, 0) * (m - y + 1)) / (n + m - s + 1))
+           FROM (SELECT column_name, n, m, h, s + 1 AS s, low, paths,
+                        CAST(greatest(0, s + 1 - n, floor(((s + 1) * m - h) * 1.0e0 / (n + m)) + 1) AS INT) AS low2,
+                        CAST(least(m, s + 1, ceil(((s + 1) * m + h) * 1.0e0 / (n + m)) - 1) AS INT) AS high2 FROM kw WHERE s < n + m)),
+    kx AS (SELECT column_name, 1 - coalesce(paths[CAST(m - low + 1 AS INT)], 0) AS p FROM kw WHERE s = n + m),
+    kq AS (SELECT kp.column_name, ks_statistic, ROUND(CASE WHEN n <= 10000 AND m <= 10000 THEN
+             CASE WHEN h = 0 THEN 1.0e0 ELSE greatest(0.0e0, least(1.0e0, coalesce(kx.p, 0.0e0))) END
+           WHEN z < 0.2 THEN 1.0e0 ELSE greatest(0.0e0, least(1.0e0,
+           2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0e0 * k * k * z * z))))) END, 6) AS ks_p_value
+           FROM kp LEFT JOIN kx ON kp.column_name = kx.column_name)"""
 CATEGORY = "y AS (" + " UNION ALL ".join(
     f"SELECT l_shipdate >= TIMESTAMP '{LINES_SPLIT}' AS cur, '{c}' AS column_name, {c} AS v FROM lineitem" for c in CATEGORIES
 ) + """),
@@ -94,7 +106,7 @@ def _(t):
 
 
 @query("dr_02_enough_rows", f"""
-    WITH {ALL}, {SUMMARY}
+    WITH RECURSIVE {ALL}, {SUMMARY}
     SELECT total_columns, (SELECT COUNT(*) FROM lineitem WHERE l_shipdate >= TIMESTAMP '{LINES_SPLIT}') AS current_rows,
            (SELECT COUNT(*) FROM lineitem WHERE l_shipdate < TIMESTAMP '{LINES_SPLIT}') AS reference_rows FROM s""")
 def _(t):
@@ -109,37 +121,49 @@ def _(t):
     return drift.column_drift(drift.split_by_time(t["events"], "ts", EVENTS_SPLIT)).select("column_name", "kind")
 
 
-@query("dr_04_psi", f"WITH {LONG}, {STATS}, {PSI} SELECT column_name, psi FROM psi")
+@query("dr_04_psi", f"WITH RECURSIVE {LONG}, {STATS}, {PSI} SELECT column_name, psi FROM psi")
 def _(t):
     return drift.numeric_drift(_sides(t), NUMBERS).select("column_name", "psi")
 
 
-@query("dr_05_ks_statistic", f"WITH {LONG}, {STATS}, {KS} SELECT column_name, ks_statistic FROM kq")
+@query("dr_05_ks_statistic", f"WITH RECURSIVE {LONG}, {STATS}, {KS} SELECT column_name, ks_statistic FROM kq")
 def _(t):
     return drift.numeric_drift(_sides(t), NUMBERS).select("column_name", "ks_statistic")
 
 
-@query("dr_06_ks_p_value", f"WITH {LONG}, {STATS}, {KS} SELECT column_name, ks_p_value FROM kq")
+@query("dr_06_ks_p_value", f"WITH RECURSIVE {LONG}, {STATS}, {KS} SELECT column_name, ks_p_value FROM kq")
 def _(t):
     return drift.numeric_drift(_sides(t), NUMBERS).select("column_name", "ks_p_value")
 
 
+BALANCES_LONG = """x AS (SELECT c_mktsegment = 'BUILDING' AS cur, 'balances_' || c_nationkey % 5 AS column_name, c_acctbal AS v FROM customer)"""
+
+
+@query("dr_06_small_windows", f"WITH RECURSIVE {BALANCES_LONG}, {STATS}, {KS} SELECT column_name, ks_statistic, ks_p_value FROM kq")
+def _(t):
+    """Balances of one market segment against all others, a comparison per group of nations: some dozen rows against more."""
+    groups = [f"balances_{i}" for i in range(5)]
+    balances = [F.when(F.col("c_nationkey") % 5 == i, F.col("c_acctbal")).alias(name) for i, name in enumerate(groups)]
+    sides = t["customer"].select((F.col("c_mktsegment") == "BUILDING").alias(drift.SIDE), *balances)
+    return drift.numeric_drift(sides, groups).select("column_name", "ks_statistic", "ks_p_value")
+
+
 @query("dr_07_category_shift", f"WITH {CATEGORY} SELECT column_name, psi AS shift FROM cs")
 def _(t):
     return drift.categorical_drift(_sides(t), CATEGORIES).select("column_name", F.col("psi").alias("shift"))
 
 
-@query("dr_08_verdicts", f"WITH {ALL} SELECT column_name, drift_detected FROM a")
+@query("dr_08_verdicts", f"WITH RECURSIVE {ALL} SELECT column_name, drift_detected FROM a")
 def _(t):
     return _compared(t).select("column_name", "drift_detected")
 
 
-@query("dr_09_summary", f"WITH {ALL}, {SUMMARY} SELECT drifted_columns, total_columns, drift_pct, avg_psi, avg_ks_stat FROM s")
+@query("dr_09_summary", f"WITH RECURSIVE {ALL}, {SUMMARY} SELECT drifted_columns, total_columns, drift_pct, avg_psi, avg_ks_stat FROM s")
 def _(t):
     return drift.drift_summary(_compared(t)).select("drifted_columns", "total_columns", "drift_pct", "avg_psi", "avg_ks_stat")
 
 
-@query("dr_10_score", f"WITH {ALL}, {SUMMARY} SELECT drift_score, drift_pct > 0 AS drift_detected FROM s")
+@query("dr_10_score", f"WITH RECURSIVE {ALL}, {SUMMARY} SELECT drift_score, drift_pct > 0 AS drift_detected FROM s")
 def _(t):
     return drift.drift_summary(_compared(t)).select("drift_score", "drift_detected")
 
@@ -151,14 +175,14 @@ def _(t):
 
 
 @query("dr_12_metric_rows", f"""
-    WITH {ALL} SELECT column_name, 'ks_test+psi' AS drift_method, ks_statistic AS statistic_value, ks_p_value AS p_value,
+    WITH RECURSIVE {ALL} SELECT column_name, 'ks_test+psi' AS drift_method, ks_statistic AS statistic_value, ks_p_value AS p_value,
     psi AS psi_score, drift_detected, CASE WHEN drift_detected THEN 'HIGH' ELSE 'LOW' END AS severity FROM a""")
 def _(t):
     return drift.drift_metric_rows(_compared(t))
 
 
 @query("dr_13_drift_run", f"""
-    WITH {ALL}, {SUMMARY} SELECT *, drift_pct > 0 AS drift_detected, {SEVERITY} AS drift_severity FROM s""")
+    WITH RECURSIVE {ALL}, {SUMMARY} SELECT *, drift_pct > 0 AS drift_detected, {SEVERITY} AS drift_severity FROM s""")
 def _(t):
     return drift.drift_summary(_compared(t))
 
@@ -166,7 +190,7 @@ def _(t):
 def _events_sql():
     """The same comparison for the events with NULLs in them."""
     split = f"ts >= TIMESTAMP '{EVENTS_SPLIT}'"
-    sql = f"WITH {LONG}, {STATS}, {PSI}, {KS} SELECT psi.column_name, psi, ks_statistic, ks_p_value FROM psi JOIN kq ON psi.column_name = kq.column_name"
+    sql = f"WITH RECURSIVE {LONG}, {STATS}, {PSI}, {KS} SELECT psi.column_name, psi, ks_statistic, ks_p_value FROM psi JOIN kq ON psi.column_name = kq.column_name"
     long = "x AS (" + " UNION ALL ".join(
         f"SELECT {split} AS cur, '{c}' AS column_name, CAST({c} AS DOUBLE) AS v FROM v_events_dirty WHERE {c} IS NOT NULL" for c in ("user_id", "value")
     ) + ")"

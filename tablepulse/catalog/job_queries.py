@@ -112,7 +112,7 @@ def _(t):
 
 
 @query("snk_07_drift_facts", f"""
-    WITH {ALL}, {SUMMARY}
+    WITH RECURSIVE {ALL}, {SUMMARY}
     SELECT 'lines' AS dataset_id, drift_score, drift_pct > 0 AS drift_detected, {SEVERITY} AS drift_severity, CAST(drifted_columns AS INT) AS drifted_columns,
         CAST(total_columns AS INT) AS total_columns, drift_pct, avg_psi, avg_ks_stat, total_columns AS metric_rows FROM s""")
 def _(t):

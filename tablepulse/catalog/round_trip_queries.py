@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from tablepulse.catalog.tables import EVENTS_END
 from tablepulse.operators import healing, medallion, quality
 from tablepulse.plans import jobs, reports
 from tablepulse.session import shared_folder
+from tablepulse.sources.envelopes import publish_text, unwrap
 from tablepulse.sources.facts import FactStore
 from tablepulse.sources.files import read_file
 
@@ -21,6 +24,20 @@ def _store(t):
     return FactStore(t.spark, shared_folder(t.spark))
 
 
+@contextmanager
+def small_splits(spark, size: int):
+    """Splits of ``size`` bytes for the scans that run inside."""
+    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 0}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 # --- files -------------------------------------------------------------------
 
 @query("src_01_quoted_texts", "SELECT doc_id, text FROM documents")
@@ -31,6 +48,16 @@ def _(t):
     return read_file(t.spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
+@query("src_01_split_quoted", "SELECT doc_id, replace(text, chr(13), '') AS text, lang, source, n_chars FROM documents")
+def _(t):
+    """One large quoted file in many splits, line breaks inside its texts."""
+    path = f"{shared_folder(t.spark)}/documents.csv"
+    options = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    t["documents"].withColumn("text", F.regexp_replace("text", "\r", "")).coalesce(1).write.options(**options).csv(path)
+    with small_splits(t.spark, 64 << 10):
+        return read_file(t.spark, path, t["documents"].schema, landing=f"{shared_folder(t.spark)}/landing")
+
+
 @query("src_01_missing_tokens", "SELECT event_id, user_id, event_type, value FROM v_events_dirty")
 def _(t):
     path = f"{shared_folder(t.spark)}/events.csv"
@@ -124,6 +151,45 @@ def _(t):
     return t.spark.read.parquet(bronze).select("o_orderkey", "o_totalprice")
 
 
+@query("snk_01_ids_over_splits", """
+    SELECT c_custkey, c_name, c_acctbal, 1 AS ids FROM customer""")
+def _(t):
+    """The same file loaded with two split sizes: every row keeps its ingestion id."""
+    store = _store(t)
+    path = f"{store.root}/upload/customers.csv"
+    t["customer"].coalesce(1).write.csv(path, header=True)
+    loads = []
+    for size in (16 << 10, 1 << 30):
+        with small_splits(t.spark, size):
+            row = jobs.ingest_file(store, path, "Customers", AT, file_schema=t["customer"].schema).first()
+        bronze = t.spark.read.parquet(jobs.layer_path(store, "bronze", row["bronze_table"], 1))
+        folder = f"{store.root}/loaded/{size}"
+        bronze.write.parquet(folder)
+        loads.append(t.spark.read.parquet(folder).select("c_custkey", "c_name", "c_acctbal", "_ingestion_id"))
+    both = loads[0].unionByName(loads[1])
+    ids = F.count_distinct("_ingestion_id").cast("int").alias("ids")
+    return both.groupBy("c_custkey", "c_name", "c_acctbal").agg(ids)
+
+
+@query("snk_05_outbox_of_uploads", """
+    SELECT 'schema.events' AS topic, md5('dataset|Customers') AS key, COUNT(*) AS rows_ingested, 1 AS n, CAST(1 AS BIGINT) AS sent, CAST(0 AS BIGINT) AS sent_again FROM customer""")
+def _(t):
+    """An upload puts its event into the outbox; sending empties it once."""
+    store = _store(t)
+    path = f"{store.root}/upload/customers.csv"
+    t["customer"].write.csv(path, header=True)
+    for _ in range(2):
+        jobs.ingest_file(store, path, "Customers", AT, file_schema=t["customer"].schema)
+    folder = f"{store.root}/sent"
+    send = lambda messages: publish_text(messages, folder)
+    sent = jobs.send_outbox(store, send, AT).first()["messages"]
+    again = jobs.send_outbox(store, send, LATER).first()["messages"]
+    messages = unwrap(t.spark.read.text(folder))
+    return messages.groupBy("topic", F.col("dataset_id").alias("key")).agg(
+        F.max(F.get_json_object("payload", "$.rows_ingested").cast("bigint")).alias("rows_ingested"), F.count("*").cast("int").alias("n")
+    ).withColumns({"sent": F.lit(sent).cast("bigint"), "sent_again": F.lit(again).cast("bigint")})
+
+
 @query("lin_03_rerun_after_partial_write", "SELECT o_orderpriority AS _aggregation_key, COUNT(*) AS _row_count FROM orders GROUP BY 1")
 def _(t):
     """Gold of a run of which a broken attempt left some rows."""

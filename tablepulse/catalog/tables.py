@@ -198,8 +198,9 @@ def with_views(sql: str, base: dict[str, str] | None = None) -> str:
     sql = sql.strip()
     if not parts:
         return sql
-    if sql.upper().startswith("WITH "):
-        return f"WITH {', '.join(parts)}, {sql[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(start):
+            return f"{start}{', '.join(parts)}, {sql[len(start):]}"
     return f"WITH {', '.join(parts)} {sql}"
 
 

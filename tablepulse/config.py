@@ -29,6 +29,8 @@ class DriftConfig:
     p_value_threshold: float = 0.05
     categorical_threshold: float = 0.1
     min_rows: int = 10
+    # p-values of windows up to this size on both sides are exact.
+    exact_rows: int = 10_000
     # A column's sorted values are cut into 2 ** range_bits ranges before running sums are taken.
     range_bits: int = 12
 

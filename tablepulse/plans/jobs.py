@@ -8,8 +8,9 @@ sees scalars and the one result row.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,7 @@ from tablepulse.sources.facts import (
     silver_schema,
 )
 from tablepulse.sources.files import read_file, source_type, split_rejects
+from tablepulse.sources.splits import FILE, ROW_NO
 
 
 def stable_id(*parts: str) -> str:
@@ -124,26 +126,29 @@ def ingest_file(
     file_schema: T.StructType | None = None,
     keep_rejects: bool = False,
 ) -> DataFrame:
-    """Load a file into Bronze: infer, diff and register its schema, append rows, log the run.
+    """Load a file into Bronze: infer, diff and register its schema, append rows, log the run, announce it.
 
-    A malformed record fails the upload, or goes to the quarantine with
-    ``keep_rejects``.  Returns one row that describes the upload.
+    The text is scanned for the places of its records and then parsed once into a landing table;
+    types, schema and rows are taken from there.  A malformed record fails the upload, or goes
+    to the quarantine with ``keep_rejects``.  The upload event goes to ``outbox``.  Returns one row
+    that describes the upload.
     """
     now = moment(at)
     dataset_id, run = stable_id("dataset", dataset), stable_id("run", dataset, path, at)
-    rows = read_file(store.spark, path, file_schema, keep_rejects)
-    if keep_rejects:
-        rows = _land(store, rows, dataset, run)
+    # A malformed record only shows when all columns are parsed together, as they are for the landing table.
+    landing = f"{store.root}/landing/{_bronze(dataset)}/{run}"
+    rows = read_file(store.spark, path, file_schema, keep_rejects, places=True, landing=landing)
     rows, rejects = split_rejects(rows)
+    places = [c for c in (FILE, ROW_NO) if c in rows.columns]
 
-    inferred = _held(store, schema.infer_schema(rows).withColumn("dataset_id", F.lit(dataset_id)))
+    inferred = _held(store, schema.infer_schema(rows.drop(*places)).withColumn("dataset_id", F.lit(dataset_id)))
     kinds = {row["column_name"]: row["logical_type"] for row in inferred.collect()}
     rows, lost = schema.promoted(rows, kinds)
     stored = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     storage = F.element_at(F.create_map(*[F.lit(x) for kv in stored.items() for x in kv]), F.col("column_name"))
     inferred = inferred.withColumn("storage_type", storage)
     if keep_rejects:
-        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_lost"]))
+        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_lost", *places)]))
         rejects = rejects.unionByName(rows.filter(lost).select(record.alias(rejects.columns[0])))
         rows = rows.filter(~lost).drop("_lost")
     else:
@@ -188,7 +193,7 @@ def ingest_file(
 
     entry = F.struct("change_type", "column_name", "detail")
     listed = changes.groupBy("dataset_id").agg(F.sort_array(F.collect_list(entry)).alias("schema_changes"))
-    return (
+    upload = (
         schema.fingerprints(inferred, "dataset_id")
         .join(listed, "dataset_id", "left")
         .select(
@@ -205,13 +210,24 @@ def ingest_file(
             F.lit(at).alias("ingested_at"),
         )
     )
+    event = upload_event(upload)
+    store.append_new("outbox", event.withColumns({"id": run_id(F.lit("upload"), F.lit(run)), "published_at": now}))
+    return upload
+
 
+def send_outbox(store: FactStore, send: Callable[[DataFrame], None], at: str) -> DataFrame:
+    """Hand the messages of ``outbox`` that were not sent yet to ``send``, and note them in ``outbox_sent``.
 
-def _land(store: FactStore, rows: DataFrame, dataset: str, run: str) -> DataFrame:
-    """Parsed records of a file as a table; rejects only show when all columns are parsed together."""
-    folder = f"{store.root}/landing/{_bronze(dataset)}/{run}"
-    rows.write.mode("overwrite").parquet(folder)
-    return store.spark.read.schema(rows.schema).parquet(folder)
+    ``send`` takes ``(topic, key, value)``, as :func:`tablepulse.sources.envelopes.publish_kafka` does.  What it
+    fails on is not noted and goes out with the next call, so a message is sent once or more.
+    Returns the number of messages sent.
+    """
+    pending = store.read("outbox").join(store.read("outbox_sent").select("id"), "id", "left_anti")
+    send(pending.select("topic", "key", "value"))
+    # What came into the outbox while the messages were sent stays pending, as ``pending`` keeps its list of files.
+    sent = pending.select("id", moment(at).alias("sent_at"))
+    store.append_new("outbox_sent", sent)
+    return store.read("outbox_sent").filter(F.col("sent_at") == moment(at)).agg(F.count("*").alias("messages"))
 
 
 def _write_bronze(
@@ -222,14 +238,15 @@ def _write_bronze(
     The table is partitioned by run, so that later steps read the files of one run only.
     """
     bronze = layer_path(store, "bronze", _bronze(dataset), version)
-    _replace_run(bronze_rows(rows, path, run, version, moment(at)), bronze)
-    return read_table(store.spark, bronze, bronze_schema(rows.schema)).filter(F.col("_pipeline_run_id") == run).count()
+    _replace_run(bronze_rows(rows, path, run, version, moment(at)), bronze, run)
+    data = rows.drop(FILE, ROW_NO).schema
+    return read_table(store.spark, bronze, bronze_schema(data)).filter(F.col("_pipeline_run_id") == run).count()
 
 
-def _replace_run(rows: DataFrame, path: str) -> None:
-    """Write the rows of one or more runs in place of whatever a broken attempt left of these runs."""
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("_pipeline_run_id").parquet(path)
+def _replace_run(rows: DataFrame, path: str, run: str) -> None:
+    """Write the rows of a run, also none, in place of whatever a broken attempt left of it."""
+    folder = f"{path}/_pipeline_run_id={quote(run, safe='')}"
+    rows.drop("_pipeline_run_id").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
 
 
 def _write_quarantine(store: FactStore, rejects: DataFrame, dataset: str, run: str) -> int:
@@ -282,7 +299,7 @@ def bronze_to_silver(
     if mode == "run_once":
         # The whole run is written again, so what a broken attempt left of it does not count as the run.
         rows = medallion.to_silver(source.filter(F.col("_pipeline_run_id") == run), version).dropDuplicates(["_row_key"])
-        _replace_run(rows.withColumn("_silver_loaded_at", moment(at)), path)
+        _replace_run(rows.withColumn("_silver_loaded_at", moment(at)), path, run)
     else:
         rows = medallion.silver_additions(source, silver, run, version, mode).withColumn("_silver_loaded_at", moment(at))
         rows.write.mode("append").partitionBy("_pipeline_run_id").parquet(path)
@@ -312,7 +329,7 @@ def silver_to_gold(
     rows = medallion.to_gold(silver, key, run).withColumns(
         {"_aggregation_date": moment(at).cast("date"), "_gold_loaded_at": moment(at)}
     )
-    _replace_run(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema_.fields]), path)
+    _replace_run(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema_.fields]), path, run)
     register_dataset(store, dataset_id, at, gold_table=_layer(silver_table, "gold"))
 
     counts = (

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tablepulse.functions.keys import JSON, row_text
 from tablepulse.sources import registry
+from tablepulse.sources.splits import FILE, ROW_NO
 
 # Columns and types of the fact tables.
 SCHEMAS = {
@@ -30,6 +31,7 @@ SCHEMAS = {
     "pipeline_tasks": "id string, run_id string, task_name string, task_type string, status string, "
     "started_at timestamp_ntz, completed_at timestamp_ntz, duration_sec double, retry_count int",
     "outbox": "id string, topic string, key string, value string, published_at timestamp_ntz",
+    "outbox_sent": "id string, sent_at timestamp_ntz",
     "quality_runs": "id string, dataset_id string, pipeline_run_id string, schema_version int, "
     "total_rows bigint, quality_score decimal(5,2), evaluated_at timestamp_ntz",
     "quality_metrics": "quality_run_id string, column_name string, metric_type string, "
@@ -255,18 +257,20 @@ def bronze_rows(df: DataFrame, source_file: str, pipeline_run_id: str, schema_ve
     """Data rows with Bronze audit columns; NaN becomes NULL.
 
     The ingestion id follows from run, place in the file and content, so a repeated load of
-    the same file builds the same ids, and equal rows keep ids of their own.
+    the same file builds the same ids, and equal rows keep ids of their own.  The place is that of
+    the columns ``_file`` and ``_row_no``, which do not depend on how files are split; rows without them are
+    numbered as Spark deals them out.
     """
-    data = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+    data, audit = [], [c for c in (FILE, ROW_NO) if c in df.columns]
+    columns = [c for c in df.columns if c not in audit]
+    for name in columns:
+        column = F.col(f"`{name}`")
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
             column = F.when(~F.isnan(column), column)
-        data.append(column.alias(field.name))
+        data.append(column.alias(name))
+    place = [F.col(c).cast("string") for c in audit] or [F.monotonically_increasing_id().cast("string")]
     return df.select(
-        F.sha2(
-            F.concat_ws("|", F.lit(pipeline_run_id), F.monotonically_increasing_id().cast("string"), row_text(df, df.columns)), 256
-        ).alias("_ingestion_id"),
+        F.sha2(F.concat_ws("|", F.lit(pipeline_run_id), *place, row_text(df, columns)), 256).alias("_ingestion_id"),
         at.cast("timestamp_ntz").alias("_ingestion_ts"),
         F.lit(source_file).alias("_source_file"),
         F.lit(pipeline_run_id).alias("_pipeline_run_id"),

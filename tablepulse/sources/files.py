@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tablepulse.functions.names import clean_columns
 from tablepulse.functions.types import TIME_PATTERN
+from tablepulse.sources.splits import FILE, ROW_NO, records
 
 EXTENSIONS = {".csv": "csv", ".json": "json", ".jsonl": "json"}
 CORRUPT = "_corrupt_record"
@@ -53,24 +54,35 @@ def source_type(name: str) -> str:
 
 
 def read_file(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: bool = False, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: bool = False, multi_line: bool = True,
+    places: bool = False, landing: str | None = None,
 ) -> DataFrame:
     """Rows of a CSV or JSON file, or of a folder of files of one kind.
 
-    Without ``schema`` the types are inferred in a scan of its own.  A malformed record
+    Without ``schema`` the types are inferred from all values.  A malformed record
     is an error, for which all records are read once, or, with ``rejects``, stays in the
     column ``_corrupt_record`` for the quarantine.  Quoted CSV texts may hold line breaks;
-    Spark then reads each file in one task, and ``multi_line=False`` splits large files
-    that have none.
+    large files are split all the same (:mod:`tablepulse.sources.splits`).  ``multi_line=False``
+    saves the scan that finds quotes, for files without line breaks in texts.
+
+    With ``places`` the columns ``_file`` and ``_row_no`` tell where a record stands; they do not
+    depend on the splits.  With ``landing``, a folder, the parsed records are written there once and
+    all that follows reads them.
     """
     kind = EXTENSIONS[file_extension(path)]
     try:
         if kind == "csv":
-            df = _read_csv(spark, path, schema, rejects, multi_line)
+            df = _read_csv(spark, path, schema, rejects, multi_line, places)
         else:
-            df = _read_json(spark, path, schema, rejects)
+            df = _read_json(spark, path, schema, rejects, places)
+        if landing is not None:
+            df.write.mode("overwrite").parquet(landing)
+            df = spark.read.schema(df.schema).parquet(landing)
+        if kind == "csv" and schema is None:
+            df = typed_texts(df)
         # Reading every column of every record finds the malformed ones.
-        empty = df.isEmpty() if rejects else not df.agg(F.count("*"), *[F.count(F.col(f"`{c}`")) for c in df.columns]).first()[0]
+        unread = rejects or landing is not None
+        empty = df.isEmpty() if unread else not df.agg(F.count("*"), *[F.count(F.col(f"`{c}`")) for c in df.columns]).first()[0]
     except (PySparkException, Py4JJavaError) as error:
         raise UnreadableFile(path) from error
     if empty:
@@ -78,11 +90,15 @@ def read_file(
     return _clean(df)
 
 
+def _kept(df: DataFrame) -> list[str]:
+    """Columns of the reader, which are no data."""
+    return [c for c in (FILE, ROW_NO, CORRUPT) if c in df.columns]
+
+
 def _clean(df: DataFrame) -> DataFrame:
-    if CORRUPT not in df.columns:
-        return clean_columns(df)
-    renamed = clean_columns(df.drop(CORRUPT)).columns
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != CORRUPT], CORRUPT).toDF(*renamed, CORRUPT)
+    kept = _kept(df)
+    renamed = clean_columns(df.drop(*kept)).columns
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in kept], *kept).toDF(*renamed, *kept)
 
 
 def _mode(schema: T.StructType | None, rejects: bool) -> tuple[T.StructType | None, dict[str, str]]:
@@ -93,25 +109,42 @@ def _mode(schema: T.StructType | None, rejects: bool) -> tuple[T.StructType | No
     return schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool, multi_line: bool) -> DataFrame:
+def _parsed(found: DataFrame, record: Column, schema: T.StructType, places: bool) -> DataFrame:
+    """The fields of a parsed record as columns."""
+    parsed = found.select(*[c for c in (FILE, ROW_NO) if places], record.alias("_record"))
+    fields = [F.col("_record").getField(c).alias(c) for c in schema.names]
+    return parsed.select(*fields, *[c for c in (FILE, ROW_NO) if places])
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool, multi_line: bool, places: bool) -> DataFrame:
     # A quote inside quotes is doubled.
-    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
-    if schema is not None:
-        schema, options = _mode(schema, rejects)
-        return reader.options(**options).schema(schema).csv(path)
-    names = reader.csv(path).columns
-    texts, options = _mode(T.StructType([T.StructField(n, T.StringType()) for n in names]), rejects)
-    return typed_texts(reader.options(**options).schema(texts).csv(path))
+    options = {"header": True, "escape": '"'}
+    if schema is None:
+        names = spark.read.options(**options, multiLine=multi_line).csv(path).columns
+        if not names:
+            raise EmptyFile(path)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema, mode = _mode(schema, rejects)
+    if not (multi_line or places):
+        return spark.read.options(**options, **mode).schema(schema).csv(path)
+    found = records(spark, path, quoted=multi_line).where((F.col(ROW_NO) > 0) & (F.col("value") != ""))
+    record = F.from_csv("value", F.lit(schema_text(schema)), {"escape": '"', "multiLine": "true", **mode})
+    return _parsed(found, record, schema, places)
+
+
+def schema_text(schema: T.StructType) -> str:
+    """A schema in the form that parsing functions take, names quoted."""
+    quote = lambda name: "`" + name.replace("`", "``") + "`"
+    return ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def typed_texts(df: DataFrame) -> DataFrame:
     """Text columns with marks of missing values as NULL, in the narrowest type that fits all their values."""
-    columns = [c for c in df.columns if c != CORRUPT]
+    kept = _kept(df)
+    columns = [c for c in df.columns if c not in kept]
     if not columns:
         return df
-    clean = df.select(
-        *[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in columns], *[c for c in df.columns if c == CORRUPT]
-    )
+    clean = df.select(*[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in columns], *kept)
 
     def tests(c: str) -> dict[str, Column]:
         text = F.col(f"`{c}`")
@@ -136,7 +169,7 @@ def typed_texts(df: DataFrame) -> DataFrame:
         kind = next((k for k in tests(c) if found[f"{i} {k}"]), "string")
         value = F.trim(F.col(f"`{c}`")) if kind != "string" else F.col(f"`{c}`")
         out.append(value.cast(kind).alias(c))
-    return clean.select(*out, *[c for c in df.columns if c == CORRUPT])
+    return clean.select(*out, *kept)
 
 
 def _one_document(spark: SparkSession, path: str) -> bool:
@@ -152,7 +185,7 @@ def _one_document(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool) -> DataFrame:
+def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool, places: bool) -> DataFrame:
     """One document per line, or else one document in the whole file."""
     whole = _one_document(spark, path)
     if schema is None:
@@ -164,7 +197,10 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, reje
             raise UnreadableFile(path)
         schema = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
     schema, options = _mode(schema, rejects)
-    return spark.read.schema(schema).options(multiLine=whole, **options).json(path)
+    if whole or not places:
+        return spark.read.schema(schema).options(multiLine=whole, **options).json(path)
+    found = records(spark, path, quoted=False).where(F.trim("value") != "")
+    return _parsed(found, F.from_json("value", schema, options), schema, places)
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -43,6 +43,38 @@ def series_p(statistic, n, m):
     return max(0.0, min(1.0, 2 * total))
 
 
+def exact_p(statistic, n, m):
+    """Share of lattice paths that reach the statistic somewhere, in whole numbers."""
+    limit = round(statistic * n * m)
+    inside = {0: 1}
+    for x in range(n + 1):
+        row, left = {}, 0
+        for y in range(m + 1):
+            left = (left + inside.get(y, 0) if x else int(not y) or left) if abs(x * m - y * n) < limit else 0
+            row[y] = left
+        inside = row
+    return 1 - inside[m] / math.comb(n + m, m)
+
+
+@pytest.mark.parametrize("n,m", [(2, 2), (2, 9), (10, 10), (12, 48), (37, 53), (100, 100), (200, 7), (150, 151)])
+def test_small_windows_have_exact_p_values(spark, n, m):
+    """Every tenth attainable statistic, up to the one of samples that do not overlap."""
+    step = math.gcd(n, m) / (n * m)
+    grid = [k * step for k in range(0, round(1 / step) + 1, max(1, round(0.1 / step)))]
+    rows = spark.createDataFrame([(d,) for d in grid], "d double")
+    found = [r.p for r in rows.select(drift.ks_p_value(F.col("d"), F.lit(n), F.lit(m)).alias("p")).collect()]
+    assert found == pytest.approx([exact_p(d, n, m) if d else 1.0 for d in grid], abs=1e-6)
+
+
+def test_exact_and_limit_p_values_meet_at_the_switch(spark):
+    """Windows of 10,000 rows: both forms agree to two digits near the threshold, and the exact one is used up to there."""
+    rows = spark.createDataFrame([(0.0150,), (0.0192,), (0.0300,)], "d double")
+    n, more = F.lit(10_000), F.lit(10_001)
+    for r in rows.select("d", drift.ks_p_value(F.col("d"), n, n).alias("exact"), drift.ks_p_value(F.col("d"), n, more).alias("limit")).collect():
+        assert r.limit == pytest.approx(series_p(r.d, 10_000, 10_001), abs=1e-6)
+        assert r.exact == pytest.approx(r.limit, rel=0.02, abs=2e-3)
+
+
 def rows_of(df):
     return {r["column_name"]: r for r in df.collect()}
 
@@ -64,6 +96,7 @@ def test_numbers_equal_brute_force_for_any_number_of_ranges(sample, bits):
     row = drift.numeric_drift(sides, ["a"], DriftConfig(range_bits=bits)).first()
     assert row["psi"] == pytest.approx(brute_psi(reference, current), abs=2e-6)
     assert row["ks_statistic"] == pytest.approx(brute_ks(reference, current), abs=1e-6)
+    # Below 10,000 rows a side the p-value is exact; this statistic is far beyond chance.
     assert row["ks_p_value"] == pytest.approx(series_p(brute_ks(reference, current), 3000, 4000), abs=1e-5)
     assert row["drift_detected"]
 

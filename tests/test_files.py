@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import types as T
@@ -146,3 +147,78 @@ def test_scan_sample(spark, folder):
 def test_usage_falls_back_to_a_zero_row(spark):
     row = first_existing(spark, ["missing_a", "missing_b"], "credits double, runs int", [0.0, 1]).first()
     assert (row["credits"], row["runs"]) == (0.0, 1)
+
+
+# --- files in many splits -----------------------------------------------------
+
+def csv_rows(some, n):
+    """Texts with quotes, commas, line breaks, stray quotes and carriage returns."""
+    words = ["plain", 'he "said" so', "a,b", "two\nlines", "\n", '"', '""', 'x,"\n",y', "", "end\n\n", "tab\t", "é\r\nü"]
+    return [(str(i), " ".join(some.choice(words) for _ in range(some.randrange(1, 4))), some.choice(["1", "2.5", "NA"])) for i in range(n)]
+
+
+def as_csv(rows, some=None):
+    """CSV text; a field that needs no quotes is quoted at random."""
+    def field(text):
+        needs = any(c in text for c in '",\n\r') or text == ""
+        return '"' + text.replace('"', '""') + '"' if needs or (some and some.random() < 0.3) else text
+
+    return "".join(",".join(map(field, row)) + "\n" for row in rows)
+
+
+@pytest.mark.parametrize("split", [97, 256, 4096, 1 << 20])
+def test_quoted_csv_over_splits(spark, tmp_path, split):
+    some = random.Random(split)
+    rows = csv_rows(some, 250)
+    # One text runs over many splits.
+    rows.insert(200, ("big", "line, one\n" * 90 + 'and "more"', "1"))
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for number, part in enumerate((rows[:150], rows[150:151], rows[151:])):
+        write(folder, f"{number}.csv", as_csv([("id", "some text", "v"), *part], some))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        found = [tuple(r) for r in files.read_file(spark, str(folder), places=True).select("id", "some_text", "v", "_row_no").collect()]
+        tasks = files.records(spark, str(folder)).rdd.getNumPartitions() if split == 256 else None
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks is None or tasks >= sum(f.stat().st_size for f in folder.glob("*.csv")) // 256
+    lines = lambda part: [(*row, sum(as_csv([r]).count("\n") for r in part[:i]) + 1) for i, row in enumerate(part)]
+    expected = [r for part in (rows[:150], rows[150:151], rows[151:]) for r in lines(part)]
+    number = lambda v: None if v == "NA" else float(v)
+    # The empty text is a mark of a missing value.
+    assert sorted(found, key=repr) == sorted(((i, text or None, number(v), n) for i, text, v, n in expected), key=repr)
+
+
+def test_stray_quotes_open_nothing(spark, tmp_path):
+    """A quote inside a field without quotes is a letter, as Spark's own reader takes it."""
+    path = write(tmp_path, "f.csv", 'id,size,note\n1,5" pipe,x\n2,6",y\n3,"7"" pipe","two\nlines"\n4,"a","b"\n')
+    assert [tuple(r) for r in files.read_file(spark, path).orderBy("id").collect()] == [
+        (1, '5" pipe', "x"), (2, '6"', "y"), (3, '7" pipe', "two\nlines"), (4, "a", "b")
+    ]
+
+
+def test_same_as_the_reader_of_one_task(spark, tmp_path):
+    some = random.Random(9)
+    path = write(tmp_path, "f.csv", as_csv([("id", "t", "v"), *csv_rows(some, 300)], some).replace("\r", ""))
+    plain = spark.read.options(header=True, multiLine=True, escape='"').csv(path).fillna("")
+    texts = files.records(spark, path).where("_row_no > 0 and value != ''")
+    assert texts.count() == plain.count() == 300
+
+
+def test_records_of_json_lines_have_places(spark, tmp_path):
+    path = write(tmp_path, "f.jsonl", '{"a": 1}\n\n{"a": 2}\r\n{"a": 3}')
+    assert [tuple(r)[:1] + (r["_row_no"],) for r in files.read_file(spark, path, places=True).orderBy("a").collect()] == [(1, 0), (2, 2), (3, 3)]
+
+
+def test_landing_keeps_rejects_and_places(spark, tmp_path):
+    path = write(tmp_path, "f.csv", "a,b\n1,2\n3\n5,6\n")
+    df = files.read_file(spark, path, rejects=True, places=True, landing=str(tmp_path / "landed"))
+    good, bad = files.split_rejects(df)
+    assert sorted((r.a, r.b, r._row_no) for r in good.collect()) == [(1, 2, 1), (5, 6, 3)]
+    assert [r[0] for r in bad.collect()] == ["3"]
+    with pytest.raises(files.UnreadableFile):
+        files.read_file(spark, path, landing=str(tmp_path / "again"))

@@ -284,3 +284,62 @@ def test_drift_windows_of_one_small_table_overlap(spark):
     df = spark.range(10).select("id", F.timestamp_seconds("id").alias("ts"))
     rows = drift.side_rows(drift.newest_and_oldest(df, "ts", n=25_000)).first()
     assert (rows["current_rows"], rows["reference_rows"]) == (10, 10)
+
+
+def test_upload_reads_its_file_for_the_landing_table_only(store, tmp_path, monkeypatch):
+    """Once the records have landed, the file is not needed any more."""
+    own = jobs.read_file
+
+    def read_and_remove(spark, path, *args, **options):
+        rows = own(spark, path, *args, **options)
+        (tmp_path / "a.csv").unlink()
+        return rows
+
+    monkeypatch.setattr(jobs, "read_file", read_and_remove)
+    row = upload(store, tmp_path, "a.csv", 'id,note\n1,"two\nlines"\n2,plain\n').first()
+    bronze = store.spark.read.parquet(jobs.layer_path(store, "bronze", "sales_data_raw", 1))
+    assert row["rows_ingested"] == 2 and sorted(r.note for r in bronze.collect()) == ["plain", "two\nlines"]
+    assert not [c for c in bronze.columns if c in ("_file", "_row_no")]
+
+
+def test_equal_rows_of_a_file_have_ids_of_their_own(store, tmp_path):
+    upload(store, tmp_path, "a.csv", "id,amount\n" + "1,2.5\n" * 50)
+    bronze = store.spark.read.parquet(jobs.layer_path(store, "bronze", "sales_data_raw", 1))
+    assert bronze.select("_ingestion_id").distinct().count() == 50
+
+
+def test_silver_adds_nothing_after_a_reload_with_other_splits(store, tmp_path):
+    text = "id,amount\n" + "".join(f"{i},2.5\n" for i in range(300))
+    columns = T.StructType.fromDDL("id int, amount double")
+    before = store.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("200", "1000000"):
+        store.spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            row = upload(store, tmp_path, "a.csv", text).first()
+        finally:
+            store.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        jobs.bronze_to_silver(store, row["dataset_id"], "sales_data_raw", columns, row["pipeline_run_id"], AT)
+    assert store.spark.read.parquet(jobs.layer_path(store, "silver", "sales_data_silver", 1)).count() == 300
+
+
+def test_a_run_without_rows_replaces_what_was_left(store, tmp_path):
+    row = upload(store, tmp_path, "a.csv", "id,amount\n1,2.5\n").first()
+    folder = jobs.layer_path(store, "bronze", "sales_data_raw", 1)
+    left = store.spark.read.parquet(folder)
+    jobs._replace_run(left.filter("id > 5"), folder, row["pipeline_run_id"])
+    assert store.spark.read.schema(left.schema).parquet(folder).count() == 0
+
+
+def test_outbox_keeps_what_could_not_be_sent(store, tmp_path):
+    upload(store, tmp_path, "a.csv", "id,amount\n1,2.5\n")
+
+    def fails(messages):
+        raise OSError("no broker")
+
+    with pytest.raises(OSError):
+        jobs.send_outbox(store, fails, AT)
+    seen = []
+    send = lambda messages: seen.extend(messages.collect())
+    assert jobs.send_outbox(store, send, AT).first()["messages"] == 1
+    jobs.send_outbox(store, send, "2024-01-02 00:00:00")
+    assert len(seen) == 1 and json.loads(seen[0]["value"])["payload"]["rows_ingested"] == 1
