@@ -326,7 +326,7 @@ def test_a_run_without_rows_replaces_what_was_left(store, tmp_path):
     row = upload(store, tmp_path, "a.csv", "id,amount\n1,2.5\n").first()
     folder = jobs.layer_path(store, "bronze", "sales_data_raw", 1)
     left = store.spark.read.parquet(folder)
-    jobs._replace_run(left.filter("id > 5"), folder, row["pipeline_run_id"])
+    jobs._replace_run(store.spark.createDataFrame([], left.schema), folder, row["pipeline_run_id"])
     assert store.spark.read.schema(left.schema).parquet(folder).count() == 0
 
 
