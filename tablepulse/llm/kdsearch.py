@@ -10,8 +10,9 @@ k-th scores to all others.
 
 All queries must meet all shards, but only as blocks: a task holds one tree and one block.
 
-Rows: vectors that are NULL or hold NULL or non-finite components take no part, nor do those
-with a scaled component of 2**27 or more (scores would not fit).  Vectors only meet vectors
+Rows: vectors that are NULL or hold NULL or non-finite components take no part.  Scores are
+exact; where they might not fit a long (sums of 2**62 or more), the search fails with an
+error.  Vectors only meet vectors
 of their length; empty ones take no part.  Rows that repeat id and vector count once.  An id
 with several vectors stands for each of them, with its best score.  Rows without an id take
 no part.
@@ -32,16 +33,15 @@ from tablepulse.llm.storage import landed, ship
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 1_024
 LEAF = 256
-LIMIT = 1 << 27
 LOWEST = -(2**63) + 1  # can be negated
 
 
 def scaled(vectors: DataFrame, id_col: str, vector: str, scale: float) -> DataFrame:
     """``(id, v, dim)`` of the vectors that take part; components are ``floor(scale * x)``."""
     x = F.col(vector)
-    fits = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double") * scale) < LIMIT - 1), F.lit(False)))
+    fits = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fits)
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int"))
+    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("bigint"))
     return rows.select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"), F.size(x).alias("dim")).distinct()
 
 
@@ -110,8 +110,11 @@ def search(tree: dict[str, np.ndarray], own: np.ndarray, queries: np.ndarray, kt
 
     Candidates below ``kth`` need not be found.
     """
-    largest = max(np.abs(tree["low"]).max(initial=0), np.abs(tree["high"]).max(initial=0)) * np.abs(queries).max(initial=0)
-    exact = np.float64 if float(largest) * queries.shape[1] < 2**53 else np.int64
+    sizes = [float(np.abs(a.astype(np.float64)).max(initial=0)) for a in (tree["low"], tree["high"], queries)]
+    largest = max(sizes[:2]) * sizes[2] * queries.shape[1]
+    if largest >= 2**62:
+        raise OverflowError("a score may not fit a long")
+    exact = np.float64 if largest < 2**53 else np.int64
     points, low, high, q = (a.astype(exact) for a in (tree["points"], tree["low"], tree["high"], queries))
     n = len(q)
     scores, ids = np.full((n, k), LOWEST), np.full((n, k), np.iinfo(np.int64).max)
