@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -45,6 +46,7 @@ JOINED = 256  # pieces per string given to the tokenizer
 _HEAD = struct.Struct("<4sQQQQ")
 # Pieces that the tokenizer's own pre-tokenizer splits at; a piece splits no further.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SPACE = regex.compile("[\t-\r]")
 _CACHES: dict[str, PieceCache] = {}
 
 
@@ -144,7 +146,7 @@ def _encoder(path: str):
     return encode
 
 
-def added_tokens(path: str) -> dict[bytes, int]:
+def added_tokens(path: str) -> dict[str, int]:
     """Ids of the tokenizer's added tokens, which are found in texts before anything else."""
     from tokenizers import Tokenizer
 
@@ -152,39 +154,56 @@ def added_tokens(path: str) -> dict[bytes, int]:
     for token in found.values():
         if token.normalized or token.lstrip or token.rstrip or token.single_word:
             raise ValueError(f"added token {token.content!r} is not matched as it stands")
-    return {token.content.encode(): number for number, token in found.items()}
+    return {token.content: number for number, token in found.items()}
 
 
-def words_of(text: str | None, tokens: regex.Pattern | None) -> list[bytes]:
-    """Lower-cased words of a whole text; added tokens as words with a blank before them."""
-    whole = text.encode("utf-8", "surrogatepass") if text else b""
-    if tokens is None:
-        return whole.lower().split()
+def words_of(text: str | None, tokens: regex.Pattern) -> list[str]:
+    """Words of a whole text, those in ASCII lower-cased; added tokens as words with a blank before them."""
     words = []
-    for number, part in enumerate(tokens.split(whole)):
-        words += [b" " + part] if number % 2 else part.lower().split()
-    return words
+    for number, part in enumerate(tokens.split(text or "")):
+        words += [" " + part] if number % 2 else [w.lower() if w.isascii() else w for w in _SPACE.sub(" ", part).split(" ")]
+    return [w for w in words if w]
+
+
+def encode_texts(texts: pa.Array, cache: PieceCache, tokens: regex.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of an Arrow column, and where each text ends among them."""
+    texts = pc.fill_null(texts, "")
+    if tokens is not None and pc.any(pc.match_substring_regex(texts, tokens.pattern)).as_py():
+        return cache.ids([words_of(t, tokens) for t in texts.to_pylist()])
+    # Words are told apart by Arrow; Python sees each distinct one.  Blanks at the ends make empty words.
+    listed = pc.ascii_split_whitespace(texts)
+    words = listed.flatten()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    ends = np.r_[0, np.cumsum(real)][listed.offsets.to_numpy()[1:] - listed.offsets[0].as_py()]
+    found = coded.dictionary
+    lower = pc.if_else(pc.string_is_ascii(found), pc.ascii_lower(found), found).dictionary_encode()
+    return cache.coded(lower.dictionary.to_pylist(), lower.indices.to_numpy()[coded.indices.to_numpy()], ends)
 
 
 def token_pattern(path: str) -> regex.Pattern | None:
     """Pattern with one group for all added tokens, longest first."""
     listed = sorted(added_tokens(path), key=len, reverse=True)
-    return regex.compile(b"(" + b"|".join(map(regex.escape, listed)) + b")") if listed else None
+    return regex.compile("(" + "|".join(map(regex.escape, listed)) + ")") if listed else None
 
 
 def word_cache(path: str) -> PieceCache:
     """Ids of words (see ``words_of``): a word is split at the tokenizer's pieces, each encoded once.
 
-    Words in ASCII go the short way; any other word goes to the tokenizer as it is, since
-    normalization may change where it is split.
+    Words in ASCII come lower-cased and go the short way; any other word goes to the tokenizer as it is,
+    since its normalization comes before lower-casing and may change where the word is split.
     """
     if path not in _CACHES:
         pieces, tokens = PieceCache(_encoder(path)), added_tokens(path)
 
-        def words(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            added = np.array([w[:1] == b" " for w in new], bool)
-            texts = ["" if a else w.decode("utf-8", "replace") for w, a in zip(new, added)]
-            flat, ends = pieces.ids([_PIECE.findall(t) if t.isascii() else [t] for t in texts])
+        def split(word: str) -> list[str]:
+            if not word.isascii():
+                return [word]
+            return [word] if word.isalpha() else _PIECE.findall(word)
+
+        def words(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            added = np.array([w[:1] == " " for w in new], bool)
+            flat, ends = pieces.ids([[] if a else split(w) for w, a in zip(new, added)])
             own = [tokens[w[1:]] for w, a in zip(new, added) if a]
             return np.diff(np.r_[0, ends]) + added, np.insert(flat, ends[added], own)
 
@@ -228,8 +247,7 @@ def write_ids(
         for whole in batches:
             for start, stop in slices(whole.column(1)):
                 batch = whole.slice(start, stop - start)
-                words = [words_of(v.as_py(), tokens) for v in batch.column(1)]
-                flat, ends = cache.ids(words)
+                flat, ends = encode_texts(batch.column(1), cache, tokens)
                 # The end id goes behind the ids of each document.
                 flat = np.insert(flat, ends, end_id)
                 ids = [NULL_ID if i is None else i for i in batch.column(0).to_pylist()]
