@@ -31,7 +31,6 @@ COMMON = sorted(set(
     "the of and to in is that it for was der die und den von zu das mit le la les des et en un une du que el los las y por con se".split()
 ))
 MIN_WORDS = 100
-MIN_DOCUMENTS = 30
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.35
 
@@ -100,12 +99,12 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
 
 def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
-    """Sums of both histograms over all documents of each language, and their number."""
+    """Sums of both histograms over all documents of each language."""
     sums = [
         F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(size)]).alias(f"ref_{name}")
         for name, size in (("classes", len(CLASSES) + 1), ("common", len(COMMON) + 1))
     ]
-    return measured.groupBy(F.col(lang).alias("ref_lang")).agg(F.count("*").alias("ref_documents"), *sums)
+    return measured.groupBy(F.col(lang).alias("ref_lang")).agg(*sums)
 
 
 def distance(left: Column, right: Column) -> Column:
@@ -123,7 +122,7 @@ def distance(left: Column, right: Column) -> Column:
 
 
 def judge(
-    docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, min_documents: int = MIN_DOCUMENTS,
+    docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS,
     max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
 ) -> DataFrame:
     """``docs`` without the text, with base counts, ``base_failed``, both distances and ``kept``.
@@ -136,7 +135,7 @@ def judge(
     rows = rows.withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes")))
     rows = rows.withColumn("word_distance", distance(F.col("common"), F.col("ref_common")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = (F.col("n_words") >= min_words) & (F.col("ref_documents") >= min_documents)
+    judged = F.col("n_words") >= min_words
     odd = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~(judged & odd))
-    return rows.drop("classes", "common", "ref_lang", "ref_documents", "ref_classes", "ref_common")
+    return rows.drop("classes", "common", "ref_lang", "ref_classes", "ref_common")

@@ -234,11 +234,11 @@ _SUMS = lambda name, size: "[" + ", ".join(f"SUM({name}[{i + 1}])" for i in rang
                  list_transform({_LISTED}, lambda w: CAST(coalesce(m[w], 0) AS BIGINT)) AS c
           FROM l JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN counted USING (doc_id)),
     h AS (SELECT *, list_append(c, n_words - CAST(list_sum(c) AS BIGINT)) AS common FROM f),
-    refs AS (SELECT lang AS ref_lang, COUNT(*) AS n, {_SUMS("classes", _N_CLASSES)}, {_SUMS("common", _N_COMMON)} FROM h GROUP BY lang),
+    refs AS (SELECT lang AS ref_lang, {_SUMS("classes", _N_CLASSES)}, {_SUMS("common", _N_COMMON)} FROM h GROUP BY lang),
     j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_distance_sql("classes", _N_CLASSES)} AS dc,
                  {_distance_sql("common", _N_COMMON)} AS dw FROM h JOIN refs ON lang IS NOT DISTINCT FROM ref_lang)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT (n_words >= {divergence.MIN_WORDS} AND n >= {divergence.MIN_DOCUMENTS}
+           NOT base_failed AND NOT (n_words >= {divergence.MIN_WORDS}
              AND (coalesce(dc, 0) > {divergence.MAX_CLASS_DISTANCE} OR coalesce(dw, 0) > {divergence.MAX_WORD_DISTANCE})) AS kept
     FROM j""")
 def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
