@@ -131,9 +131,11 @@ def _share_out_sql(name: str, above: str, parent: list[str], label: str, weights
     over = f"PARTITION BY {', '.join(parent)}" if parent else ""
     weight = " ".join(f"WHEN {label} = '{k}' THEN {v}e0" for k, v in weights.items())
     keys = ", ".join([*parent, label])
-    join = f"JOIN {above} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {above}"
+    same = " AND ".join(f"x.{k} IS NOT DISTINCT FROM y.{k}" for k in parent)
+    join = f"x JOIN (SELECT {', '.join(f'{k} AS {k}' for k in parent)}, parent_budget FROM {above}) y ON {same}" if parent else f"x CROSS JOIN {above}"
+    own = ", ".join(f"x.{k}" for k in (*parent, label))
     return f"""
-    {name}1 AS (SELECT {keys}, cap, w, parent_budget, cap / w AS r FROM (
+    {name}1 AS (SELECT {own}, cap, w, parent_budget, cap / w AS r FROM (
         SELECT {keys}, SUM(cap) AS cap, CASE {weight} ELSE 1.0e0 END AS w FROM leaves GROUP BY {keys}) {join}),
     {name}2 AS (SELECT *, (parent_budget - coalesce(SUM(cap) OVER b, 0)) / (SUM(w) OVER ({over}) - coalesce(SUM(w) OVER b, 0)) AS lv
         FROM {name}1 WINDOW b AS ({over} ORDER BY r, {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -151,10 +153,11 @@ def _share_out_sql(name: str, above: str, parent: list[str], label: str, weights
     {_share_out_sql("b", "a", ["domain"], "lang", MIX_WEIGHTS[1])},
     {_share_out_sql("c", "b", ["domain", "lang"], "source", MIX_WEIGHTS[2])},
     budgets AS (SELECT c.*, floor(parent_budget / tokens)::INT AS full_epochs, parent_budget - floor(parent_budget / tokens) * tokens AS rest
-                FROM c JOIN sums USING (domain, lang, source) WHERE parent_budget > 0),
+                FROM c JOIN sums s ON c.domain = s.domain AND c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source WHERE parent_budget > 0),
     placed AS (SELECT *, coalesce(SUM(n_tokens) OVER (PARTITION BY domain, lang, source
                  ORDER BY md5('{MIX["seed"]}|' || full_epochs || '|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-               FROM docs JOIN budgets USING (domain, lang, source))
+               FROM docs JOIN (SELECT domain AS d, lang AS l, source AS s, full_epochs, rest, parent_budget FROM budgets)
+               ON domain = d AND lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s)
     SELECT doc_id, lang, source, CAST(mix_epoch AS INT) AS mix_epoch, n_tokens AS mix_tokens, CAST(parent_budget AS BIGINT) AS mix_budget
     FROM (SELECT *, unnest(range(CASE WHEN before < rest THEN full_epochs + 1 ELSE full_epochs END)) AS mix_epoch FROM placed)""")
 def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
