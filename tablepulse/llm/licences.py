@@ -6,8 +6,9 @@ document frequency, counted over all documents, words of mandatory key phrases f
 posting votes for a template at a relative position (place in the file less place in the
 template); where ``MIN_VOTES`` different words agree, the template is laid over the file there.
 It is accepted if all words of its mandatory key phrases stand in place and at least
-``MIN_SCORE`` of its weight (inverse document frequency) does.  Each template has two or more
-different mandatory words and all of them stand where it is accepted, so no place is missed.
+``MIN_SCORE`` of its weight (inverse document frequency) does.  Function words are not looked up, but a
+mandatory phrase that has some is found as a whole, and must begin where the template has it.
+Each template has two or more different mandatory words and all of them stand where it is accepted, so no place is missed.
 
 Phrases of the base rules are found independently and always label a file.
 
@@ -58,6 +59,10 @@ TEMPLATES = [
 FUNCTION_WORDS = set("a and any are as at by can for in is it may met not of or or that the this to under with you".split())
 
 
+#: Mandatory phrases with function words; the index holds them as one word of no weight.
+WHOLE = sorted({p for _, _, phrases in TEMPLATES for p in phrases if set(p.split()) & FUNCTION_WORDS})
+
+
 def template_rows() -> list[tuple[int, str, int, str, bool]]:
     """(template, label, place, word, mandatory) of every indexed word."""
     rows = []
@@ -66,13 +71,15 @@ def template_rows() -> list[tuple[int, str, int, str, bool]]:
         for phrase in phrases:
             start = len(text[: re.search(rf"\b{phrase}\b", text).start()].split())
             must |= set(range(start, start + len(phrase.split())))
+            if phrase in WHOLE:
+                rows.append((number, label, start, phrase, True))
         rows += [(number, label, i, w, i in must) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
     return rows
 
 
 ROWS = template_rows()
 #: Words that are looked for: those of the index and the first ones of the base phrases.
-WORDS = sorted({r[3] for r in ROWS} | {p.split()[0] for p in PHRASES})
+WORDS = sorted({r[3] for r in ROWS if r[3] not in WHOLE} | {p.split()[0] for p in PHRASES})
 
 
 def index(spark: SparkSession) -> DataFrame:
@@ -92,6 +99,11 @@ def _starts(words: Column, places: Column, phrase: str) -> Column:
     return F.filter(places, here)
 
 
+def _hits(starts: Column, phrase: str) -> Column:
+    """Places of a whole phrase in the form of those of words."""
+    return F.transform(starts, lambda i: F.struct(F.lit(phrase).alias("word"), i.alias("at")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Row key, word count, base results and licence words with their places; no text."""
     rows = docs.select(docs[id_col], F.coalesce(docs[text], F.lit("")).alias("__text"))
@@ -113,7 +125,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         F.array_min("__all").cast("bigint").alias("first_word"),
         F.array_max("__all").cast("bigint").alias("last_word"),
         labels.alias("base"),
-        F.transform("__places", lambda i: F.struct(F.get("__words", i).alias("word"), i.alias("at"))).alias("hits"),
+        F.concat(
+            F.transform("__places", lambda i: F.struct(F.get("__words", i).alias("word"), i.alias("at"))),
+            *[_hits(_starts(F.col("__words"), F.col("__places"), phrase), phrase) for phrase in WHOLE],
+        ).alias("hits"),
     )
 
 
@@ -126,9 +141,10 @@ def match(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # One row per licence word: as bounded as the templates.
     frequency = landed(hits.select("__key", "__mark", "word").distinct().groupBy("word").agg(F.count("*").alias("df")), "licence_words")
     n = scanned.select("__mark", id_col).distinct().count()
-    weight = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0))))
+    rarity = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0))))
+    weight = F.when(F.col("word").isin(WHOLE), 0.0).otherwise(rarity)
     templates = index(spark)
-    own = templates.groupBy("template", "word").agg(F.max("mandatory").alias("must"))
+    own = templates.where(~F.col("word").isin(WHOLE)).groupBy("template", "word").agg(F.max("mandatory").alias("must"))
     known = hits.select("__key", "__mark", "word").distinct().join(frequency, "word").join(own, "word")
     first = Window.partitionBy("__key", "__mark", "template").orderBy(F.desc("must"), "df", "word")
     rare = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= RARE_WORDS)

@@ -251,12 +251,18 @@ def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 _TEMPLATE_SQL = ", ".join(f"({t}, '{label}', {place}, '{word}', {must})" for t, label, place, word, must in licences.ROWS)
 _WORD_LIST_SQL = ", ".join(f"'{w}'" for w in licences.WORDS)
-_STARTS_SQL = " UNION ALL ".join(
-    f"SELECT a.doc_id, a.pos, '{label}' AS label FROM w a "
-    + " ".join(f"JOIN w b{n} ON b{n}.doc_id = a.doc_id AND b{n}.pos = a.pos + {n} AND b{n}.word = '{word}'" for n, word in enumerate(phrase.split()) if n)
-    + f" WHERE a.word = '{phrase.split()[0]}'"
-    for phrase, label in licences.PHRASES.items()
-)
+
+
+def _starts_sql(phrase: str, columns: str) -> str:
+    """Places where the words of a phrase stand one after the other."""
+    words = list(enumerate(phrase.split()))
+    joins = " ".join(f"JOIN w b{n} ON b{n}.doc_id = a.doc_id AND b{n}.pos = a.pos + {n} AND b{n}.word = '{word}'" for n, word in words[1:])
+    return f"SELECT {columns} FROM w a {joins} WHERE a.word = '{words[0][1]}'"
+
+
+_STARTS_SQL = " UNION ALL ".join(_starts_sql(phrase, f"a.doc_id, a.pos, '{label}' AS label") for phrase, label in licences.PHRASES.items())
+_WHOLE_SQL = " UNION ALL ".join(_starts_sql(phrase, f"a.doc_id, '{phrase}', a.pos") for phrase in licences.WHOLE)
+_WHOLE_LIST_SQL = ", ".join(f"'{phrase}'" for phrase in licences.WHOLE)
 
 
 @query("op9_licences", f"""
@@ -264,14 +270,15 @@ _STARTS_SQL = " UNION ALL ".join(
     w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM d),
     base AS ({_STARTS_SQL}),
     t AS (SELECT * FROM (VALUES {_TEMPLATE_SQL}) AS v(template, label, slot, word, mandatory)),
-    hits AS (SELECT * FROM w WHERE word IN ({_WORD_LIST_SQL})),
+    hits AS (SELECT * FROM w WHERE word IN ({_WORD_LIST_SQL}) UNION ALL {_WHOLE_SQL}),
     freq AS (SELECT word, COUNT(DISTINCT doc_id) AS df FROM hits GROUP BY word),
-    rare AS (SELECT * FROM (SELECT doc_id, word, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY df, word) AS rank
-                            FROM (SELECT DISTINCT doc_id, word FROM hits SEMI JOIN t USING (word)) JOIN freq USING (word)) WHERE rank <= {licences.RARE_WORDS}),
-    votes AS (SELECT doc_id, template, pos - slot AS off FROM hits SEMI JOIN rare USING (doc_id, word) JOIN t USING (word)
+    own AS (SELECT template, word, bool_or(mandatory) AS must FROM t WHERE word NOT IN ({_WHOLE_LIST_SQL}) GROUP BY ALL),
+    rare AS (SELECT doc_id, template, word FROM (SELECT DISTINCT doc_id, word FROM hits) JOIN freq USING (word) JOIN own USING (word)
+             QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id, template ORDER BY must DESC, df, word) <= {licences.RARE_WORDS}),
+    votes AS (SELECT doc_id, template, pos - slot AS off FROM hits JOIN rare USING (doc_id, word) JOIN t USING (template, word)
               GROUP BY ALL HAVING COUNT(DISTINCT word) >= {licences.MIN_VOTES}),
     laid AS (SELECT v.doc_id, v.template, t.label, v.off, t.mandatory, h.pos IS NOT NULL AS there,
-                    ln((1.0e0 + (SELECT COUNT(*) FROM d)) / (1.0e0 + coalesce(df, 0))) AS weight
+                    CASE WHEN t.word IN ({_WHOLE_LIST_SQL}) THEN 0.0e0 ELSE ln((1.0e0 + (SELECT COUNT(*) FROM d)) / (1.0e0 + coalesce(df, 0))) END AS weight
              FROM votes v JOIN t USING (template) LEFT JOIN freq USING (word)
              LEFT JOIN hits h ON h.doc_id = v.doc_id AND h.pos = v.off + t.slot AND h.word = t.word),
     good AS (SELECT doc_id, label, CASE WHEN SUM(weight) > 0 THEN round(SUM(CASE WHEN there THEN weight ELSE 0 END) / SUM(weight), 6) ELSE 1.0 END AS score
