@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tablepulse.llm.pieces import PieceCache, slices, spans
-from tablepulse.llm.storage import ship
+from tablepulse.llm.storage import ship, tidied
 
 LONG = 128
 ROWS = 1 << 14
@@ -215,7 +215,7 @@ def recode(
                     columns.append(pa.array(found, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *made])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidied(run, lambda: load(rank_file).cache.clear()), schema)
 
 
 def decode(coded: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -231,4 +231,4 @@ def decode(coded: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, decoded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{decoded}` binary")
+    return base.mapInArrow(tidied(run), f"{fields}, `{decoded}` binary")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tablepulse.llm.components import components
 from tablepulse.llm.pieces import slices
-from tablepulse.llm.storage import cut, landed, ship
+from tablepulse.llm.storage import cut, landed, ship, tidied
 
 POSTING_ROWS = 4096  # above this, a posting is solved in parts
 SEED = 42  # fixed value: seed of the shingle hash
@@ -113,7 +113,7 @@ def _common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarr
             for value in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(value.as_py(), shingle).view(np.int64))], ["h"])
 
-    counted = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    counted = sample.mapInArrow(tidied(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     # Bounded: at most ORDER_SHINGLES pairs of numbers.
     rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
     found = np.array([r.h for r in rows], np.int64).view(np.uint64)
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, text: str, shingle: int, keep: tuple[str, ...]
             prints = [fingerprint_of(shingle_hashes(v.as_py(), shingle)) for v in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    return wanted.mapInArrow(run, fields)
+    return wanted.mapInArrow(tidied(run), fields)
 
 
 def _set_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -158,7 +158,7 @@ def _set_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarit
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:2], "fp", "node", "n", "fp_words", "fp_keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return wanted.mapInArrow(run, f"`{id_col}` {kind}, mark bigint, fp bigint, node bigint, n bigint, fp_words array<bigint>, fp_keys array<bigint>")
+    return wanted.mapInArrow(tidied(run), f"`{id_col}` {kind}, mark bigint, fp bigint, node bigint, n bigint, fp_words array<bigint>, fp_keys array<bigint>")
 
 
 def byte_postings(prints: DataFrame, max_bits: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _posting_edges(postings: DataFrame, max_bits: int, min_bytes: int) -> DataFr
             yield batch_of([solve(key, held, large)])
 
     ordered = postings.select("key", "node", "words").repartition(F.col("key")).sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "src bigint, dst bigint, key bigint")
+    return ordered.mapInArrow(tidied(run), "src bigint, dst bigint, key bigint")
 
 
 def _ball_edges(open_rows: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _block_edges(open_rows: DataFrame, prints: DataFrame, max_bits: int) -> Data
                 src, dst = _forest(nodes, words.reshape(len(nodes), -1), max_bits, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    return pairs.select("l", "r").repartition(F.xxhash64("l", "r")).mapInArrow(run, "src bigint, dst bigint")
+    return pairs.select("l", "r").repartition(F.xxhash64("l", "r")).mapInArrow(tidied(run), "src bigint, dst bigint")
 
 
 def _grouped(prints: DataFrame, edges: DataFrame, id_col: str, node: str = "fp") -> DataFrame:
@@ -359,7 +359,7 @@ def _shared(postings: DataFrame) -> DataFrame:
             key, first = keys[at : at + 1], nodes[at : at + 1]
 
     ordered = postings.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "key bigint, node bigint, first bigint")
+    return ordered.mapInArrow(tidied(run), "key bigint, node bigint, first bigint")
 
 
 def _alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -419,7 +419,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, text: st
         if len(held) > 1:
             yield solve()
 
-    return ordered.mapInArrow(run, "src bigint, dst bigint")
+    return ordered.mapInArrow(tidied(run), "src bigint, dst bigint")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

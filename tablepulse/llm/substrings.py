@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepulse.llm.storage import landed, ship
+from tablepulse.llm.storage import landed, ship, tidied
 
 WINDOW = 13
 SEED_WORDS = 2
@@ -245,8 +245,8 @@ def repeated_runs(docs: DataFrame, id_col: str, text: str, window: int = WINDOW)
 
     sent = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc"), docs[text].alias("text"))
     # Settled runs have no bucket; their place spreads them out.
-    dealt = sent.mapInArrow(send, schema).repartition(F.coalesce("bucket", F.xxhash64("doc", "place"))).sortWithinPartitions("bucket")
-    found = landed(dealt.mapInArrow(settle, schema), "runs")
+    dealt = sent.mapInArrow(tidied(send), schema).repartition(F.coalesce("bucket", F.xxhash64("doc", "place"))).sortWithinPartitions("bucket")
+    found = landed(dealt.mapInArrow(tidied(settle), schema), "runs")
     runs = found.where("block is null").select("doc", "place", "windows")
     open_blocks = found.where("block is not null").select("block")
     if not open_blocks.isEmpty():
@@ -275,7 +275,7 @@ def _hot_runs(blocks: DataFrame, window: int) -> DataFrame:
 
         return _in_batches(rows(), names, kinds)
 
-    windows = blocks.repartition(F.xxhash64("block")).mapInArrow(spread, "high bigint, low bigint, doc bigint, place bigint")
+    windows = blocks.repartition(F.xxhash64("block")).mapInArrow(tidied(spread), "high bigint, low bigint, doc bigint, place bigint")
     least = windows.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     return windows.join(least, ["high", "low"]).where("doc > least").select("doc", "place", F.lit(1).cast("bigint").alias("windows"))
 
@@ -318,4 +318,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n_words", "n_removed"])
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(tidied(apply), schema)

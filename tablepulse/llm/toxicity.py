@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepulse.llm.pieces import Numbers, slices
-from tablepulse.llm.storage import ship
+from tablepulse.llm.storage import ship, tidied
 
 PER_CLASS = 2048
 MIN_DOCS = 3
@@ -270,7 +270,7 @@ def _counts(docs: DataFrame, labels: DataFrame, model: Model, id_col: str, text:
                 columns = [pa.array(steps), batch.column(0).cast(pa.int64()), pa.array(languages.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["step", "label", "language"])
 
-    found = rows.mapInArrow(run, "step bigint, label bigint, language bigint").groupBy("step", "label", "language").agg(F.count("*").alias("n"))
+    found = rows.mapInArrow(tidied(run), "step bigint, label bigint, language bigint").groupBy("step", "label", "language").agg(F.count("*").alias("n"))
     # At most 2 * STEPS * MAX_LOGIT + 1 steps for each label and language.
     return np.array([(r.step, r.label, r.n, r.language) for r in found.collect()], np.int64).reshape(-1, 4)
 
@@ -332,4 +332,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{column}` double")
+    return base.mapInArrow(tidied(run), f"{fields}, `{column}` double")

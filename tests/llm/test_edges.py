@@ -446,3 +446,4 @@ def packed(doc, text):
     rows = np.zeros(len(keys), substrings._ROW)
     rows["doc"], rows["place"] = doc, starts << 16
     return rows, strings
+
