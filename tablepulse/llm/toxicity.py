@@ -19,7 +19,7 @@ rows of both classes every score is the share of label 1 (0 without labels).
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepulse.llm.pieces import Numbers, slices
-from tablepulse.llm.storage import ship, tidied
+from tablepulse.llm.storage import give_back, ship, tidied
 
 PER_CLASS = 2048
 MIN_DOCS = 3
@@ -232,10 +232,11 @@ def _threshold(counts: np.ndarray) -> float:
     return float((low + high) / 2 / STEPS)
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, calibrate: np.ndarray, seed: int = 7) -> Model:
-    """Fit on the texts outside ``calibrate``; thresholds are zero."""
-    types = Types()
-    codes = types.codes(texts)
+def train(texts: Iterable[list[bytes]], labels: np.ndarray, calibrate: np.ndarray, seed: int = 7) -> Model:
+    """Fit on the texts outside ``calibrate``; thresholds are zero.  Of a text only its word numbers are kept."""
+    types, codes, left = Types(), [], iter(texts)
+    while some := list(islice(left, 64)):
+        codes += types.codes(some)
     own, target = [t for t, c in zip(codes, calibrate) if not c], labels[~calibrate].astype(np.float32)
     model = _start(own, types.hashes, float(labels.mean()) if len(labels) else 0.0, seed)
     if not 0 < target.sum() < len(target):
@@ -305,9 +306,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     ids = F.broadcast(chosen.select(F.col(id_col).alias("__id"), "label", fold(F.col(id_col)).alias("fold")))
     sample = docs.select(id_col, text).join(ids, docs[id_col] == ids["__id"])
     one = sample.groupBy("__id", "label", "fold").agg(F.max(text).alias("text"))
-    rows = sorted((r["__id"], r["label"], r["fold"], r["text"]) for r in one.collect() if r["text"] is not None)
-    texts = [words_of(r[3]) for r in rows]
+    rows = sorted((r["__id"], r["label"], r["fold"], r["text"]) for r in one.toLocalIterator() if r["text"] is not None)
+    texts = (words_of(r[3]) for r in rows)
     model = train(texts, np.array([r[1] for r in rows], np.int64), np.array([r[2] == 1 for r in rows], bool))
+    del rows, texts
+    give_back()
     if model.weights.any():
         calibrate(docs, agreed.select(id_col, "label"), model, id_col, text)
     return model
