@@ -64,7 +64,7 @@ WHOLE = sorted({p for _, _, phrases in TEMPLATES for p in phrases if set(p.split
 
 
 def template_rows() -> list[tuple[int, str, int, str, bool]]:
-    """(template, label, place, word, mandatory) of every indexed word."""
+    """(template, label, place, word, mandatory) of every indexed word and whole phrase."""
     rows = []
     for number, (label, text, phrases) in enumerate(TEMPLATES):
         words, must = text.split(), set()
@@ -77,14 +77,16 @@ def template_rows() -> list[tuple[int, str, int, str, bool]]:
     return rows
 
 
-ROWS = template_rows()
+ROWS = [row for row in template_rows() if row[3] not in WHOLE]
+#: The same of whole mandatory phrases.
+WHOLE_ROWS = [row for row in template_rows() if row[3] in WHOLE]
 #: Words that are looked for: those of the index and the first ones of the base phrases.
-WORDS = sorted({r[3] for r in ROWS if r[3] not in WHOLE} | {p.split()[0] for p in PHRASES})
+WORDS = sorted({r[3] for r in ROWS} | {p.split()[0] for p in PHRASES})
 
 
 def index(spark: SparkSession) -> DataFrame:
     """The template index; a constant of some two hundred rows."""
-    return spark.createDataFrame(ROWS, "template int, label string, place int, word string, mandatory boolean")
+    return spark.createDataFrame(ROWS + WHOLE_ROWS, "template int, label string, place int, word string, mandatory boolean")
 
 
 def _starts(words: Column, places: Column, phrase: str) -> Column:

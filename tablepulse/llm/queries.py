@@ -249,7 +249,7 @@ def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_TEMPLATE_SQL = ", ".join(f"({t}, '{label}', {place}, '{word}', {must})" for t, label, place, word, must in licences.ROWS)
+_TEMPLATE_SQL = ", ".join(f"({t}, '{label}', {place}, '{word}', {must})" for t, label, place, word, must in licences.ROWS + licences.WHOLE_ROWS)
 _WORD_LIST_SQL = ", ".join(f"'{w}'" for w in licences.WORDS)
 
 
