@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from tablepulse.catalog import query
 from tablepulse.catalog.healing_queries import ACTIONS, DECIDED
-from tablepulse.catalog.tables import EVENTS_END
-from tablepulse.operators import healing, medallion, quality
+from tablepulse.catalog.tables import EVENTS_END, LINES_SPLIT
+from tablepulse.operators import drift, healing, medallion, quality
 from tablepulse.plans import jobs, reports
 from tablepulse.session import shared_folder
 from tablepulse.sources.envelopes import publish_text, unwrap
@@ -303,6 +303,19 @@ def _(t):
     return reports.recent_runs(_healed(t).report("pipeline_runs"), 10).select("run_id", "status")
 
 
+@query("mq_23_windows_of_jobs", f"""
+    SELECT 'lines' AS dataset_id, MIN(l_shipdate) FILTER (l_shipdate < TIMESTAMP '{LINES_SPLIT}') AS reference_window_start,
+        MAX(l_shipdate) FILTER (l_shipdate < TIMESTAMP '{LINES_SPLIT}') AS reference_window_end,
+        MIN(l_shipdate) FILTER (l_shipdate >= TIMESTAMP '{LINES_SPLIT}') AS current_window_start,
+        MAX(l_shipdate) FILTER (l_shipdate >= TIMESTAMP '{LINES_SPLIT}') AS current_window_end FROM lineitem""")
+def _(t):
+    """The drift job writes the limits of both windows over all columns of the table."""
+    store = _store(t)
+    sides = drift.split_by_time(t["lineitem"], "l_shipdate", LINES_SPLIT)
+    jobs.drift_job(store, sides, "lines", "run_1", "lines_silver", AT, ts="l_shipdate")
+    return reports.drift_history(store.report("drift_runs")).select("dataset_id", *drift.WINDOW_LIMITS)
+
+
 @query("mq_28_cost_history_of_jobs", """
     SELECT warehouse_name, ROUND(SUM(credits_used), 4) AS credits_used, ROUND(SUM(credits_used) * 3, 4) AS cost_usd, 'COMPUTE' AS service_type
     FROM v_usage WHERE execution_status = 'SUCCESS' AND start_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY warehouse_name""")

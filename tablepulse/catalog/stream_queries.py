@@ -1,6 +1,6 @@
 """Envelopes and streams over messages derived from events.
 
-``st_01``, ``st_07`` and ``st_09`` run real streams to their end before they return.
+``st_01``, ``st_05``, ``st_07``, ``st_09`` and ``jn_08`` run real streams to their end before they return.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from tablepulse.catalog.tables import EVENTS_END
 from tablepulse.session import shared_folder
 from tablepulse.sources import envelopes, registry
 from tablepulse.sources.facts import FactStore
-from tablepulse.streaming import events, windows
+from tablepulse.streaming import events, handlers, windows
 
 
 @query("snk_05_envelopes", """
@@ -144,3 +144,78 @@ def _(t):
     out = windows.read_window_metrics(t.spark, f"{root}/metrics", ["event_type"])
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end", "latest_event")}
     return out.withColumns(times)
+
+
+@query("st_09_late_rows", """
+    WITH d AS (SELECT *, event_id % 5 = 0 AS second, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start FROM events),
+    l AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS closed FROM d WHERE NOT second)
+    SELECT window_start, event_type, CASE WHEN second AND window_start + INTERVAL 15 MINUTE <= closed THEN 'late' ELSE 'on_time' END AS arrival,
+        COUNT(*) AS total_rows, COUNT(*) FILTER (value IS NULL) AS value_nulls FROM d, l GROUP BY ALL""")
+def _(t):
+    """A fifth of the events comes in a second delivery, mostly after its windows closed: counted apart, not lost."""
+    root = shared_folder(t.spark)
+    second = F.col("event_id") % 5 == 0
+    for delivery in (~second, second):
+        t["events"].filter(delivery).write.mode("append").parquet(f"{root}/in")
+        source = t.spark.readStream.schema(t["events"].schema).parquet(f"{root}/in")
+        windows.start_counted_windows(source, "ts", ["value"], f"{root}/metrics", f"{root}/state", group_by=["event_type"]).awaitTermination()
+    found = windows.read_counted_windows(t.spark, f"{root}/metrics", ["event_type"])
+    return found.select("window_start", "event_type", "arrival", "total_rows", "value_nulls")
+
+
+def _messages(rows, topic, payload):
+    """Envelopes as text lines for rows with ``event_id`` and ``dataset_id``."""
+    named = rows.withColumn("payload", F.to_json(F.struct(*payload)))
+    return envelopes.wrap(named, F.lit(topic), F.col("payload"), F.lit("2024-01-31T00:00:00")).select("value")
+
+
+@query("jn_08_changing_registry", """
+    SELECT CAST(event_id AS VARCHAR) AS event_id, concat('d', event_id % 30) AS dataset_id,
+        CASE WHEN n_nationkey IS NULL THEN NULL ELSE concat(n_name, CASE WHEN event_id % 2 = 1 AND n_regionkey = 1 THEN '_v2' ELSE '_v1' END) END AS silver_table
+    FROM events LEFT JOIN nation ON n_nationkey = event_id % 30""")
+def _(t):
+    """A stream in two batches; between them the registry gives the data sets of one region other tables."""
+    root = shared_folder(t.spark)
+    store = FactStore(t.spark, f"{root}/facts")
+
+    def register(nations, version, at):
+        store.append_new("dataset_events", nations.select(
+            F.concat_ws("-", "n_nationkey", F.lit(version)).alias("id"), F.concat(F.lit("d"), "n_nationkey").alias("dataset_id"),
+            F.lit(at).alias("event_ts"), F.concat("n_name", F.lit(version)).alias("silver_table"),
+        ))
+
+    def keep(batch, batch_id):
+        batch.select("event_id", "dataset_id", "silver_table").write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+
+    rows = t["events"].select(
+        F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("d"), F.col("event_id") % 30).alias("dataset_id"), F.col("event_type")
+    )
+    register(t["nation"], "_v1", "2024-01-01 00:00:00")
+    handler = events.enriched(keep, lambda: registry.current_datasets(store.read("dataset_events"), "id"))
+    for rest in (0, 1):
+        _messages(rows.filter(F.col("event_id").cast("bigint") % 2 == rest), "quality.events", ["event_type"]).write.mode("append").text(f"{root}/in")
+        good, _ = events.split_malformed(events.read_lines(t.spark, f"{root}/in"))
+        events.drain(good, handler, f"{root}/state").awaitTermination()
+        register(t["nation"].filter("n_regionkey = 1"), "_v2", "2024-01-02 00:00:00")
+    return t.spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
+@query("st_05_requests_by_table", """
+    SELECT CAST(c_custkey AS VARCHAR) AS pipeline_run_id, CASE c_custkey % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'part' ELSE 'supplier' END AS silver_table,
+        CASE c_custkey % 3 WHEN 0 THEN (SELECT COUNT(*) FROM orders) WHEN 1 THEN (SELECT COUNT(*) FROM part) ELSE (SELECT COUNT(*) FROM supplier) END AS total_rows,
+        2 * CASE c_custkey % 3 WHEN 0 THEN (SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'orders') WHEN 1 THEN (SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'part')
+            ELSE (SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'supplier') END AS metric_rows
+    FROM customer""")
+def _(t):
+    """One request per customer for one of three tables: three profiles, facts for every request."""
+    root = shared_folder(t.spark)
+    store = FactStore(t.spark, f"{root}/facts")
+    table = F.element_at(F.array(*[F.lit(n) for n in ("orders", "part", "supplier")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    key = F.col("c_custkey").cast("string")
+    rows = t["customer"].select(key.alias("event_id"), F.lit("d").alias("dataset_id"), key.alias("pipeline_run_id"), table.alias("silver_table"))
+    _messages(rows, "quality.events", ["pipeline_run_id", "silver_table"]).write.text(f"{root}/in")
+    good, _ = events.split_malformed(events.read_lines(t.spark, f"{root}/in"))
+    events.drain(good, handlers.quality_handler(store, lambda name: t[name], "2024-01-31 00:00:00"), f"{root}/state").awaitTermination()
+    metrics = store.read("quality_metrics").groupBy(F.col("quality_run_id").alias("id")).agg(F.count("*").alias("metric_rows"))
+    facts = store.read("data_quality_metrics").join(metrics, "id")
+    return facts.select("pipeline_run_id", "silver_table", "total_rows", "metric_rows")

@@ -75,10 +75,19 @@ def newest_and_oldest(df: DataFrame, ts: str, *ties: str, n: int) -> DataFrame:
     return pair(df.orderBy(F.desc(ts), *[F.desc(t) for t in ties]).limit(n), df.orderBy(ts, *ties).limit(n))
 
 
-def side_rows(sides: DataFrame) -> DataFrame:
-    return sides.agg(
-        F.count_if(F.col(SIDE)).alias("current_rows"), F.count_if(~F.col(SIDE)).alias("reference_rows")
-    )
+# First and last time of both windows in the drift facts.
+WINDOW_LIMITS = ["reference_window_start", "reference_window_end", "current_window_start", "current_window_end"]
+
+
+def side_rows(sides: DataFrame, ts: str | None = None) -> DataFrame:
+    """Rows of both sides; with a time column also the first and last time on each, by the same scan."""
+    measures = [F.count_if(F.col(SIDE)).alias("current_rows"), F.count_if(~F.col(SIDE)).alias("reference_rows")]
+    if ts is not None:
+        at = F.col(ts).cast("timestamp_ntz")
+        sides_of = [F.when(~F.col(SIDE), at), F.when(F.col(SIDE), at)]
+        found = [end(side) for side in sides_of for end in (F.min, F.max)]
+        measures += [column.alias(name) for name, column in zip(WINDOW_LIMITS, found)]
+    return sides.agg(*measures)
 
 
 # --- long form ---------------------------------------------------------------

@@ -179,12 +179,13 @@ def quality_score(
     return F.round(clamp_score(total), 2)
 
 
-def rates(measured: DataFrame, as_of: str, group_by: Sequence[str] = ()) -> DataFrame:
+def rates(measured: DataFrame, as_of: str | Column, group_by: Sequence[str] = ()) -> DataFrame:
     """Table-level rates and the tally of fulfilled expectations.
 
     Two expectations per column (no NULL, right type) and one on the table (no
-    duplicates).
+    duplicates).  ``as_of`` may be a column of the measured rows.
     """
+    at = as_of if isinstance(as_of, Column) else moment(as_of)
     size = F.size("columns")
     unexpected = _total(lambda c: c["unexpected_count"])
     fulfilled = _total(lambda c: (c["null_count"] == 0).cast("int") + c["type_ok"].cast("int"))
@@ -197,7 +198,7 @@ def rates(measured: DataFrame, as_of: str, group_by: Sequence[str] = ()) -> Data
         F.round(F.col("duplicate_count") / F.col("total_rows"), 6).alias("duplicate_rate"),
         F.round(_total(lambda c: (~c["type_ok"]).cast("int")) / size, 6).alias("type_mismatch_rate"),
         F.round(F.least(unexpected / (size * F.col("total_rows")), F.lit(1.0)), 6).alias("range_fail_rate"),
-        hours_since(F.col("latest_loaded_at"), moment(as_of)).alias("freshness_hours"),
+        hours_since(F.col("latest_loaded_at"), at).alias("freshness_hours"),
         (fulfilled + (F.col("duplicate_count") == 0).cast("int")).cast("bigint").alias("expectations_passed"),
         (size * 2 + 1).cast("bigint").alias("expectations_total"),
     )

@@ -13,7 +13,7 @@ from functools import reduce
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -401,6 +401,71 @@ def quality_job(
     return result_row(written, "quality_agent", status, quality_severity(F.col("quality_score")), actions)
 
 
+def _asked(kind: str, requests: DataFrame, **fixed: str) -> DataFrame:
+    """Context columns of each request; ids as those of the jobs for one request."""
+    parts = [F.lit(kind), F.lit(fixed["dataset_id"]), F.col("pipeline_run_id"), F.col("at"), F.col("event_id")]
+    return requests.select(
+        run_id(*parts).alias("id"),
+        "pipeline_run_id",
+        "schema_version",
+        F.to_timestamp_ntz(F.col("at"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("evaluated_at"),
+        *[F.lit(value).alias(name) for name, value in fixed.items()],
+    ).dropDuplicates(["id"])
+
+
+def quality_jobs(
+    store: FactStore, df: DataFrame | None, requests: DataFrame, dataset_id: str, silver_table: str,
+    config: QualityConfig = QualityConfig(),
+) -> None:
+    """Profile a table once and append the quality facts of all requests for it.
+
+    ``requests`` has ``event_id``, ``pipeline_run_id``, ``at`` and ``schema_version``, all without NULL.
+    The facts are those of :func:`quality_job` for each of them.  A missing or empty table adds none.
+    """
+    if df is None:
+        return
+    asked = _asked("quality", requests, dataset_id=dataset_id, silver_table=silver_table)
+    keys = asked.columns
+    measured = quality.measure(df, types=registered_types(store, dataset_id)).persist()
+    rows = asked.withColumn("_measured", measured.select(F.struct("*")).scalar()).filter("_measured IS NOT NULL")
+    rows = rows.select(*keys, "_measured.*")
+    scored = quality.score(quality.rates(rows, F.col("evaluated_at"), keys), config)
+    metrics = quality.metric_rows(quality.column_metrics(rows, keys), keys, config)
+    _append_all(store, quality_facts(scored, metrics, {k: F.col(k) for k in keys}))
+    measured.unpersist()
+
+
+def drift_jobs(
+    store: FactStore, sides: DataFrame | None, requests: DataFrame, dataset_id: str, silver_table: str,
+    reference_table: str, config: DriftConfig = DriftConfig(), ts: str | None = None,
+) -> None:
+    """Compare two windows once and append the drift facts of all requests for them.
+
+    ``requests`` as in :func:`quality_jobs`; the facts are those of :func:`drift_job` for each of them.
+    """
+    if sides is None:
+        return
+    measured = drift.side_rows(sides, ts).first()
+    if min(measured["current_rows"], measured["reference_rows"]) < config.min_rows:
+        return
+    asked = _asked("drift", requests, dataset_id=dataset_id, silver_table=silver_table, reference_table=reference_table)
+    asked = asked.withColumns(_window_limits(measured))
+    keys = asked.columns
+    compared = drift.column_drift(sides, config=config).persist()
+    summary = asked.withColumn("_found", drift.drift_summary(compared).select(F.struct("*")).scalar()).select(*keys, "_found.*")
+    # One entry per compared column.
+    entries = drift.drift_metric_rows(compared).agg(F.collect_list(F.struct("*"))).scalar()
+    metrics = asked.withColumn("_found", entries).select(*keys, F.inline("_found"))
+    _append_all(store, drift_facts(summary, metrics, {k: F.col(k) for k in keys}))
+    compared.unpersist()
+
+
+def _window_limits(measured: Row) -> dict[str, Column]:
+    """First and last time of both windows, NULL where they have no time column."""
+    names = [name for name in drift.WINDOW_LIMITS if name in measured]
+    return {name: F.lit(measured[name]).cast("timestamp_ntz") for name in names}
+
+
 def registered_types(store: FactStore, dataset_id: str) -> dict[str, str]:
     """Logical type per column of the current schema; one scalar per column reaches the driver."""
     versions = store.read("schema_versions").filter(F.col("dataset_id") == dataset_id)
@@ -419,15 +484,20 @@ def drift_job(
     columns: Sequence[str] | None = None,
     config: DriftConfig = DriftConfig(),
     request: str = "",
+    ts: str | None = None,
 ) -> DataFrame:
-    """Compare two windows, append the drift facts and return the result row."""
-    rows = drift.side_rows(sides).first()
+    """Compare two windows, append the drift facts and return the result row.
+
+    ``ts`` names the time column whose first and last values become the window limits.
+    """
+    rows = drift.side_rows(sides, ts).first()
     if min(rows["current_rows"], rows["reference_rows"]) < config.min_rows:
         return _skipped(store, "drift_agent", "low", f"fewer than {config.min_rows} rows on a side")
     run = stable_id("drift", dataset_id, pipeline_run_id, at, *([request] if request else []))
     context = _context(
         run, dataset_id, pipeline_run_id, at, silver_table=silver_table, reference_table=reference_table or silver_table
     )
+    context |= _window_limits(rows)
     # One row per compared column, used for three fact tables.
     compared = drift.column_drift(sides, columns, config=config).persist()
     _append_all(store, drift_facts(drift.drift_summary(compared), drift.drift_metric_rows(compared), context))

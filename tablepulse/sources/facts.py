@@ -192,7 +192,7 @@ def quality_facts(scored: DataFrame, metrics: DataFrame, context: Mapping[str, C
     ``schema_version`` and ``evaluated_at``.
     """
     rows = scored.withColumns(dict(context))
-    raw = F.to_json(F.struct(*scored.columns))
+    raw = F.to_json(F.struct(*[c for c in scored.columns if c not in context]))
     return {
         "quality_runs": as_fact("quality_runs", rows),
         "quality_metrics": as_fact(
@@ -204,8 +204,12 @@ def quality_facts(scored: DataFrame, metrics: DataFrame, context: Mapping[str, C
 
 
 def drift_facts(summary: DataFrame, metrics: DataFrame, context: Mapping[str, Column]) -> dict[str, DataFrame]:
+    """Run header, column metrics and flat summary of a comparison.
+
+    ``context`` also gives the four window limits, where the windows have times.
+    """
     rows = summary.withColumns(dict(context))
-    raw = F.to_json(F.struct(*summary.columns))
+    raw = F.to_json(F.struct(*[c for c in summary.columns if c not in context]))
     return {
         "drift_runs": as_fact("drift_runs", rows.withColumn("overall_drift_score", F.col("drift_score"))),
         "drift_metrics": as_fact(

@@ -142,6 +142,15 @@ def append_once(store: FactStore, table: str, key: str = "id") -> Handler:
     return lambda batch, batch_id: store.append_new(table, batch, key)
 
 
+def enriched(handler: Handler, registry: Callable[[], DataFrame]) -> Handler:
+    """Batch handler that passes on job parameters, by the registry as it stands when a batch begins.
+
+    A stream joined with a fixed frame would keep the registry of its start.  A replayed batch may
+    see a newer registry than the first attempt; sinks keyed by event id keep what was stored first.
+    """
+    return lambda batch, batch_id: handler(job_context(batch, registry()), batch_id)
+
+
 def route(handlers: Mapping[str, Handler]) -> Handler:
     """Batch handler that passes the events of each topic to the handler of that topic."""
     def handle(batch: DataFrame, batch_id: int) -> None:

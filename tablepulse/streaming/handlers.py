@@ -1,15 +1,18 @@
 """Batch handlers that run the monitoring jobs for the events of a micro-batch.
 
-A micro-batch is bounded by the source options, so the distinct tables named in it
-are few; each of them is profiled or compared by one distributed job.  Failures are
-decided as one DataFrame.
+Events are grouped by the table that they name: each table is profiled or compared
+once for all of its events, whose facts are made and written as DataFrames.  Of the
+events only the distinct table names reach the driver.  Failures are decided as one
+DataFrame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablepulse.config import CostConfig, DriftConfig, HealConfig, QualityConfig
@@ -32,34 +35,39 @@ def _contexts(store: FactStore, batch: DataFrame, at: str) -> DataFrame:
     return named.withColumns({"at": stamp, "detected_at": published.cast("timestamp_ntz")})
 
 
-def _requests(store: FactStore, batch: DataFrame, at: str) -> list:
-    """Events of a batch that name a table, each once."""
+def _requests(store: FactStore, batch: DataFrame, at: str) -> DataFrame:
+    """Events of a batch that name a table."""
     named = _contexts(store, batch, at).filter(F.col("silver_table").isNotNull())
     text = {c: F.coalesce(c, F.lit("")) for c in ("dataset_id", "pipeline_run_id")}
     fields = ["event_id", "at", *text, "silver_table", "reference_table", "schema_version"]
-    return named.withColumns(text).select(*fields).dropDuplicates(["event_id"]).collect()
+    return named.withColumns(text).select(*fields).dropDuplicates(["event_id"])
+
+
+def _of_tables(requests: DataFrame, *names: str) -> Iterator[tuple[Row, DataFrame]]:
+    """The requests of each group of equal ``names``, one row of which reaches the driver."""
+    requests = requests.persist()
+    try:
+        for key in requests.select(*names).distinct().collect():
+            yield key, requests.filter(reduce(and_, [F.col(n).eqNullSafe(F.lit(key[n])) for n in names]))
+    finally:
+        requests.unpersist()
 
 
 def quality_handler(store: FactStore, load: Loader, at: str, config: QualityConfig = QualityConfig()) -> Handler:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for c in _requests(store, batch, at):
-            jobs.quality_job(
-                store, load(c.silver_table), c.dataset_id, c.pipeline_run_id, c.silver_table, c.at, c.schema_version, config,
-                request=c.event_id,
-            )
+        for key, asked in _of_tables(_requests(store, batch, at), "dataset_id", "silver_table"):
+            jobs.quality_jobs(store, load(key.silver_table), asked, key.dataset_id, key.silver_table, config)
 
     return handle
 
 
-def drift_handler(store: FactStore, windows: Windows, at: str, config: DriftConfig = DriftConfig()) -> Handler:
+def drift_handler(
+    store: FactStore, windows: Windows, at: str, config: DriftConfig = DriftConfig(), ts: str | None = None
+) -> Handler:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for c in _requests(store, batch, at):
-            sides = windows(c.silver_table, c.reference_table)
-            if sides is not None:
-                jobs.drift_job(
-                    store, sides, c.dataset_id, c.pipeline_run_id, c.silver_table, c.at, c.reference_table, config=config,
-                    request=c.event_id,
-                )
+        for key, asked in _of_tables(_requests(store, batch, at), "dataset_id", "silver_table", "reference_table"):
+            sides = windows(key.silver_table, key.reference_table)
+            jobs.drift_jobs(store, sides, asked, key.dataset_id, key.silver_table, key.reference_table, config, ts)
 
     return handle
 

@@ -17,7 +17,7 @@ SQL = catalog.reference_sql()
 IDS = (
     ["prj_01", "prj_02", "set_01", "win_01", "lin_01", "lin_02", "lin_03", "src_01", "src_02", "src_06", "src_07"]
     + [f"flt_{i:02}" for i in range(1, 7)]
-    + [f"jn_{i:02}" for i in range(1, 8)]
+    + [f"jn_{i:02}" for i in range(1, 9)]
     + [f"agg_{i:02}" for i in range(1, 8)]
     + [f"top_{i:02}" for i in range(1, 6)]
     + [f"fn_{i:02}" for i in range(1, 18) if i != 15]
@@ -30,15 +30,15 @@ IDS = (
     + [f"he_{i:02}" for i in range(1, 11)]
     + [f"mq_{i:02}" for i in range(1, 45)]
     + [f"snk_{i:02}" for i in (1, 5, 6, 7, 8, 9)]
-    + [f"st_{i:02}" for i in (1, 2, 3, 4, 6, 7, 8, 9)]
+    + [f"st_{i:02}" for i in range(1, 10)]
     + [f"ext_{i:02}" for i in range(1, 4)]
 )
 
 
 # These run streams or write files before they return, so only their last read shows.
-EAGER = ("st_01", "st_07", "st_09", "src_0", "sch_09", "lin_03_layer", "snk_06", "snk_07", "snk_09_heal_facts", "ext_03",
+EAGER = ("st_01", "st_05", "st_07", "st_09", "jn_08", "src_0", "sch_09", "lin_03_layer", "snk_06", "snk_07", "snk_09_heal_facts", "ext_03",
          "snk_01_rerun", "lin_03_rerun", "snk_05_upload", "he_07_status", "he_08_status", "he_09_outbox", "he_05_actions_of", "mq_02_recent_runs_of",
-         "mq_28_cost_history_of")
+         "mq_23_windows_of", "mq_28_cost_history_of")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

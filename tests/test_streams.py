@@ -202,3 +202,79 @@ def test_jobs_of_a_batch(spark, tmp_path):
     assert store.read("drift_summary").first()["total_columns"] == 1
     assert store.read("cost_summary").first()["lookback_days"] == 3
     assert [(r["id"], r["failure_type"]) for r in store.read("heal_summary").collect()] == [("e6", "CONNECTION")]
+
+
+def test_late_and_undated_rows_are_counted_apart(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "ts string, v double").coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema("ts timestamp, v double").json(source)
+        windows.start_counted_windows(stream, "ts", ["v"], out, state, late="30 minutes", keep_late=True).awaitTermination()
+
+    arrive(("2024-01-01 00:01:00", 1.0), ("2024-01-01 00:40:00", None), (None, 5.0))
+    arrive(("2024-01-01 00:12:00", None))  # the window ends after 00:40 less 30 minutes
+    arrive(("2024-01-01 03:00:00", 1.0))
+    arrive(("2024-01-01 00:03:00", 7.0), ("2024-01-01 02:31:00", 1.0))
+    rows = windows.read_counted_windows(spark, out).collect()
+    got = {(r["window_start"] and r["window_start"].isoformat()[11:16], r["arrival"]): (r["total_rows"], r["v_nulls"]) for r in rows}
+    assert got == {
+        ("00:00", "on_time"): (2, 1), ("00:30", "on_time"): (1, 1), ("03:00", "on_time"): (1, 0), ("02:30", "on_time"): (1, 0),
+        ("00:00", "late"): (1, 0), (None, "undated"): (1, 0),
+    }
+    assert sorted((r["v"], r["arrival"]) for r in spark.read.parquet(f"{out}/rows").collect()) == [(5.0, "undated"), (7.0, "late")]
+
+
+def test_handler_of_an_enriched_batch(spark):
+    batch = spark.createDataFrame([("e1", "d1"), ("e2", None)], "event_id string, dataset_id string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("topic", "published_at", "payload")}
+    )
+    seen, state = [], ["one"]
+    handler = events.enriched(
+        lambda rows, batch_id: seen.append({r["event_id"]: r["silver_table"] for r in rows.collect()}),
+        lambda: spark.createDataFrame([("d1", state[0])], "dataset_id string, silver_table string"),
+    )
+    handler(batch, 0)
+    state[0] = "two"
+    handler(batch, 1)
+    assert seen == [{"e1": "one", "e2": None}, {"e1": "two", "e2": None}]
+
+
+def test_requests_of_one_table_share_a_scan(spark, tmp_path):
+    from tablepulse.operators import drift
+    from tablepulse.plans import jobs
+    from tablepulse.streaming import handlers
+
+    at = "2024-01-02 00:00:00"
+    store, single = FactStore(spark, str(tmp_path / "facts")), FactStore(spark, str(tmp_path / "single"))
+    table = spark.range(100).select((F.col("id") % 7).alias("v"), F.timestamp_seconds("id").alias("ts"))
+    sides = drift.split_by_time(table, "ts", "1970-01-01 00:00:50")
+    loaded = []
+
+    def load(*names):
+        loaded.append(names)
+        return {"a": table, "b": sides, "empty": table.limit(0)}.get(names[0])
+
+    sent = [message(f"e{i}", "d1", pipeline_run_id=f"r{i}", silver_table="a") for i in range(30)]
+    sent += [message("x", "d1", silver_table="gone"), message("y", "d1", silver_table="empty")]
+    good, _ = events.split_malformed(lines(spark, *sent))
+    for _ in range(2):  # a replayed batch adds nothing
+        handlers.quality_handler(store, load, at)(good, 0)
+    assert sorted(loaded) == sorted([("a",), ("gone",), ("empty",)] * 2)
+    assert store.read("data_quality_metrics").count() == 30 and store.read("quality_metrics").count() == 30 * 4
+
+    loaded.clear()
+    good, _ = events.split_malformed(lines(spark, *[message(f"e{i}", "d1", "drift.events", pipeline_run_id="r", silver_table="b") for i in range(20)]))
+    handlers.drift_handler(store, load, at, ts="ts")(good, 0)
+    assert loaded == [("b", "b")]
+    assert store.read("drift_summary").count() == store.read("drift_metrics").count() == 20
+    limits = store.read("drift_runs").select(*drift.WINDOW_LIMITS).distinct().collect()
+    assert [[v.isoformat()[-8:] for v in r] for r in limits] == [["00:00:00", "00:00:49", "00:00:50", "00:01:39"]]
+
+    # The facts are those of the jobs for one request.
+    published = "2024-01-01 00:00:00"
+    jobs.quality_job(single, table, "d1", "r3", "a", published, request="e3")
+    jobs.drift_job(single, sides, "d1", "r", "b", published, request="e3", ts="ts")
+    for name in ("data_quality_metrics", "drift_runs", "drift_summary"):
+        one = single.read(name).first()
+        assert store.read(name).filter(F.col("id") == one["id"]).first() == one
