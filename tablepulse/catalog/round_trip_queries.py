@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +17,7 @@ from tablepulse.plans import jobs, reports
 from tablepulse.session import shared_folder
 from tablepulse.sources.envelopes import publish_text, unwrap
 from tablepulse.sources.facts import FactStore
-from tablepulse.sources.files import read_file
+from tablepulse.sources.files import read_file, source_type, split_rejects
 
 AT, LATER = "2002-01-01 00:00:00", "2002-01-02 00:00:00"
 
@@ -71,6 +73,32 @@ def _(t):
     return found.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+@query("src_03_readers_by_extension", """
+    SELECT s_suppkey, s_name, s_nationkey, s_acctbal, source_type FROM supplier, (VALUES ('csv'), ('json'), ('jsonl')) k(source_type)""")
+def _(t):
+    """The whole table as three kinds of file; the extension, in any case, chooses the reader."""
+    root, rows = shared_folder(t.spark), t["supplier"].select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    paths = [f"{root}/supplier.{extension}" for extension in ("CSV", "Json", "JSONL")]
+    rows.write.csv(paths[0], header=True)
+    rows.write.json(paths[1])
+    rows.write.json(paths[2])
+    found = [read_file(t.spark, path, rows.schema).withColumn("source_type", F.lit(source_type(path))) for path in paths]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("src_05_quarantined_records", "SELECT c_custkey, c_name, c_custkey % 7 <> 0 AS kept FROM customer")
+def _(t):
+    """Every seventh record lacks its end: it goes to quarantine as it stands, all others are read."""
+    root, rows = shared_folder(t.spark), t["customer"].select("c_custkey", "c_name")
+    path = f"{root}/customers.jsonl"
+    whole = F.to_json(F.struct("c_custkey", "c_name"))
+    rows.select(F.when(F.col("c_custkey") % 7 == 0, F.substring(whole, 1, F.length(whole) - 1)).otherwise(whole)).write.text(path)
+    good, bad = split_rejects(read_file(t.spark, path, rows.schema, rejects=True, landing=f"{root}/landing"))
+    mended = F.from_json(F.concat("_corrupt_record", F.lit("}")), rows.schema).alias("row")
+    quarantined = bad.select(mended).select("row.*", F.lit(False).alias("kept"))
+    return good.select("c_custkey", "c_name", F.lit(True).alias("kept")).unionByName(quarantined)
+
+
 def _texts_of_orders(t):
     return t["orders"].select(
         F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_totalprice").cast("string").alias("o_totalprice"),

@@ -186,8 +186,8 @@ def _one_document(spark: SparkSession, path: str) -> bool:
 
 
 def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, rejects: bool, places: bool) -> DataFrame:
-    """One document per line, or else one document in the whole file."""
-    whole = _one_document(spark, path)
+    """One document per line, as always in ``.jsonl`` files, or else one document in the whole file."""
+    whole = source_type(path) != "jsonl" and _one_document(spark, path)
     if schema is None:
         inferred = spark.read.option("multiLine", whole).json(path).schema
         if whole and inferred.names == [CORRUPT]:
@@ -204,7 +204,10 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType | None, reje
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows and quarantined raw records of a file read with ``rejects``."""
+    """Good rows and quarantined raw records of a file read with ``rejects``.
+
+    Spark reads raw records alone only from a file that was landed (``landing`` of :func:`read_file`).
+    """
     if CORRUPT not in df.columns:
         return df, df.limit(0)
     bad = F.col(CORRUPT).isNotNull()

@@ -15,7 +15,7 @@ SQL = catalog.reference_sql()
 
 # Inventory ids that the registered queries must cover.
 IDS = (
-    ["prj_01", "prj_02", "set_01", "win_01", "lin_01", "lin_02", "lin_03", "src_01", "src_02", "src_06", "src_07"]
+    ["prj_01", "prj_02", "set_01", "win_01", "lin_01", "lin_02", "lin_03", "src_01", "src_02", "src_03", "src_05", "src_06", "src_07"]
     + [f"flt_{i:02}" for i in range(1, 7)]
     + [f"jn_{i:02}" for i in range(1, 9)]
     + [f"agg_{i:02}" for i in range(1, 8)]

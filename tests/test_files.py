@@ -112,6 +112,13 @@ def test_rejected_records_go_to_quarantine(spark, tmp_path):
     assert [r[files.CORRUPT] for r in bad.collect()] == ["x,3"]
 
 
+def test_malformed_first_json_line(spark, tmp_path):
+    path = write(tmp_path, "f.jsonl", '{"id": 0\n{"id": 1}\n{"id": 2}\n')
+    good, bad = split_rejects(read_file(spark, path, rejects=True, landing=str(tmp_path / "landing")))
+    assert sorted(r["id"] for r in good.collect()) == [1, 2]
+    assert [r["_corrupt_record"] for r in bad.collect()] == ['{"id": 0']
+
+
 def test_rejected_json_records(spark, tmp_path):
     path = write(tmp_path, "f.jsonl", '{"id": 1}\n{broken\n{"id": 2}\n')
     df = files.read_file(spark, path, rejects=True).cache()
