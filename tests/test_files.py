@@ -114,7 +114,7 @@ def test_rejected_records_go_to_quarantine(spark, tmp_path):
 
 def test_malformed_first_json_line(spark, tmp_path):
     path = write(tmp_path, "f.jsonl", '{"id": 0\n{"id": 1}\n{"id": 2}\n')
-    good, bad = split_rejects(read_file(spark, path, rejects=True, landing=str(tmp_path / "landing")))
+    good, bad = files.split_rejects(files.read_file(spark, path, rejects=True, landing=str(tmp_path / "landing")))
     assert sorted(r["id"] for r in good.collect()) == [1, 2]
     assert [r["_corrupt_record"] for r in bad.collect()] == ['{"id": 0']
 
