@@ -10,8 +10,9 @@ from tablepulse.functions.scores import drift_severity
 from tablepulse.operators import drift
 from tablepulse.operators.relational import common_columns
 
-NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORIES = ["l_returnflag", "l_linestatus"]
+# All columns but the one that splits the windows.
 COLUMNS = NUMBERS + CATEGORIES
 
 LONG = "x AS (" + " UNION ALL ".join(

@@ -31,8 +31,10 @@ class DriftConfig:
     min_rows: int = 10
     # p-values of windows up to this size on both sides are exact.
     exact_rows: int = 10_000
-    # A column's sorted values are cut into 2 ** range_bits ranges before running sums are taken.
-    range_bits: int = 12
+    # A column's sorted values are cut into ranges of about this many distinct values before running
+    # sums are taken, into 2 ** range_bits of them at most.
+    range_values: int = 128
+    range_bits: int = 18
 
 
 @dataclass(frozen=True)

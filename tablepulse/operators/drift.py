@@ -1,18 +1,18 @@
 """Drift between a reference and a current window, exact and over whole tables.
 
 A *sides* frame holds the rows of both windows with the flag ``_is_current``.
-Numeric columns are brought into long form (column, value), counted per distinct
-value, and cut into ranges of about equal size.  Running sums are taken inside a
-range only; one summary row per range then carries the totals of the ranges before
-it.  No task therefore holds more than one range of a column, however many rows a
-column or a single value has.
+All columns, numbers and categories, are brought into one long form (column, value,
+category) and counted per distinct value by one scan.  The counts of a column are cut
+into ranges of about equal size, more of them the more distinct values it has.  Running
+sums are taken inside a range only; one summary row per range then carries the totals of
+the ranges before it.  No task therefore holds more than one range of a column, however
+many rows a column or a single value has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ METHOD = "ks_test+psi"
 LIMITS_IN_BROADCAST = 1 << 22
 # Values that are the same in all rows of one column.
 COLUMN_FACTS = ["low", "high", "current_total", "reference_total"]
+# Values per range from which one is placed as a limit.
+PICKS_PER_RANGE = 8
 
 
 # --- windows -----------------------------------------------------------------
@@ -135,19 +137,20 @@ def _category(sides: DataFrame, name: str) -> Column:
     return compact_key(column, data_type)
 
 
-def long_numbers(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(side, column position, value) without NULL and NaN."""
-    cells = [F.struct(F.lit(i).alias("column_id"), _number(sides, c).alias("value")) for i, c in enumerate(columns)]
-    long = sides.select(SIDE, F.inline(F.array(*cells)))
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+def long_cells(sides: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """(side, column position, value, category) without NULL and NaN; a cell has one of value and category."""
+    cells = []
+    for i, (name, kind) in enumerate(kinds.items()):
+        number = _number(sides, name) if kind == "numeric" else F.lit(None).cast("double")
+        text = _category(sides, name) if kind == "category" else F.lit(None).cast("string")
+        cells.append(F.struct(F.lit(i).alias("column_id"), number.alias("value"), text.alias("category")))
+    found = (F.col("value").isNotNull() & ~F.isnan("value")) | F.col("category").isNotNull()
+    return sides.select(SIDE, F.inline(F.array(*cells))).filter(found)
 
 
-def long_categories(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(side, column position, category) without NULL."""
-    cells = [
-        F.struct(F.lit(i).alias("column_id"), _category(sides, c).alias("category")) for i, c in enumerate(columns)
-    ]
-    return sides.select(SIDE, F.inline(F.array(*cells))).filter(F.col("category").isNotNull())
+def long_numbers(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cells of numeric columns."""
+    return long_cells(sides, dict.fromkeys(columns, "numeric"))
 
 
 def _side_counts() -> list[Column]:
@@ -157,10 +160,10 @@ def _side_counts() -> list[Column]:
     ]
 
 
-# --- numeric columns ---------------------------------------------------------
+# --- counts and ranges -------------------------------------------------------
 
 def fit_ranges(columns: Sequence[str], config: DriftConfig) -> DriftConfig:
-    """Fewer ranges for very wide tables, so that the broadcast limits stay below 32 MB."""
+    """Fewer ranges at most for very wide tables, so that the broadcast limits stay below 32 MB."""
     bits = config.range_bits
     while bits > 1 and len(columns) << bits > LIMITS_IN_BROADCAST:
         bits -= 1
@@ -168,50 +171,57 @@ def fit_ranges(columns: Sequence[str], config: DriftConfig) -> DriftConfig:
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """Rows of both sides per column and distinct value.
+    """Rows of both sides per column and distinct value or category.
 
     The one pass over the table: everything after it works on these counts.
     """
-    return long.groupBy("column_id", "value").agg(*_side_counts())
+    return long.groupBy("column_id", "value", "category").agg(*_side_counts())
 
 
 def column_facts(counts: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
-    """One row per column: smallest and largest value, rows per side and range limits.
+    """One row per column: smallest and largest value, rows per side, number of ranges and their limits.
 
-    The limits only decide which task handles a value, so they are estimated from a
-    part of the distinct values: one for each of four times as many hash slots as there
-    are ranges.  The slots are summed in the tasks before they meet, so the task that
-    sorts a column's picks receives as many rows for any number of values.
+    A column has one range per ``config.range_values`` distinct values, ``2 ** config.range_bits`` at most.
+    The limits only decide which task handles a value, so they are estimated from a part of
+    the distinct values, told by their hash: some per range, and one for each of four times as many
+    slots as there may be ranges.  The slots are summed in the tasks before they meet, so the
+    task that sorts a column's picks receives a bounded number of rows.
     """
-    ranges = 2**config.range_bits
-    mixed = F.xxhash64("value")
-    slots = counts.groupBy("column_id", F.pmod(mixed, F.lit(4 * ranges)).alias("slot")).agg(
+    most = 2**config.range_bits
+    mixed = F.xxhash64("value", "category")
+    every = max(1, config.range_values // PICKS_PER_RANGE)
+    slot = F.when((F.pmod(mixed, F.lit(every)) == 0) & F.col("value").isNotNull(), F.pmod(F.floor(mixed / every), F.lit(4 * most)))
+    slots = counts.groupBy("column_id", slot.alias("slot")).agg(
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.sum("current_n").alias("current_total"),
         F.sum("reference_n").alias("reference_total"),
+        F.count(F.lit(1)).alias("distinct_values"),
         F.min_by("value", mixed).alias("pick"),
     )
-    picks = F.sort_array(F.collect_list("pick"))
+    picks = F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), F.col("pick"))))
     facts = slots.groupBy("column_id").agg(
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.sum("current_total").alias("current_total"),
         F.sum("reference_total").alias("reference_total"),
+        F.least(F.lit(most), F.ceil(F.sum("distinct_values") / config.range_values)).cast("int").alias("ranges"),
         picks.alias("picks"),
     )
-    steps = F.sequence(F.lit(1), F.lit(ranges - 1))
-    limits = F.transform(steps, lambda i: F.get("picks", F.floor(i * F.size("picks") / ranges).cast("int")))
+    steps = F.slice(F.sequence(F.lit(0), F.col("ranges") - 1), F.lit(2), F.col("ranges"))
+    limits = F.transform(steps, lambda i: F.get("picks", F.floor(i * F.size("picks") / F.col("ranges")).cast("int")))
     return facts.withColumn("limits", F.array_distinct(limits)).drop("picks")
 
 
 def _with_range_no(placed: DataFrame, config: DriftConfig) -> DataFrame:
-    """Adds ``range_no``, the number of limits below the value, by binary search."""
+    """Adds ``range_no``: the number of limits below a value, by search; categories are dealt out by hash."""
     placed = placed.withColumn("range_no", F.lit(0))
-    for step in (2**bit for bit in reversed(range(config.range_bits))):
-        below = f"coalesce(get(limits, range_no + {step - 1}) < value, false)"
-        placed = placed.withColumn("range_no", F.expr(f"range_no + if({below}, {step}, 0)"))
-    return placed
+    # Two bits a step: three limits tell which quarter holds the value.
+    for step in (4**digit for digit in reversed(range((config.range_bits + 1) // 2))):
+        passed = [f"int(coalesce(get(limits, range_no + {i * step - 1}) < value, false))" for i in (1, 2, 3)]
+        placed = placed.withColumn("range_no", F.expr(f"range_no + {step} * ({' + '.join(passed)})"))
+    dealt = F.pmod(F.xxhash64("category"), F.col("ranges")).cast("int")
+    return placed.withColumn("range_no", F.when(F.col("category").isNotNull(), dealt).otherwise(F.col("range_no")))
 
 
 def _bin_no(config: DriftConfig) -> Column:
@@ -220,17 +230,25 @@ def _bin_no(config: DriftConfig) -> Column:
     return F.expr(" + ".join(edges))
 
 
+def _share(side: str, config: DriftConfig) -> Column:
+    """Share of a category on one side; a missing one counts as epsilon."""
+    n = F.col(f"{side}_n")
+    return F.when(n > 0, n / F.col(f"{side}_total")).otherwise(config.epsilon)
+
+
 def range_summaries(counts: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
-    """Per column, range and bin: counts of both sides and the extremes of the local difference.
+    """Per column, range and bin: counts of both sides, the extremes of the local difference and of categories
+    the sum of share differences.
 
     The column facts, one row per compared column, come from the same counts; Spark
     shuffles the counts once and reads them twice.
     """
     facts = column_facts(counts, config)
+    shift = F.when(F.col("category").isNotNull(), F.abs(_share("current", config) - _share("reference", config)))
     placed = (
         _with_range_no(counts.join(F.broadcast(facts), "column_id"), config)
-        .withColumn("bin_no", _bin_no(config))
-        .select("column_id", "range_no", "bin_no", "value", "current_n", "reference_n", *COLUMN_FACTS)
+        .withColumns({"bin_no": _bin_no(config), "shift": shift})
+        .select("column_id", "range_no", "bin_no", "value", "current_n", "reference_n", "shift", *COLUMN_FACTS)
     )
     running = Window.partitionBy("column_id", "range_no").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     gap = F.try_divide(F.sum("current_n").over(running), F.col("current_total")) - F.try_divide(
@@ -245,6 +263,7 @@ def range_summaries(counts: DataFrame, config: DriftConfig = DriftConfig()) -> D
             F.sum("reference_n").alias("reference_n"),
             F.max("gap").alias("gap_high"),
             F.min("gap").alias("gap_low"),
+            F.sum("shift").alias("shift"),
         )
     )
 
@@ -328,9 +347,30 @@ def _ks_limit_p_value(statistic: Column, n: Column, m: Column) -> Column:
     return F.round(F.when(scaled < 0.2, 1.0).otherwise(bounded), 6)
 
 
-def numeric_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig = DriftConfig()) -> DataFrame:
-    """PSI, Kolmogorov-Smirnov statistic and p-value of every numeric column."""
-    summaries = range_summaries(value_counts(long_numbers(sides, columns)), fit_ranges(columns, config))
+def _compared(sides: DataFrame, kinds: Mapping[str, str], config: DriftConfig) -> DataFrame:
+    """PSI, Kolmogorov-Smirnov statistic and p-value of numbers, sum of absolute share differences of categories."""
+    found = _with_numbers(sides, kinds, config) if "numeric" in kinds.values() else _categories_only(sides, kinds, config)
+    psi, ks, p = F.coalesce("psi", F.lit(0.0)), F.coalesce("ks", F.lit(0.0)), F.coalesce("p", F.lit(1.0))
+    shifted = (psi > config.psi_threshold) | (p < config.p_value_threshold)
+    return _named(sides, kinds).join(F.broadcast(found), "column_id", "left").select(
+        "column_name",
+        "kind",
+        psi.alias("psi"),
+        ks.alias("ks_statistic"),
+        p.alias("ks_p_value"),
+        F.when(F.col("kind") == "numeric", shifted).otherwise(psi > config.categorical_threshold).alias("drift_detected"),
+    )
+
+
+def _categories_only(sides: DataFrame, kinds: Mapping[str, str], config: DriftConfig) -> DataFrame:
+    """Without numbers there is nothing to sort, so no ranges are needed."""
+    shift = F.sum(F.abs(F.col("current_share") - F.col("reference_share")))
+    found = category_shares(sides, list(kinds), config).groupBy("column_id").agg(F.round(shift, 6).alias("psi"))
+    return found.withColumns({"ks": F.lit(0.0), "p": F.lit(1.0)})
+
+
+def _with_numbers(sides: DataFrame, kinds: Mapping[str, str], config: DriftConfig) -> DataFrame:
+    summaries = range_summaries(value_counts(long_cells(sides, kinds)), fit_ranges(list(kinds), config))
 
     # At most one row per column, range and bin reaches this window.
     before = Window.partitionBy("column_id").orderBy("range_no").rangeBetween(Window.unboundedPreceding, -1)
@@ -345,33 +385,32 @@ def numeric_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig
         .groupBy("column_id")
         .agg(
             F.max(gap).alias("gap"),
+            F.round(F.sum("shift"), 6).alias("shift"),
             *_same(COLUMN_FACTS),
             _bin_counts("current", config),
             _bin_counts("reference", config),
         )
     )
-    enough = (F.col("current_total") >= 2) & (F.col("reference_total") >= 2)
-    found = (
+    number = F.col("low").isNotNull()
+    enough = number & (F.col("current_total") >= 2) & (F.col("reference_total") >= 2)
+    p = ks_p_value(F.col("raw_ks"), F.col("current_total"), F.col("reference_total"), config.exact_rows)
+    return (
         merged.withColumn("raw_ks", F.when(enough, F.col("gap")).otherwise(0.0))
-        .withColumn(
-            "p",
-            F.when(
-                enough, ks_p_value(F.col("raw_ks"), F.col("current_total"), F.col("reference_total"), config.exact_rows)
-            ).otherwise(1.0),
-        )
-        .select("column_id", _psi(config).alias("psi"), F.round("raw_ks", 6).alias("ks"), "p")
-    )
-    psi, ks, p = F.coalesce("psi", F.lit(0.0)), F.coalesce("ks", F.lit(0.0)), F.coalesce("p", F.lit(1.0))
-    return _named(sides, columns, "numeric").join(F.broadcast(found), "column_id", "left").select(
-        "column_name",
-        "kind",
-        psi.alias("psi"),
-        ks.alias("ks_statistic"),
-        p.alias("ks_p_value"),
-        ((psi > config.psi_threshold) | (p < config.p_value_threshold)).alias("drift_detected"),
+        .withColumn("p", F.when(enough, p).otherwise(1.0))
+        .select("column_id", F.when(number, _psi(config)).otherwise(F.col("shift")).alias("psi"), F.round("raw_ks", 6).alias("ks"), "p")
     )
 
 
+def numeric_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig = DriftConfig()) -> DataFrame:
+    """PSI, Kolmogorov-Smirnov statistic and p-value of every numeric column."""
+    return _compared(sides, dict.fromkeys(columns, "numeric"), config)
+
+
+def categorical_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig = DriftConfig()) -> DataFrame:
+    """Sum of absolute share differences of every categorical column."""
+    return _compared(sides, dict.fromkeys(columns, "category"), config)
+
+
 def own_metric(
     sides: DataFrame,
     columns: Sequence[str],
@@ -383,16 +422,17 @@ def own_metric(
     ``metric`` maps the summaries to one row per ``column_id``.
     """
     found = metric(range_summaries(value_counts(long_numbers(sides, columns)), fit_ranges(columns, config)))
-    return _named(sides, columns, "numeric").join(found, "column_id", "left").drop("column_id", "kind")
-
+    return _named(sides, dict.fromkeys(columns, "numeric")).join(found, "column_id", "left").drop("column_id", "kind")
 
-def _named(sides: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """Position and name of the compared columns."""
-    rows = [F.struct(F.lit(i).alias("column_id"), F.lit(c).alias("column_name")) for i, c in enumerate(columns)]
-    return sides.sparkSession.range(1).select(F.inline(F.array(*rows)), F.lit(kind).alias("kind"))
 
+def _named(sides: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Position, name and kind of the compared columns."""
+    rows = [
+        F.struct(F.lit(i).alias("column_id"), F.lit(name).alias("column_name"), F.lit(kind).alias("kind"))
+        for i, (name, kind) in enumerate(kinds.items())
+    ]
+    return sides.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
-# --- categorical columns -----------------------------------------------------
 
 def category_shares(sides: DataFrame, columns: Sequence[str], config: DriftConfig = DriftConfig()) -> DataFrame:
     """Share of each category on both sides; a missing one counts as epsilon.
@@ -400,35 +440,12 @@ def category_shares(sides: DataFrame, columns: Sequence[str], config: DriftConfi
     One grouped count covers the union of both category sets, in place of a full
     outer join of two counts.  The totals have one row per column.
     """
-    counts = long_categories(sides, columns).groupBy("column_id", "category").agg(*_side_counts())
+    counts = value_counts(long_cells(sides, dict.fromkeys(columns, "category")))
     totals = counts.groupBy("column_id").agg(
         F.sum("current_n").alias("current_total"), F.sum("reference_n").alias("reference_total")
     )
-
-    def share(side: str) -> Column:
-        n = F.col(f"{side}_n")
-        return F.when(n > 0, n / F.col(f"{side}_total")).otherwise(config.epsilon)
-
     return counts.join(F.broadcast(totals), "column_id").select(
-        "column_id", "category", share("current").alias("current_share"), share("reference").alias("reference_share")
-    )
-
-
-def categorical_drift(sides: DataFrame, columns: Sequence[str], config: DriftConfig = DriftConfig()) -> DataFrame:
-    """Sum of absolute share differences of every categorical column."""
-    shift = (
-        category_shares(sides, columns, config)
-        .groupBy("column_id")
-        .agg(F.round(F.sum(F.abs(F.col("current_share") - F.col("reference_share"))), 6).alias("shift"))
-    )
-    psi = F.coalesce("shift", F.lit(0.0))
-    return _named(sides, columns, "category").join(F.broadcast(shift), "column_id", "left").select(
-        "column_name",
-        "kind",
-        psi.alias("psi"),
-        F.lit(0.0).alias("ks_statistic"),
-        F.lit(1.0).alias("ks_p_value"),
-        (psi > config.categorical_threshold).alias("drift_detected"),
+        "column_id", "category", _share("current", config).alias("current_share"), _share("reference", config).alias("reference_share")
     )
 
 
@@ -440,16 +457,11 @@ def column_drift(
     times: str = "skip",
     config: DriftConfig = DriftConfig(),
 ) -> DataFrame:
-    """One row per compared column."""
+    """One row per compared column; numbers and categories are counted by the same scan."""
     kinds = column_kinds(sides, columns, times)
-    parts = []
-    for kind, compare in (("numeric", numeric_drift), ("category", categorical_drift)):
-        names = [c for c, k in kinds.items() if k == kind]
-        if names:
-            parts.append(compare(sides, names, config))
-    if not parts:
+    if not kinds:
         raise ValueError("no column to compare")
-    return reduce(DataFrame.unionByName, parts)
+    return _compared(sides, kinds, config)
 
 
 def drift_metric_rows(columns: DataFrame) -> DataFrame:

@@ -194,3 +194,36 @@ def test_categories_are_scanned_once(spark, folder):
     found.collect()
     final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
+
+
+def test_numbers_and_categories_are_counted_by_one_scan(spark, folder):
+    """All columns of the table; equal to what the kinds give apart."""
+    sides = drift.split_by_time(spark.read.parquet(f"{folder}/lineitem.parquet"), "l_shipdate", "1998-06-01")
+    found = drift.column_drift(sides)
+    rows = rows_of(found)
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+    kinds = drift.column_kinds(sides)
+    apart = rows_of(drift.numeric_drift(sides, [c for c, k in kinds.items() if k == "numeric"]))
+    apart |= rows_of(drift.categorical_drift(sides, [c for c, k in kinds.items() if k == "category"]))
+    assert set(rows) == set(kinds) == set(apart)
+    for name, row in rows.items():
+        assert row["kind"] == kinds[name] and row["drift_detected"] == apart[name]["drift_detected"]
+        for measure in ("psi", "ks_statistic", "ks_p_value"):
+            assert row[measure] == pytest.approx(apart[name][measure], abs=2e-6)
+
+
+def test_ranges_grow_with_distinct_values(spark):
+    """Ten times the values make ten times the ranges; the most values that one of them holds stay alike."""
+    largest, ranges = [], []
+    for n in (20_000, 200_000):
+        sides = spark.range(n).select((F.rand(5) * 1e6).alias("a"), F.concat(F.lit("c"), "id").alias("c"), (F.col("id") % 3 == 0).alias(drift.SIDE))
+        counts = drift.value_counts(drift.long_cells(sides, {"a": "numeric", "c": "category"})).cache()
+        summaries = drift.range_summaries(counts)
+        sizes = summaries.groupBy("column_id", "range_no").agg(F.sum(F.col("current_n") + F.col("reference_n")).alias("n")).collect()
+        assert sum(r["n"] for r in sizes) == 2 * n
+        largest.append(max(r["n"] for r in sizes))
+        ranges.append(min(sum(r["column_id"] == i for r in sizes) for i in (0, 1)))
+        counts.unpersist()
+    assert ranges[1] > 8 * ranges[0]
+    assert max(largest) < 16 * DriftConfig().range_values
