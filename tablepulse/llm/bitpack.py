@@ -42,10 +42,8 @@ MAGIC = b"TPB1"
 BLOCK_IDS = 4096
 SHARD_IDS = 1 << 24
 NULL_ID = -(1 << 63)
-JOINED = 256  # pieces per string given to the tokenizer
+JOINED = 256  # words per string given to the tokenizer
 _HEAD = struct.Struct("<4sQQQQ")
-# Pieces that the tokenizer's own pre-tokenizer splits at; a piece splits no further.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SPACE = regex.compile("[\t-\r]")
 _CACHES: dict[str, PieceCache] = {}
 
@@ -122,7 +120,7 @@ class ShardReader:
 
 
 def _encoder(path: str):
-    """Ids of distinct pieces by the tokenizers library; pieces are joined to few strings."""
+    """Ids of distinct words by the tokenizers library; words are joined to few strings."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,8 +130,8 @@ def _encoder(path: str):
     # Texts are split at added tokens before; what looks like one after lower-casing is ordinary text.
     tokenizer.encode_special_tokens = True
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         coded = tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
         lengths, flat = [], []
         for group, one in zip(groups, coded):
@@ -172,13 +170,12 @@ def encode_texts(texts: pa.Array, cache: PieceCache, tokens: regex.Pattern | Non
         return cache.ids([words_of(t, tokens) for t in texts.to_pylist()])
     # Words are told apart by Arrow; Python sees each distinct one.  Blanks at the ends make empty words.
     listed = pc.ascii_split_whitespace(texts)
-    words = listed.flatten()
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    coded = words.filter(pa.array(real)).dictionary_encode()
+    coded = listed.flatten().dictionary_encode()
+    found, codes = coded.dictionary, coded.indices.to_numpy()
+    real = codes != pc.index(found, "").as_py()
     ends = np.r_[0, np.cumsum(real)][listed.offsets.to_numpy()[1:] - listed.offsets[0].as_py()]
-    found = coded.dictionary
-    lower = pc.if_else(pc.string_is_ascii(found), pc.ascii_lower(found), found).dictionary_encode()
-    return cache.coded(lower.dictionary.to_pylist(), lower.indices.to_numpy()[coded.indices.to_numpy()], ends)
+    lower = pc.if_else(pc.string_is_ascii(found), pc.ascii_lower(found), found)
+    return cache.coded(lower.to_pylist(), codes[real], ends)
 
 
 def token_pattern(path: str) -> regex.Pattern | None:
@@ -188,24 +185,25 @@ def token_pattern(path: str) -> regex.Pattern | None:
 
 
 def word_cache(path: str) -> PieceCache:
-    """Ids of words (see ``words_of``): a word is split at the tokenizer's pieces, each encoded once.
+    """Ids of words (see ``words_of``).
 
-    Words in ASCII come lower-cased and go the short way; any other word goes to the tokenizer as it is,
-    since its normalization comes before lower-casing and may change where the word is split.
+    Words in ASCII come lower-cased; any other word goes to the tokenizer as it is, since its
+    normalization comes before lower-casing and may change where the word is split.
     """
     if path not in _CACHES:
-        pieces, tokens = PieceCache(_encoder(path)), added_tokens(path)
-
-        def split(word: str) -> list[str]:
-            if not word.isascii():
-                return [word]
-            return [word] if word.isalpha() else _PIECE.findall(word)
+        encode, tokens = _encoder(path), added_tokens(path)
 
         def words(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
             added = np.array([w[:1] == " " for w in new], bool)
-            flat, ends = pieces.ids([[] if a else split(w) for w, a in zip(new, added)])
-            own = [tokens[w[1:]] for w, a in zip(new, added) if a]
-            return np.diff(np.r_[0, ends]) + added, np.insert(flat, ends[added], own)
+            if not added.any():
+                return encode(new)
+            # An added token has the one id that it stands for.
+            plain, own = [w for w in new if w[:1] != " "], [tokens[w[1:]] for w in new if w[:1] == " "]
+            sizes, flat = encode(plain) if plain else (np.empty(0, np.int64), np.empty(0, np.int64))
+            lengths = np.ones(len(new), np.int64)
+            lengths[~added] = sizes
+            before = np.r_[0, np.cumsum(sizes)]
+            return lengths, np.insert(flat, before[np.cumsum(~added)[added]], own)
 
         _CACHES[path] = PieceCache(words)
     return _CACHES[path]
