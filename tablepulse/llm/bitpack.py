@@ -25,6 +25,7 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +120,9 @@ class ShardReader:
         return self.ids(int(self.first[number]), int(self.first[number + 1]))
 
 
-def _encoder(path: str):
-    """Ids of distinct words by the tokenizers library; words are joined to few strings."""
+@cache
+def _tokenizer(path: str):
+    """The tokenizer of a file, loaded once a process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,6 +131,12 @@ def _encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     # Texts are split at added tokens before; what looks like one after lower-casing is ordinary text.
     tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def _encoder(path: str):
+    """Ids of distinct words by the tokenizers library; words are joined to few strings."""
+    tokenizer = _tokenizer(path)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
@@ -146,9 +154,7 @@ def _encoder(path: str):
 
 def added_tokens(path: str) -> dict[str, int]:
     """Ids of the tokenizer's added tokens, which are found in texts before anything else."""
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path).get_added_tokens_decoder()
+    found = _tokenizer(path).get_added_tokens_decoder()
     for token in found.values():
         if token.normalized or token.lstrip or token.rstrip or token.single_word:
             raise ValueError(f"added token {token.content!r} is not matched as it stands")
