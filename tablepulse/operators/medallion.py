@@ -70,9 +70,9 @@ def silver_additions(
     if mode == "run_once":
         # Known runs are few next to the rows: only they are looked up, the rows stay where they are.
         runs = bronze.select("_pipeline_run_id").distinct().join(known.select("_pipeline_run_id").distinct(), "_pipeline_run_id")
-        return rows_not_in(rows, runs, ["_pipeline_run_id"])
+        return rows_not_in(rows, runs, ["_pipeline_run_id"], few=True)
     placed = rows.repartition("_row_key")
-    return placed.join(known.select("_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
+    return placed.join(known.select("_row_key").hint("merge"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
 
 
 def to_gold(

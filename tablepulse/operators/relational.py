@@ -58,9 +58,14 @@ def rows_of_latest(df: DataFrame, key: str, parents: DataFrame, parent_key: str,
     return keep_matching_top(df, key, newest(parents, 1, ts, parent_key), parent_key)
 
 
-def rows_not_in(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Source rows without a row of equal keys in the target; NULL equals NULL."""
+def rows_not_in(source: DataFrame, target: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
+    """Source rows without a row of equal keys in the target; NULL equals NULL.
+
+    The target grows with its history and its keys shuffle well compressed, so it is only broadcast if it is
+    known to hold ``few`` keys.
+    """
     known = target.select(*keys).distinct()
+    known = known if few else known.hint("merge")
     match = reduce(lambda a, b: a & b, [source[k].eqNullSafe(known[k]) for k in keys])
     return source.join(known, match, "left_anti")
 

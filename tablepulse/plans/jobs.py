@@ -222,7 +222,7 @@ def send_outbox(store: FactStore, send: Callable[[DataFrame], None], at: str) ->
     fails on is not noted and goes out with the next call, so a message is sent once or more.
     Returns the number of messages sent.
     """
-    pending = store.read("outbox").join(store.read("outbox_sent").select("id"), "id", "left_anti")
+    pending = store.read("outbox").join(store.read("outbox_sent").select("id").hint("merge"), "id", "left_anti")
     send(pending.select("topic", "key", "value"))
     # What came into the outbox while the messages were sent stays pending, as ``pending`` keeps its list of files.
     sent = pending.select("id", moment(at).alias("sent_at"))

@@ -154,13 +154,14 @@ class FactStore:
         """Append the rows whose key the table does not hold yet, so a repeated job adds nothing.
 
         A row without key gets a digest of its content as key.  Of the history only the keys
-        that are new here are looked up, which a Bloom filter of them can prune.
+        that are new here are looked up, which a Bloom filter of them can prune.  Neither side is
+        broadcast, as a batch may hold any number of keys.
         """
         content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), JSON), 256)
         rows = rows.withColumn(key, F.coalesce(F.col(key).cast("string"), content))
         rows = as_fact(table, rows).dropDuplicates([key])
-        known = self.read(table).select(key).join(rows.select(key), key, "left_semi")
-        self.append(table, rows.join(known, key, "left_anti"))
+        known = self.read(table).select(key).join(rows.select(key).hint("merge"), key, "left_semi")
+        self.append(table, rows.join(known.hint("merge"), key, "left_anti"))
 
 
 def as_fact(table: str, rows: DataFrame) -> DataFrame:

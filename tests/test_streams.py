@@ -278,3 +278,19 @@ def test_requests_of_one_table_share_a_scan(spark, tmp_path):
     for name in ("data_quality_metrics", "drift_runs", "drift_summary"):
         one = single.read(name).first()
         assert store.read(name).filter(F.col("id") == one["id"]).first() == one
+
+
+def test_known_facts_are_not_broadcast(spark, tmp_path):
+    """What a fact table holds already grows with its history, however well it compresses."""
+    from tablepulse.operators.relational import rows_not_in
+
+    store = FactStore(spark, str(tmp_path / "facts"))
+    rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("d").alias("dataset_id"))
+    store.append_new("dataset_lineage", rows)
+    plans = []
+    store.append = lambda table, new: plans.append(new)
+    store.append_new("dataset_lineage", rows)
+    plans.append(rows_not_in(rows, store.read("dataset_lineage"), ["id", "dataset_id"]))
+    for new in plans:
+        assert new.count() == 0
+        assert "BroadcastHashJoin" not in new._jdf.queryExecution().executedPlan().toString()
