@@ -4,7 +4,7 @@ A split is the byte range of a file that one task reads, so a task cannot know f
 alone whether it starts inside a quoted text.  Each line is therefore taken as a function
 of that: for a start outside and a start inside of quotes it says where the line ends.
 Such functions compose, so a first scan brings one function per split to the driver, which
-already lists the splits to plan the scan.  A second scan then knows every split's start:
+already lists the splits to plan the scan.  A second scan is joined with every split's start:
 records that end in their split are put together there, and only the pieces of those that do
 not are brought together, by the line that opens them.
 
@@ -14,6 +14,7 @@ number in the file.  It does not depend on how the file is split.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +30,16 @@ OPENED = r'(^|,)"'
 # What is left of a quoted text that was opened in an earlier line, with its closing quote.
 CLOSING = r'^[^"]*+(?:""[^"]*+)*+"(?!")'
 SEGMENTS = "file string, start bigint, lines bigint, after_outside boolean, after_inside boolean, opener_outside bigint, opener_inside bigint"
+STARTS = "file string, start bigint, first bigint, inside boolean, opener bigint"
+# Small splits share a task: a core gets so many tasks at least, and a task so many bytes at most.
+TASKS_PER_CORE, TASK_BYTES = 32, 32 << 20
 PLACED = "file string, row_no bigint, whole boolean, value string, line bigint"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, start, value, after_outside, after_inside)`` of every line; splits are told apart by ``start``."""
-    lines = spark.read.text(path, lineSep="\n").select(
+    text = spark.read.text(path, lineSep="\n")
+    lines = text.coalesce(_tasks(spark, text.rdd.getNumPartitions())).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
     quoted = F.contains("value", F.lit('"'))
@@ -48,6 +53,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _tasks(spark: SparkSession, splits: int) -> int:
+    """Tasks that read so many splits: one each, unless there are many small ones."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    size = int(number) * 1024 ** " kmgtp".index(unit or " ")
+    return max(1, min(splits, max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, splits * size // TASK_BYTES)))
+
+
 def _ends_inside(text: Column) -> Column:
     return F.regexp_replace(text, CLOSED, "$1x").rlike(OPENED)
 
@@ -122,13 +134,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _starts(segments: list) -> dict[tuple[str, int], tuple[int, bool, int]]:
-    """Lines before each split, whether it starts inside quotes, and the line that opened that text."""
-    found, file = {}, None
+def _starts(segments: list) -> list[tuple[str, int, int, bool, int]]:
+    """Per split the lines before it, whether it starts inside quotes, and the line that opened that text."""
+    found, file = [], None
     for s in sorted(segments, key=lambda s: (s["file"], s["start"])):
         if s["file"] != file:
             file, line, inside, opener = s["file"], 0, False, -1
-        found[file, s["start"]] = line, inside, opener
+        found.append((file, s["start"], line, inside, opener))
         own = s["opener_inside"] if inside else s["opener_outside"]
         opener = line + own if own >= 0 else opener
         inside = s["after_inside"] if inside else s["after_outside"]
@@ -136,8 +148,11 @@ def _starts(segments: list) -> dict[tuple[str, int], tuple[int, bool, int]]:
     return found
 
 
-def _placed(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], tuple[int, bool, int]]) -> Iterator[pa.RecordBatch]:
-    """Whole records, and pieces of those that run over the end of a split, each with the number of its first line."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records, and pieces of those that run over the end of a split, each with the number of its first line.
+
+    Every line carries the start of its split.
+    """
     kinds = [pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64()]
     names = [part.split()[0] for part in PLACED.split(", ")]
     key, state, first, held = None, None, 0, []  # held: texts of the record that is open, from line ``first_held`` on
@@ -153,7 +168,9 @@ def _placed(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], tup
                 if held:
                     yield rows([(state.opener, False, "\n".join(held), first_held)])
                 key, held = found, []
-                first, inside, opener = starts[key]
+                first, inside, opener = (part.column(i)[0].as_py() for i in (5, 6, 7))
+                if first is None:
+                    raise ValueError(f"{key[0]} was split otherwise when it was scanned for quotes")
                 state = _Split(inside, opener, first)
             line = state.line
             before, after, opened = state.read(*_flags(part))
@@ -190,10 +207,13 @@ def records(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
     # One row per split, of which the driver holds a list anyway.
     segments = bare.mapInArrow(_segments, SEGMENTS).collect()
     starts = _starts(segments)
-    placed = lines.mapInArrow(lambda batches: _placed(batches, starts), PLACED)
+    # Broadcast once per executor: as many rows as splits, which no task takes along whole.
+    known = F.broadcast(spark.createDataFrame(starts, STARTS))
+    placed = lines.join(known, ["file", "start"], "left").mapInArrow(_placed, PLACED)
     found = placed.where("whole").select("file", "row_no", "value")
     # Without a split that starts or ends inside of quotes there are no pieces.
-    if any(s["after_inside" if starts[s["file"], s["start"]][1] else "after_outside"] for s in segments):
+    inside = {(file, start): inside for file, start, _, inside, _ in starts}
+    if any(s["after_inside" if inside[s["file"], s["start"]] else "after_outside"] for s in segments):
         in_order = F.array_sort(F.collect_list(F.struct("line", "value")))
         joined = placed.where("not whole").groupBy("file", "row_no").agg(F.array_join(in_order["value"], "\n").alias("value"))
         found = found.unionByName(joined)

@@ -229,3 +229,26 @@ def test_landing_keeps_rejects_and_places(spark, tmp_path):
     assert [r[0] for r in bad.collect()] == ["3"]
     with pytest.raises(files.UnreadableFile):
         files.read_file(spark, path, landing=str(tmp_path / "again"))
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """The number of tasks does not grow with that of the splits, and no task takes the starts of all splits along."""
+    from tablepulse.sources import splits
+
+    monkeypatch.setattr(splits, "TASKS_PER_CORE", 1)
+    some = random.Random(4)
+    rows = csv_rows(some, 400)
+    path = write(tmp_path, "f.csv", as_csv([("id", "t", "v"), *rows], some))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 100
+        found = files.records(spark, path)
+        tasks = splits._lines(spark, path).rdd.getNumPartitions()
+        ids = [r["value"].split(",")[0].strip('"') for r in found.orderBy("_row_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks <= spark.sparkContext.defaultParallelism
+    assert ids == ["id", *(r[0] for r in rows)]
