@@ -44,20 +44,29 @@ def word_counts(
 ) -> DataFrame:
     """``(word, n)`` of the lower-cased runs of letters, after ``drops`` took a letter from some.
 
-    Runs shorter than ``min_length`` cannot become words, so they never leave the scan.
+    Runs shorter than ``min_length`` cannot become words, so they never leave the scan.  One that gets too short
+    by its lost letter becomes NULL, which ``count(word)`` leaves out: a filter would be pushed below the
+    projections and work out the word a second time.
     """
     pattern = f"({LETTERS}{{{min_length},}})"
     runs = docs.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
         F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern))).alias("run"),
-    ).select("id", F.translate("run", UPPER, LOWER).alias("word"))
+    ).select("id", _lower("run").alias("word"))
     if drops:
         mark = F.crc32(F.concat("id", F.lit(":"), "word"))
         at = (mark % F.length("word")).cast("int")
         shorter = F.concat(F.col("word").substr(F.lit(1), at), F.col("word").substr(at + 2, F.length("word")))
-        runs = runs.select(F.when(mark % drops == 0, shorter).otherwise(F.col("word")).alias("word"))
-    counts = runs.where(F.length("word") >= min_length).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") >= min_count)
+        long = F.when(F.length("word") > min_length, shorter)
+        runs = runs.select(F.when(mark % drops == 0, long).otherwise(F.col("word")).alias("word"))
+    counts = runs.groupBy("word").agg(F.count("word").alias("n"))
+    return counts.where(F.col("n") >= max(min_count, 1))
+
+
+def _lower(run: str) -> Column:
+    """Lower case of A-Z only.  Of a text without other letters ``lower`` changes the same, and much faster."""
+    plain = F.octet_length(run) == F.length(run)
+    return F.when(plain, F.lower(run)).otherwise(F.translate(run, UPPER, LOWER))
 
 
 def _tail(text: str | Column, start: Column | int, size: Column | None = None) -> Column:
@@ -68,11 +77,12 @@ def _tail(text: str | Column, start: Column | int, size: Column | None = None) -
 
 
 def _common(a: Column, b: Column) -> Column:
-    """Length of the common prefix."""
+    """Length of the common prefix; letters are compared one by one only where ``a`` does not begin with ``b``."""
     first = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), False).cast("int")
     whole = F.when(first > 0, first - 1).otherwise(F.length(a))
     other = F.length(a) == 0
-    return F.when(other | (F.length(b) == 0) | (F.left(a, F.lit(1)) != F.left(b, F.lit(1))), 0).otherwise(whole)
+    apart = other | (F.length(b) == 0) | (F.left(a, F.lit(1)) != F.left(b, F.lit(1)))
+    return F.when(F.startswith(a, b), F.length(b)).when(apart, 0).otherwise(whole)
 
 
 def _bit(length: Column) -> Column:
