@@ -422,8 +422,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, text: st
     return ordered.mapInArrow(tidied(run), "src bigint, dst bigint")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(id, fp, component_id)``: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def _alike_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_set_prints`` and the edges between their nodes whose similarity is ``similarity`` or more.
 
     Texts with the same set are one node.  Candidates share a shingle of their prefixes, which
     every pair of that similarity does; of texts of ``SHORT`` shingles or more, pairs that
@@ -443,7 +443,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     open_rows = found.where("key is not null")
     if not open_rows.isEmpty():
         edges = edges.unionByName(_block_edges(open_rows, nodes.select("node", "words"), max_bits))
-    exact = landed(_verified(docs, nodes, edges, text, shingle, similarity), "alike")
+    return prints, landed(_verified(docs, nodes, edges, text, shingle, similarity), "alike")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, fp, component_id)``: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``component_id`` is the smallest id of the group; where ids repeat, groups may share it.
+    """
+    prints, exact = _alike_prints(docs, id_col, text, shingle, similarity)
     return _grouped(prints.select(id_col, "fp", "node"), exact, id_col, "node").drop("node")
 
 
@@ -452,14 +460,27 @@ def fingerprint_text(fp) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def _first_of_groups(prints: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """``(id, mark)`` of the texts that stay: of each component the smallest with an id and the smallest without one."""
+    least = F.min(F.struct(id_col, "mark")).alias("least")
+    nodes = prints.groupBy("node", F.col(id_col).isNull().alias("unnamed")).agg(least)
+    grouped = nodes.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return grouped.groupBy("component", "unnamed").agg(F.min("least").alias("least")).select("least.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of similar ones: the row of the smallest id.
 
-    Rows without an id are all kept, as nothing names them; of rows that repeat an id only
-    one stays, if they are alike.  Extra columns stay as they are.
+    Groups are of texts, not of ids: an id that repeats over unlike texts keeps a row in each
+    of their groups, and of rows with the same id and text one stays.  Rows without an id are
+    compared like all others, but no id ranks them: a group keeps one of them, beside its row
+    of the smallest id if it has one.  Extra columns stay as they are.
     """
-    groups = similar_groups(docs.select(id_col, text), id_col, text, **options)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.where(docs[id_col].isNotNull())
-    stay = named.join(kept, named[id_col] == kept["__kept"], "left_semi")
-    return stay.dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+    kept = cut(_first_of_groups(*_alike_prints(docs.select(id_col, text), id_col, text, shingle, similarity), id_col))
+    marked = docs.withColumn("__mark", F.xxhash64(docs[text]))
+    kept = kept.withColumnRenamed("mark", "__mark")
+    # Two joins, as one on ids that may be NULL would deal the texts out a second time for the repeated rows.
+    named = marked.where(F.col(id_col).isNotNull()).join(kept, [id_col, "__mark"], "left_semi").dropDuplicates([id_col, "__mark"])
+    # Copies without an id may be many: those of a task are settled there.
+    unnamed = marked.where(F.col(id_col).isNull()).dropDuplicates(["__mark"]).join(kept.where(F.col(id_col).isNull()), "__mark", "left_semi")
+    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
