@@ -9,8 +9,8 @@ pairs below the guaranteed number are dropped and the rest is verified by bit di
 Only a spanning forest of the verified pairs leaves a posting, never all pairs.
 
 ``similar_groups`` also finds less alike texts: postings are then shingles of the prefixes of
-their sets, in one order for all texts, a fingerprint of 256 bits drops unlike candidates, and
-what is left is verified by the exact Jaccard similarity of the sets of shingles.
+their sets, in one order for all texts, 256 parity bits drop candidates that cannot be alike, and
+what is left is verified by the exact Jaccard similarity of the sets of shingles.  Neither loses a pair.
 
 Rows: a NULL text has no words.  A text without words has fingerprint zero and is linked
 like any other.  NULL ids keep their fingerprint; a component is named by its smallest
@@ -35,7 +35,8 @@ from tablepulse.llm.storage import cut, landed, ship, tidied
 
 POSTING_ROWS = 4096  # above this, a posting is solved in parts
 SEED = 42  # fixed value: seed of the shingle hash
-WIDE = 4  # 64-bit words of the fingerprint of similar_groups
+WIDE = 4  # 64-bit words of the parity bits of a part
+PART = 400  # shingles above which a set is dealt into parts; more would fill the parity bits
 SHORT = 64  # texts below so many shingles are not judged by bits
 BLOCK_SHINGLES = 1 << 18  # shingles of a block of sets that are compared at once
 ORDER_TEXTS = 20_000  # about so many texts tell which shingles are common
@@ -71,14 +72,14 @@ def fingerprint_of(digests: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > n).tobytes(), "big", signed=True)
 
 
-def wide_fingerprint(digests: np.ndarray) -> list[int]:
-    """``WIDE`` fingerprints from different mixtures of the same hashes; the first is of the hashes themselves."""
-    values, out = digests.view(">u8").ravel().astype(np.uint64), [fingerprint_of(digests)]
-    for number in range(1, WIDE):
-        mixed = (values ^ np.uint64(0x9E3779B97F4A7C15 * number & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(fingerprint_of((mixed ^ (mixed >> np.uint64(30))).view(np.uint8).reshape(-1, 8)))
-    return out
+def parity_words(values: np.ndarray) -> list[int]:
+    """``64 * WIDE`` bits: whether an odd number of the hashes falls in each place.
+
+    Each hash that only one of two sets has turns one bit, so the sets differ in at least as
+    many hashes as bits.
+    """
+    odd = np.bincount((values % np.uint64(64 * WIDE)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -101,6 +102,38 @@ def prefix_keys(values: np.ndarray, similarity: float, common: np.ndarray, ranks
     return values[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
 
 
+def set_parts(values: np.ndarray, similarity: float) -> list[tuple[int, int, np.ndarray]]:
+    """``(level, number, part)``: the parts of a set of hashes that are compared with those of other sets.
+
+    A level deals hashes into ``2**level`` parts of up to some ``PART``.  The shared and all
+    hashes of two sets are those of their parts added up, so two sets of this Jaccard
+    similarity have a part of it or more.  A set is also dealt on the higher levels of sets that may be alike.
+    """
+    level, out = 0, []
+    while len(values) > PART << level:
+        level += 1
+    while True:
+        number = (values // np.uint64(64 * WIDE)) % np.uint64(1 << level)
+        held = values[np.argsort(number, kind="stable")]
+        ends = np.cumsum(np.bincount(number.astype(np.int64), minlength=1 << level))
+        parts = np.split(held, ends[:-1])
+        out += [(level, i, part) for i, part in enumerate(parts) if len(part) or not level]
+        if len(values) / similarity <= (PART << level) + 1e-9:
+            return out
+        level += 1
+
+
+def _pieces(values: np.ndarray, node: int, similarity: float, common: np.ndarray, ranks: np.ndarray) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """Name, number of hashes with parity words, and keys of each part of a set; a whole set has the name of its node."""
+    for level, number, part in set_parts(values, similarity):
+        keys, name = prefix_keys(part, similarity, common, ranks), node
+        if level:
+            keys = keys ^ np.array(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64).view(np.int64)
+            name = xxhash.xxh64_intdigest(b"%d %d %d" % (node, level, number), SEED)
+            name -= (name >> 63) << 64
+        yield name, [len(part), *parity_words(part)], keys
+
+
 def _common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several texts of a sample and their ranks; they only decide the order of prefixes."""
     texts = docs.select(F.col(text).alias("__text"))
@@ -136,7 +169,8 @@ def fingerprints(docs: DataFrame, text: str, shingle: int, keep: tuple[str, ...]
 
 
 def _set_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Id, ``mark`` of the text, ``node`` (hash of its set), ``n`` shingles, ``fp_words`` and ``fp_keys``."""
+    """A row for each part of a set: id, ``mark`` of the text, ``fp`` and ``node`` (hash) of the set and its ``n`` shingles;
+    ``piece`` and its ``place`` among the parts, ``words`` and ``keys`` (see ``_pieces``)."""
     ship(docs.sparkSession)
     common, ranks = _common_shingles(docs, text, shingle)
     shared = docs.sparkSession.sparkContext.broadcast((common, ranks))
@@ -146,19 +180,23 @@ def _set_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarit
         for whole in batches:
             for start, stop in slices(whole.column(2)):
                 batch = whole.slice(start, stop - start)
-                sets = [shingle_set(v.as_py(), shingle) for v in batch.column(2)]
-                digests = [v.astype(">u8").view(np.uint8).reshape(-1, 8) for v in sets]
-                words = [wide_fingerprint(d) for d in digests]
-                nodes = [int.from_bytes(xxhash.xxh64_digest(v.tobytes(), SEED), "big", signed=True) for v in sets]
-                keys = [prefix_keys(v, similarity, *shared.value) for v in sets]
+                rows, sets = [], []
+                for at, v in enumerate(batch.column(2)):
+                    values = shingle_set(v.as_py(), shingle)
+                    node = int.from_bytes(xxhash.xxh64_digest(values.tobytes(), SEED), "big", signed=True)
+                    sets.append((fingerprint_of(values.astype(">u8").view(np.uint8).reshape(-1, 8)), node, len(values)))
+                    rows += [(at, place, *piece) for place, piece in enumerate(_pieces(values, node, similarity, *shared.value))]
+                at, place, piece, words, keys = zip(*rows)
+                of_rows = pa.array(at, pa.int64())
                 columns = [
-                    *batch.columns[:2], pa.array([w[0] for w in words], pa.int64()), pa.array(nodes, pa.int64()),
-                    pa.array([len(v) for v in sets], pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
+                    *(c.take(of_rows) for c in batch.columns[:2]), *(pa.array(x, pa.int64()).take(of_rows) for x in zip(*sets)),
+                    pa.array(piece, pa.int64()), pa.array(place, pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:2], "fp", "node", "n", "fp_words", "fp_keys"])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:2], "fp", "node", "n", "piece", "place", "words", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return wanted.mapInArrow(tidied(run), f"`{id_col}` {kind}, mark bigint, fp bigint, node bigint, n bigint, fp_words array<bigint>, fp_keys array<bigint>")
+    fields = "mark bigint, fp bigint, node bigint, n bigint, piece bigint, place int, words array<bigint>, keys array<bigint>"
+    return wanted.mapInArrow(tidied(run), f"`{id_col}` {kind}, {fields}")
 
 
 def byte_postings(prints: DataFrame, max_bits: int) -> DataFrame:
@@ -178,12 +216,16 @@ def byte_postings(prints: DataFrame, max_bits: int) -> DataFrame:
     return prints.select(F.col("fp").alias("node"), F.array("fp").alias("words"), F.explode(F.array(*rows)).alias("key"))
 
 
-def _linked(prints: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked(prints: np.ndarray, max_bits: int, min_bytes: int, share: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that reach the byte tally and are verified; blocks bound the memory.
 
-    ``prints`` has one row per fingerprint and a column per 64-bit word.
+    ``prints`` has one row per fingerprint and a column per 64-bit word.  With a ``share`` the
+    first column is the size of a set: neither bits nor sizes may differ by more than this
+    share of both sizes.
     """
-    ls, rs = [], []
+    ls, rs, limit = [], [], max_bits
+    if share is not None:
+        sizes, prints = prints[:, 0], prints[:, 1:]
     for at in range(0, len(prints), 256):
         bits = np.zeros((len(prints[at : at + 256]), len(prints)), np.int16)
         equal = np.zeros(bits.shape, np.int16)
@@ -192,16 +234,19 @@ def _linked(prints: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarr
             bits += np.bitwise_count(apart.view(np.uint64))
             if min_bytes:
                 equal += (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(axis=2, dtype=np.int16)
-        i, j = np.nonzero((equal >= min_bytes) & (bits <= max_bits))
+        if share is not None:
+            limit = share * (sizes[at : at + 256, None] + sizes[None, :]) + 1e-9
+            bits = np.maximum(bits, np.abs(sizes[at : at + 256, None] - sizes[None, :]))
+        i, j = np.nonzero((equal >= min_bytes) & (bits <= limit))
         ls.append(i + at)
         rs.append(j)
     return np.concatenate(ls), np.concatenate(rs)
 
 
-def _forest(nodes: np.ndarray, prints: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(nodes: np.ndarray, prints: np.ndarray, max_bits: int, min_bytes: int, share: float | None) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest of its group) over one posting; ``nodes`` name the rows of ``prints``."""
     nodes, first = np.unique(nodes, return_index=True)
-    a, b = _linked(np.ascontiguousarray(prints[first]), max_bits, min_bytes)
+    a, b = _linked(np.ascontiguousarray(prints[first]), max_bits, min_bytes, share)
     label = np.arange(len(nodes))
     while True:
         new = label.copy()
@@ -214,10 +259,10 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, max_bits: int, min_bytes: int
     return nodes[inner], nodes[label[inner]]
 
 
-def _posting_edges(postings: DataFrame, max_bits: int, min_bytes: int) -> DataFrame:
+def _posting_edges(postings: DataFrame, max_bits: int, min_bytes: int, share: float | None = None) -> DataFrame:
     """Edges inside postings of usual size; members of larger ones as rows with a ``key``.
 
-    ``postings`` has ``key``, ``node`` and ``words``, the fingerprint of the node.
+    ``postings`` has ``key``, ``node`` and ``words``, the fingerprint of the node (after its size with a ``share``, see ``_linked``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +272,7 @@ def _posting_edges(postings: DataFrame, max_bits: int, min_bytes: int) -> DataFr
             nodes, prints = (np.concatenate(x) for x in zip(*held))
             if large:
                 return nodes, nodes, np.full(len(nodes), key), np.ones(len(nodes), bool)
-            src, dst = _forest(nodes, prints, max_bits, min_bytes)
+            src, dst = _forest(nodes, prints, max_bits, min_bytes, share)
             return src, dst, np.zeros(len(src), np.int64), np.zeros(len(src), bool)
 
         def batch_of(parts):
@@ -273,7 +318,7 @@ def _ball_edges(open_rows: DataFrame) -> DataFrame:
     return listed.join(least, "middle").where("src <> dst").select("src", "dst").distinct()
 
 
-def _block_edges(open_rows: DataFrame, prints: DataFrame, max_bits: int) -> DataFrame:
+def _block_edges(open_rows: DataFrame, prints: DataFrame, max_bits: int, share: float | None = None) -> DataFrame:
     """Links inside large class postings: blocks of rows against blocks, each pair of blocks one task's row.
 
     ``prints`` has the ``words`` of each ``node``.
@@ -292,7 +337,7 @@ def _block_edges(open_rows: DataFrame, prints: DataFrame, max_bits: int) -> Data
             for sides in zip(batch.column(0), batch.column(1)):
                 nodes = np.concatenate([s.values.field("node").to_numpy() for s in sides])
                 words = np.concatenate([s.values.field("words").flatten().to_numpy() for s in sides])
-                src, dst = _forest(nodes, words.reshape(len(nodes), -1), max_bits, 0)
+                src, dst = _forest(nodes, words.reshape(len(nodes), -1), max_bits, 0, share)
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
     return pairs.select("l", "r").repartition(F.xxhash64("l", "r")).mapInArrow(tidied(run), "src bigint, dst bigint")
@@ -325,17 +370,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return _grouped(prints, edges, id_col)
 
 
-def bit_limit(similarity: float) -> int:
-    """Differing bits beyond which two wide fingerprints are no candidates.
-
-    Sets of this Jaccard similarity have at least the cosine ``2s / (1 + s)``, and each bit
-    differs with the share of their angle in a half turn; the limit lies five standard
-    deviations beyond.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(64 * WIDE * share + 5 * math.sqrt(64 * WIDE * share * (1 - share)))
-
-
 def _shared(postings: DataFrame) -> DataFrame:
     """``(key, node, first)`` of the keys that two or more nodes have; first is the smallest node of the key."""
 
@@ -425,25 +459,33 @@ def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, text: st
 def _alike_prints(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows of ``_set_prints`` and the edges between their nodes whose similarity is ``similarity`` or more.
 
-    Texts with the same set are one node.  Candidates share a shingle of their prefixes, which
-    every pair of that similarity does; of texts of ``SHORT`` shingles or more, pairs that
-    differ in too many bits of the wide fingerprint are dropped (see ``bit_limit``).  All
-    pairs in a component of candidates are then compared exactly.
+    Texts with the same set are one node.  Two sets of that similarity have a part of it (see
+    ``set_parts``), and these share a shingle of their prefixes.  Of texts of ``SHORT`` shingles
+    or more, parts whose parity bits or sizes differ too much for it are dropped.  All pairs in
+    a component of candidates are then compared exactly.
     """
     prints = landed(_set_prints(docs, id_col, text, shingle, similarity), "prints")
-    one = prints.groupBy("node").agg(F.min(F.struct("n", "mark", "fp_words", "fp_keys")).alias("one"))
-    nodes = landed(one.select("node", "one.n", "one.mark", F.col("one.fp_words").alias("words"), F.col("one.fp_keys").alias("keys")), "nodes")
-    postings = nodes.select("node", "n", F.explode("keys").alias("key"))
+    one = prints.groupBy("piece").agg(F.min(F.struct("node", "n", "mark", "place", "words", "keys")).alias("one"))
+    pieces = landed(one.select("piece", "one.*"), "pieces")
+    named = pieces.withColumnsRenamed({"node": "whole", "piece": "node"})
+    postings = named.select("node", "n", F.explode("keys").alias("key"))
     # A short text is alike only to texts of less than SHORT / similarity shingles.
     short = _shared(postings.where(F.col("n") <= math.ceil(SHORT / similarity))).select(F.col("node").alias("src"), F.col("first").alias("dst"))
-    long = _shared(postings.where(F.col("n") >= SHORT)).join(nodes.select("node", "words"), "node")
-    max_bits = bit_limit(similarity)
-    found = landed(_posting_edges(long, max_bits, 0), "prefix_edges")
+    long = _shared(postings.where(F.col("n") >= SHORT)).join(named.select("node", "words"), "node")
+    # Sets of this similarity differ in at most this share of both sizes.
+    share = (1 - similarity) / (1 + similarity)
+    found = landed(_posting_edges(long, 0, 0, share), "prefix_edges")
     edges = found.where("key is null").select("src", "dst").unionByName(short)
     open_rows = found.where("key is not null")
     if not open_rows.isEmpty():
-        edges = edges.unionByName(_block_edges(open_rows, nodes.select("node", "words"), max_bits))
-    return prints, landed(_verified(docs, nodes, edges, text, shingle, similarity), "alike")
+        edges = edges.unionByName(_block_edges(open_rows, named.select("node", "words"), 0, share))
+    edges = edges.where("src <> dst").distinct()
+    parts = pieces.where("piece <> node")
+    for side in ("src", "dst"):
+        whole = parts.select(F.col("piece").alias(side), F.col("node").alias("whole"))
+        edges = edges.join(whole, side, "left").withColumn(side, F.coalesce("whole", side)).drop("whole")
+    one_row = "place = 0"
+    return prints.where(one_row), landed(_verified(docs, pieces.where(one_row), edges, text, shingle, similarity), "alike")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
